@@ -1,29 +1,52 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, source mixing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is
-written and read again as the next one's docs. run() does that for the table documents.
+written and read again as the next one's docs. run() does that for the table documents. All stages but
+the last return the columns of documents; the last adds what the mix takes of each document.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import simhash
+from lodestone.llm import decontam, mixing, pii, quality, simhash
 from lodestone.llm.common import table, written
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("redact_personal_data", redact_personal_data),
+    ("mix_sources", mix_sources),
+]
 
-#: Trained rules and trees decide what stays and what is redacted, which SQL can't express; tests hold the stages against brute force.
+#: Learned rules and trees decide what stays and what is redacted, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
