@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from lodestone.plans import base, cleaning_queries  # noqa: F401
+
 FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(base.ORACLES)
