@@ -98,22 +98,25 @@ def chunk_id(doc_id: Column, dieu: Column, khoan: Column, diem: Column) -> Colum
     return F.concat(slug, F.lit("_dieu"), dieu, part("_khoan", khoan), part("_diem", diem))
 
 
-def chunk_content(text: Column, title: Column, dieu: Column, dieu_title: Column, warning: Column) -> Column:
-    """Repaired and styled text behind its context line and its document's warning."""
-    body = style_penalties(refine(text))
-    context = F.concat(F.lit("Văn bản: "), title, F.lit(" | Điều "), dieu, F.lit(": "), dieu_title)
-    body = F.when((dieu != "0") & ~F.startswith(body, context), F.concat(context, F.lit("\n"), body)).otherwise(body)
-    warned = F.coalesce(warning, F.lit("")) != ""
-    return F.when(warned & ~F.startswith(body, F.lit(">")), F.concat(F.lit("> ⚠️ "), warning, F.lit("\n\n"), body)).otherwise(body)
+def with_content(parts: DataFrame) -> DataFrame:
+    """parts (text, title, dieu, dieu_title, warning) with content: repaired and styled text behind its context
+    line and its document's warning. Every step is a column, so none is evaluated twice."""
+    df = parts.withColumn("__r", refine(F.col("text"))).withColumn("__b", style_penalties(F.col("__r")))
+    df = df.withColumn("__x", F.concat(F.lit("Văn bản: "), "title", F.lit(" | Điều "), "dieu", F.lit(": "), "dieu_title"))
+    df = df.withColumn("__c", F.when((F.col("dieu") != "0") & ~F.startswith("__b", "__x"), F.concat("__x", F.lit("\n"), "__b")).otherwise(F.col("__b")))
+    warned = (F.coalesce("warning", F.lit("")) != "") & ~F.startswith("__c", F.lit(">"))
+    return df.withColumn("content", F.when(warned, F.concat(F.lit("> ⚠️ "), "warning", F.lit("\n\n"), "__c")).otherwise(F.col("__c"))).drop("__r", "__b", "__x", "__c")
 
 
 def build_chunks(parts: DataFrame) -> DataFrame:
     """Parts of chunk_levels, with doc_id, title and warning, as chunks: without form noise, each content once
     a document, in order."""
-    df = parts.withColumn("content", chunk_content(F.col("text"), F.col("title"), F.col("dieu"), F.col("dieu_title"), F.col("warning")))
+    df = with_content(parts)
     df = df.withColumn("chunk_id", chunk_id(F.col("doc_id").cast("string"), F.col("dieu"), F.col("khoan"), F.col("diem")))
-    df = df.where(~is_form_noise(F.col("content"))).withColumn("token_estimate", token_estimate(F.col("content")))
-    return dedup_first(df, ("doc_id",), "content", ("article_no", "clause_no", "point_no"))
+    # noise depends on the content alone, so it may go after the copies; before, the filter would be pushed below
+    # the steps that make the content, and make it once more
+    df = dedup_first(df, ("doc_id",), "content", ("article_no", "clause_no", "point_no"))
+    return df.where(~is_form_noise(F.col("content"))).withColumn("token_estimate", token_estimate(F.col("content")))
 
 
 def chunk_statistics(chunks: DataFrame) -> DataFrame:

@@ -144,19 +144,23 @@ def markdown_tables(cells: DataFrame) -> DataFrame:
     return concat_pages(rows.select("tbl", "row", "line"), ("tbl",), ("row",), "line", "\n").withColumnRenamed("line", "markdown")
 
 
+#: Set around a table line, its number and its text, while the lines beside it are repaired; they occur in no text.
+OPEN, MIDDLE = "\ue001", "\ue002"
+
+
 def refine(text: Column) -> Column:
     """Repairs page breaks: hyphens at line ends, lines broken in mid-sentence, drawn rules, runs of blank
-    lines. Lines of a Markdown table are left as they are: they stand aside while the rest is repaired, each
-    behind a mark of its own, as a block that no rule below meets."""
-    lines = F.split(text, "\n")
+    lines. Lines of a Markdown table are set in marks, which no rule meets, and come back as they were; only one
+    that a hyphen has pulled up to the line above is left as a placeholder."""
     is_table = lambda x: strip(x).startswith("|") | (strip(x).rlike(r"^[-:|]+$") & F.contains(x, F.lit("|")))
-    marked = F.array_join(F.transform(lines, lambda x, i: F.when(is_table(x), F.concat(F.lit("__TABLE_LINE_"), i.cast("string"), F.lit("__"))).otherwise(x)), "\n")
-    out = F.regexp_replace(marked, r"(?U)(\s*-\s*)\n\s*", "$1")
+    marked = F.transform(F.split(text, "\n"), lambda x, i: F.when(is_table(x), F.concat(F.lit(OPEN), i.cast("string"), F.lit(MIDDLE), x, F.lit(OPEN))).otherwise(x))
+    out = F.when(F.contains(text, F.lit("|")), F.array_join(marked, "\n")).otherwise(text)
+    out = F.regexp_replace(out, r"(?U)(\s*-\s*)\n\s*", "$1")
     out = F.regexp_replace(out, f"(?<=[{REFINE_LETTERS},;])\n(?=[{REFINE_LETTERS}])", " ")
-    out = F.regexp_replace(out, r"(?mU)^[-=_]{5,}\s*$", "")
+    out = F.regexp_replace(out, r"(?mdU)^[-=_]{5,}\s*$", "")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    back = F.transform(F.split(out, "\n"), lambda x: F.when(strip(x).rlike(r"^__TABLE_LINE_\d+__$"), F.get(lines, F.regexp_extract(strip(x), r"(\d+)", 1).cast("int"))).otherwise(x))
-    return strip(F.array_join(back, "\n"))
+    out = F.regexp_replace(out, rf"(?md)^[ \t]*{OPEN}\d+{MIDDLE}([^{OPEN}\n]*){OPEN}[ \t]*$", "$1")
+    return strip(F.regexp_replace(out, rf"{OPEN}(\d+){MIDDLE}[^{OPEN}\n]*{OPEN}", "__TABLE_LINE_$1__"))
 
 
 def style_penalties(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import base, cleaning_queries  # noqa: F401
+from lodestone.plans import base, chunking_queries, cleaning_queries, enrichment_queries, retrieval_queries  # noqa: F401
 
 FLAGSHIP = "hybrid_search"
 
