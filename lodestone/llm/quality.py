@@ -85,6 +85,7 @@ def with_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
         (F.col("__q_upper") / chars).alias("__q_upper_share"),
         (F.col("__q_distinct") / words).alias("__q_distinct_share"),
         (F.col("__q_lone") / words).alias("__q_lone_share"),
+        F.monotonically_increasing_id().alias("__q_row"),
     )
 
 
@@ -167,4 +168,6 @@ def judge(documents: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     """documents without the rejected rows; columns and values are kept."""
-    return with_statistics(documents).where(~base_failed() & verdict(rules)).select(*[F.col(f"`{c}`") for c in documents.columns])
+    # The row number keeps the filter above the statistics: pushed below, it would work out each of them anew wherever it is named.
+    good = ~base_failed() & verdict(rules) & (F.col("__q_row") >= 0)
+    return with_statistics(documents).where(good).select(*[F.col(f"`{c}`") for c in documents.columns])
