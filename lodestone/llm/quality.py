@@ -106,7 +106,9 @@ def learn(x: np.ndarray, bad: np.ndarray) -> list[Rule]:
         precise = gy[g].sum() >= max(MIN_SUPPORT, MIN_PRECISION * g.sum()) and py[p].sum() >= MIN_PRECISION * p.sum()
         if not rule.conditions or not precise:
             break
+        rule = _settled(rule, np.vstack([gx, px]), np.r_[gy, py])
         rules.append(rule)
+        g, p = rule.covers(gx), rule.covers(px)
         gx, gy, px, py = gx[~g], gy[~g], px[~p], py[~p]
     return rules
 
@@ -142,6 +144,22 @@ def _pruned(rule: Rule, x: np.ndarray, y: np.ndarray) -> Rule:
     return max(reversed(options), key=worth) if options else rule
 
 
+def _settled(rule: Rule, x: np.ndarray, y: np.ndarray) -> Rule:
+    """Moves every cut to the middle of the gap between the last row to keep outside it and the rows to reject."""
+    out = list(rule.conditions)
+    for k, (name, at_least, cut) in enumerate(out):
+        sign = 1.0 if at_least else -1.0
+        others = Rule(tuple(c for j, c in enumerate(out) if j != k)).covers(x)
+        v, bad = sign * x[others, FEATURES.index(name)], y[others]
+        inside = v >= cut if at_least else v > -cut
+        good = v[~bad & ~inside]
+        edge = good.max() if len(good) else -np.inf
+        reject = v[bad & (v > edge)]
+        if len(reject):
+            out[k] = (name, at_least, float(sign * ((edge + reject.min()) / 2 if np.isfinite(edge) else reject.min() - 1e-9)))
+    return Rule(tuple(out))
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> list[Rule]:
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = hash_sample(known.where("quality = 1"), "doc_id", SAMPLE_DOCS).unionByName(hash_sample(known.where("quality = 0"), "doc_id", SAMPLE_DOCS))
