@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 WORD = re.compile(r"\w+")
 
@@ -48,7 +49,7 @@ def passage_prefix(model_name: str) -> str:
     return "passage: " if "e5" in model_name.lower() else ""
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def overlap_scorer(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A stand-in for a cross-encoder: the share of the query's words that the text holds."""
     for q, t in pairs:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestone.functions.fixed import (
     ARTICLE_LINE,
@@ -36,7 +37,7 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFC: the one scalar of this module that the JVM has no function for."""
     import unicodedata
