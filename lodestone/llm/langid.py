@@ -22,6 +22,8 @@ from lodestone.llm.common import held_out, trainable
 
 #: Bounds of the training sample: documents of a language, characters taken of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 16_000
+#: The sample of a language is drawn slice by slice of the ids' hashes.
+SLICES = 40
 BITS = 16
 WINDOW = 32
 SMOOTHING = 0.1
@@ -61,8 +63,10 @@ def fit(documents: DataFrame) -> Model:
     from lodestone.llm.toxicity import spread
 
     keys = documents.where(F.col("lang").isNotNull() & trainable()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = keys.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SAMPLE_DOCS).select(F.col("doc_id").alias("i"), F.col("lang").alias("l")).distinct()
+    # first within slices of each language, so that no task gathers what every task of a long scan keeps of one language
+    keys = keys.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), F.xxhash64("doc_id").alias("h")).withColumn("slice", F.pmod("h", F.lit(SLICES)))
+    first = keys.withColumn("rn", F.row_number().over(Window.partitionBy("l", "slice").orderBy("h", "i"))).where(F.col("rn") <= SAMPLE_DOCS // SLICES)
+    sample = first.select("i", "l").distinct()
     # SAMPLE_DOCS ids of each language
     rows = documents.select("doc_id", "text", "lang").join(F.broadcast(sample), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("doc_id", "lang", F.substring("text", 1, 1_000_000).alias("text")).collect()
     return fit_rows([(r.lang, spread(r.text or "", SAMPLE_CHARS)) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text or ""))])
