@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -92,13 +93,22 @@ def spread(text: str, most: int) -> str:
     return " ".join(text[int(i * step) : int(i * step) + size] for i in range(32))
 
 
-def train_dictionaries(texts: list[str], toxic: list[int]) -> tuple[bytes, bytes]:
+def outline(text: str) -> tuple[int, set[str]]:
+    """A min-hash of the text's word triples, which near copies mostly share, and its words."""
+    words = TOKEN.findall(text.lower())
+    return min((zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 2))), default=0), set(words)
+
+
+def train_dictionaries(outlines: list[tuple[int, set[str]]], toxic: list[int]) -> tuple[bytes, bytes]:
     """The ordinary dictionary holds the commonest ordinary words, commonest last. The toxic one goes
-    on with the words that toxic documents hold significantly more often, most significant last."""
-    seen = [Counter(), Counter()]
-    for text, y in {(t, y) for t, y in zip(texts, toxic, strict=True)}:
-        seen[y].update(set(TOKEN.findall(text.lower())))
-    n0, n1 = max(1, toxic.count(0)), max(1, toxic.count(1))
+    on with the words that toxic documents hold significantly more often, most significant last.
+    Copies count once in each class: what a copied document says is no more toxic for it."""
+    seen, kinds = [Counter(), Counter()], [set(), set()]
+    for (kind, words), y in zip(outlines, toxic, strict=True):
+        if kind not in kinds[y]:
+            kinds[y].add(kind)
+            seen[y].update(words)
+    n0, n1 = max(1, len(kinds[0])), max(1, len(kinds[1]))
 
     def z(w: str) -> float:
         p = (seen[0][w] + seen[1][w]) / (n0 + n1)
@@ -139,11 +149,12 @@ def fit_rows(texts: list[str], toxic: list[int], share: float) -> Model:
     if len(set(toxic)) < 2:
         return Model(b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), share)
     # The dictionaries and the curve come from different halves, else the curve would trust what the dictionaries know by heart.
-    half = [i % 2 for i in range(len(texts))]
+    outlines = [outline(t) for t in texts]
+    half = [o[0] % 2 for o in outlines]  # copies on one side
     parts = []
     for side in (0, 1):
         pick = [i for i, h in enumerate(half) if h == side]
-        o, t = train_dictionaries([texts[i] for i in pick], [toxic[i] for i in pick])
+        o, t = train_dictionaries([outlines[i] for i in pick], [toxic[i] for i in pick])
         gains = Gains(Model(o, t, *[np.zeros(0)] * 3, share))
         parts.append((np.array([gains.counts(texts[i]) for i, h in enumerate(half) if h != side]), [toxic[i] for i, h in enumerate(half) if h != side]))
     x, y = features(np.vstack([p[0] for p in parts])), np.array(sum((p[1] for p in parts), []), float)
@@ -153,7 +164,7 @@ def fit_rows(texts: list[str], toxic: list[int], share: float) -> Model:
     real = min(max(share, 1e-6), 1 - 1e-6)
     w[-1] += logit(real) - logit(got)
     w[-1] += logit(THRESHOLD) - logit(best_threshold(scores(np.vstack([p[0] for p in parts]), Model(b"", b"", mean, scale, w, share)), y, real / got, (1 - real) / (1 - got)))
-    o, t = train_dictionaries(texts, toxic)
+    o, t = train_dictionaries(outlines, toxic)
     return Model(o, t, mean, scale, w, share)
 
 
