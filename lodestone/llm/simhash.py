@@ -126,8 +126,9 @@ def dedup_components(documents: DataFrame) -> DataFrame:
     docs = written(fingerprints(documents), "fingerprints")
     fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     cc = components(links(fps.select("fp")))
-    rooted = fps.join(cc, fps["fp"] == cc["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    rooted = written(fps.join(cc, fps["fp"] == cc["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
+    # written, so that the join deals out both sides for itself and may split the fingerprints of a large component
+    least = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = written(rooted.join(least, "root").select("fp", "component_id"), "components")
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
