@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.fixed import LEGAL_DOMAINS, NO_HISTORY, WEB_PREFIX
+from lodestone.functions.schemas import CITATION
 from lodestone.operators.text import strip
 
 
@@ -131,6 +133,20 @@ def token_events(answers: DataFrame, key: str, text: str, size: int = 8) -> Data
     return answers.select(key, F.posexplode(every).alias("seq", "e")).select(key, "seq", "e.type", "e.value")
 
 
+def message_store(messages: DataFrame) -> DataFrame:
+    """Messages of the application's table in the order of their conversation, with their citations parsed; what is no
+    list of citations reads as none."""
+    order = Window.partitionBy("conversationId").orderBy("createdAt", "id")
+    parsed = F.coalesce(F.from_json("citations", T.ArrayType(CITATION)), F.array().cast(T.ArrayType(CITATION)))
+    return messages.select("conversationId", F.row_number().over(order).alias("n"), "role", "content", parsed.alias("citations"))
+
+
+def is_admin(email: Column, allowed: str | None) -> Column:
+    """allowed: "*" for everyone, else addresses between commas, in any case; nobody if it's empty."""
+    listed = [e.strip().lower() for e in (allowed or "").split(",") if e.strip()]
+    return F.lit(True) if listed == ["*"] else F.coalesce(F.lower(email).isin(*listed), F.lit(False)) if listed else F.lit(False)
+
+
 # --- evaluation -------------------------------------------------------------------------------------
 
 

@@ -172,3 +172,21 @@ def rel_age(spark, d):
 )
 def sse_tokens(spark, d):
     return V.token_events(table(spark, d, "benchmark"), "item_id", "text")
+
+
+CITED = "CASE turn % 3 WHEN 0 THEN concat('[{\"n\":1,\"title\":\"', role, '\"},{\"n\":2,\"title\":\"b\"}]') WHEN 1 THEN NULL ELSE '[]' END"
+
+
+@query(f"SELECT conv_id, n::INTEGER AS n, role, coalesce(json_array_length(c), 0)::INTEGER AS n_citations, coalesce(json_extract_string(c, '$[0].title'), '') AS first_title FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {CITED} AS c FROM conversations)")
+def message_store(spark, d):
+    m = _messages(spark, d).selectExpr("cast(conv_id AS string) AS conversationId", "lpad(turn, 9, '0') AS id", "role", "text AS content", f"{CITED} AS citations", "timestamp_seconds(turn) AS createdAt")
+    got = V.message_store(m)
+    return got.select(F.col("conversationId").cast("long").alias("conv_id"), "n", "role", F.size("citations").alias("n_citations"), F.coalesce(F.get("citations", F.lit(0))["title"], F.lit("")).alias("first_title"))
+
+
+MAIL = "CASE user_id % 4 WHEN 0 THEN concat('U', user_id, '@X.com') WHEN 1 THEN NULL ELSE concat('u', user_id, '@x.com') END"
+
+
+@query(f"SELECT user_id, coalesce(lower({MAIL}) IN ('u4@x.com', 'u6@x.com', 'u9@x.com'), false) AS admin FROM (SELECT DISTINCT user_id FROM events)")
+def admin_gate(spark, d):
+    return table(spark, d, "events").select("user_id").distinct().select("user_id", V.is_admin(F.expr(MAIL), " U4@x.com, u6@X.com,,u9@x.com").alias("admin"))

@@ -88,6 +88,14 @@ def create_points(points: DataFrame, table: str, recreate: bool = False) -> None
     points.write.mode("overwrite" if recreate else "ignore").saveAsTable(table)
 
 
+def load_index(points: DataFrame, table: str) -> int:
+    """Replaces the table's rows, refreshes its statistics, and says how many there are."""
+    spark = points.sparkSession
+    points.write.mode("overwrite").saveAsTable(table)
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
+    return spark.table(table).count()
+
+
 def upsert_points(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """old with new's rows put in place of those of the same key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
