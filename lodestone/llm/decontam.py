@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import map_arrow, written
 
 TOKEN = re.compile(r"\w+")
 MIN_MATCH, COVERAGE = 5, 0.8
@@ -165,7 +165,7 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "text", "item_id", "coverage", "n_items"])
 
-        df = df.mapInArrow(run, schema)
+        df = map_arrow(df, run, schema)
         if not last:
             df = written(df, "tiled")
     return df.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "item_id", "coverage", "n_items")
@@ -181,7 +181,7 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep = [not coverages(t, x) for t in b.column(at).to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = map_arrow(documents, run, documents.schema)
         if not last:
             documents = written(documents, "tiled")
     return documents

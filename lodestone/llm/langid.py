@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import held_out, trainable
+from lodestone.llm.common import held_out, map_arrow, trainable
 
 #: Bounds of the training sample: documents of a language, characters taken of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 16_000
@@ -149,7 +149,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             got = [identify(t, model, is_letter) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_arrow(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, lang_pred string, score double")
 
 
 def classify(documents: DataFrame) -> DataFrame:

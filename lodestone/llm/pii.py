@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import map_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -361,7 +363,7 @@ def find(documents: DataFrame) -> DataFrame:
             cols = [pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.string()) for k in range(6)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return map_arrow(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 def redacted(t: str, forest: Forest) -> str:
@@ -387,5 +389,5 @@ def redact(documents: DataFrame) -> DataFrame:
             new = [t if t is None else redacted(t, forest) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    out = documents.mapInArrow(run, documents.schema)
+    out = map_arrow(documents, run, documents.schema)
     return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import map_arrow, written
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (offset, width) of the segments.
@@ -60,7 +60,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             fp = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, "doc_id long, fp long")
 
 
 def _mask(of: int) -> int:

@@ -27,7 +27,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hash_sample, held_out, trainable
+from lodestone.llm.common import hash_sample, held_out, map_arrow, trainable
 
 TOKEN = re.compile(r"\w+")
 ENCODING = "utf-16-le"
@@ -199,7 +199,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             c = np.array([gains.counts(t) if gains else np.zeros(len(THRESHOLDS) + 1) for t in b.column(1).to_pylist()]).reshape(-1, len(THRESHOLDS) + 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(c, model)), pa.array(c[:, 1].astype(np.int64)), pa.array(c[:, -1].astype(np.int64))], names=["doc_id", "score", "n_hits", "n_windows"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, n_hits long, n_windows long")
+    return map_arrow(documents.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, n_hits long, n_windows long")
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh_path, written
+from lodestone.llm.common import fresh_path, map_arrow, written
 
 CRLF = "\r\n"
 #: Records of an archive file, and captures that one merging task holds.
@@ -143,7 +143,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, RECORD)
+    return map_arrow(files, run, RECORD)
 
 
 class LoserTree:
@@ -210,7 +210,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url_key", pa.string()), ("captured", pa.string()), ("run", pa.string()), ("place", pa.int64())])
     # the id in the range key splits the captures of one URL, however many there are
     dealt = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "run", "place").sortWithinPartitions("run", "url_key", "captured", F.col("page_id").asc_nulls_first(), "place")
-    return dealt.mapInArrow(merge, RECORD)
+    return map_arrow(dealt, merge, RECORD)
 
 
 def archive_and_index(pages: DataFrame) -> DataFrame:
