@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.fixed import BAD_ANSWER_STARTS, CITATION, INTENT_HINTS, MULTI_FRAME_HINT, NO_CONTEXT, REFUSAL, SIBLING_TAG, SOURCE_TAG, VEHICLE_HINTS
+from lodestone.functions.fixed import BAD_ANSWER_STARTS, CITATION, CLARIFY, GREETING, INTENT_HINTS, MULTI_FRAME_HINT, NO_CONTEXT, OUT_OF_SCOPE, REFUSAL, SIBLING_TAG, SOURCE_TAG, VEHICLE_HINTS, WEB_FAILED, WEB_NO_SYNTHESIS, WEB_NOTHING, WEB_WARNING
 from lodestone.operators.text import strip
 
 
@@ -109,5 +107,21 @@ def web_context(results: Column) -> Column:
     return F.array_join(F.transform(results, lambda r, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(r["title"], F.lit("(no title)")), F.lit("\n"), F.coalesce(r["url"], F.lit("")), F.lit("\n"), F.coalesce(r["content"], F.lit("")))), "\n\n")
 
 
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def web_draft(failed: Column, results: Column, synthesis: Column) -> dict[str, Column]:
+    """The draft that a reviewer sees: the synthesis of the results, or what stands in for it if the search failed,
+    found nothing, or wasn't summed up; sources are the results that have an address."""
+    found = F.coalesce(F.size(results), F.lit(-1)) > 0
+    say = lambda text: F.lit(f"{WEB_WARNING}\n{text}")
+    draft = F.when(failed, say(WEB_FAILED)).when(~found, say(WEB_NOTHING)).when(synthesis.isNull(), say(WEB_NO_SYNTHESIS)).otherwise(strip(synthesis))
+    sources = F.filter(results, lambda r: _given(r["url"]).isNotNull())
+    return {"draft": draft, "n_sources": F.when(failed | ~found, 0).otherwise(F.size(sources)), "requires_approval": ~failed & found}
+
+
+def canned_answer(route: Column, answer: Column) -> Column:
+    """What a node says without a model, or when its model has failed."""
+    said = F.nullif(strip(answer), F.lit(""))
+    return F.when(route == "out_of_scope", OUT_OF_SCOPE).when(route == "chit_chat", F.coalesce(said, F.lit(GREETING))).otherwise(F.coalesce(answer, F.lit("")))
+
+
+def answer_or_clarify(passed: Column, answer: Column) -> Column:
+    return F.when(passed, F.coalesce(answer, F.lit(""))).otherwise(CLARIFY)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.fixed import BAD_ANSWER_STARTS, CITATION, INTENT_HINTS, MULTI_FRAME_HINT, REFUSAL, SIBLING_TAG, SOURCE_TAG, VEHICLE_HINTS, re2
+from lodestone.functions.fixed import BAD_ANSWER_STARTS, CITATION, CLARIFY, GREETING, INTENT_HINTS, MULTI_FRAME_HINT, OUT_OF_SCOPE, REFUSAL, SIBLING_TAG, SOURCE_TAG, VEHICLE_HINTS, WEB_FAILED, WEB_NO_SYNTHESIS, WEB_NOTHING, WEB_WARNING, re2
 from lodestone.operators import generation as G
-from lodestone.plans.base import CHUNKS, CORPUS, INTENT_SQL, QUESTIONS, chunks, corpus, queries, query, with_intent
+from lodestone.plans.base import CHUNKS, CORPUS, INTENT_SQL, QUESTIONS, chunks, corpus, queries, query, table, with_intent
 
 NAMED = "named AS (SELECT k.query_id, k.pos, k.id, k.is_sibling, c.doc, CASE WHEN k.id % 4 = 3 THEN '' ELSE 'Luật tên dài ' || c.doc || ' (2024)' END AS name, c.dieu, CASE WHEN k.id % 3 = 0 THEN NULL WHEN k.id % 3 = 1 THEN '' ELSE 'Tiêu đề ' || k.id END AS dieu_title, c.khoan, c.diem, substr(c.content, 1, 80) AS content FROM chunks k JOIN corpus c ON c.id = k.id)"
 
@@ -120,3 +120,26 @@ INLINE = "concat('Như [', query_id, '] và [1][2], [a] ', text, ' [', query_id
 def inline_refs(spark, d):
     q = queries(spark, d).withColumn("t", F.expr(INLINE))
     return q.select("query_id", F.array_join(F.transform(G.inline_refs(F.col("t")), lambda x: x.cast("string")), ",").alias("refs"))
+
+
+@query(
+    f"""SELECT site, CASE WHEN site % 5 = 0 THEN '{WEB_WARNING}' || chr(10) || '{WEB_FAILED}' WHEN n = 0 THEN '{WEB_WARNING}' || chr(10) || '{WEB_NOTHING}' WHEN site % 5 = 1 THEN '{WEB_WARNING}' || chr(10) || '{WEB_NO_SYNTHESIS}' ELSE 'tóm tắt ' || site END AS draft,
+    CASE WHEN site % 5 = 0 THEN 0 ELSE urls END AS n_sources, site % 5 <> 0 AND n > 0 AS requires_approval FROM (SELECT page_id % 17 AS site, (count(*) FILTER (WHERE page_id % 17 <> 7))::INTEGER AS n, (count(*) FILTER (WHERE page_id % 17 <> 7 AND page_id % 3 <> 0))::INTEGER AS urls FROM pages GROUP BY 1)"""
+)
+def web_draft(spark, d):
+    p = table(spark, d, "pages").selectExpr("page_id % 17 AS site", "CASE WHEN page_id % 17 <> 7 THEN struct('t' AS title, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS url, 'c' AS content) END AS r")
+    g = p.groupBy("site").agg(F.collect_list("r").alias("results"))
+    made = G.web_draft(F.col("site") % 5 == 0, F.col("results"), F.when(F.col("site") % 5 != 1, F.concat(F.lit(" tóm tắt "), F.col("site").cast("string"))))
+    return g.select("site", *[c.alias(k) for k, c in made.items()])
+
+
+@query(f"SELECT query_id, CASE query_id % 4 WHEN 0 THEN '{OUT_OF_SCOPE}' WHEN 1 THEN '{GREETING}' WHEN 2 THEN trim(substr(text, 1, 9)) ELSE text END AS answer FROM queries", QUESTIONS)
+def canned_answer(spark, d):
+    q = queries(spark, d)
+    route = F.expr("CASE query_id % 4 WHEN 0 THEN 'out_of_scope' WHEN 3 THEN 'legal_rag' ELSE 'chit_chat' END")
+    return q.select("query_id", G.canned_answer(route, F.expr("CASE query_id % 4 WHEN 1 THEN ' ' WHEN 2 THEN concat(' ', substring(text, 1, 9)) ELSE text END")).alias("answer"))
+
+
+@query("SELECT query_id, CASE WHEN query_id % 3 = 0 THEN " + _quoted(CLARIFY) + " ELSE text END AS answer FROM queries", QUESTIONS)
+def low_confidence(spark, d):
+    return queries(spark, d).select("query_id", G.answer_or_clarify(F.col("query_id") % 3 != 0, F.col("text")).alias("answer"))

@@ -8,6 +8,7 @@ from lodestone.functions.fixed import DATE_BUCKETS, LEGAL_DOMAINS, NO_HISTORY, W
 from lodestone.operators import conversation as V
 from lodestone.operators import generation as G
 from lodestone.plans.base import query, table
+from lodestone.sources import chunks as S
 
 BLANKED = "CASE WHEN turn % 5 = 3 THEN ' ' ELSE text END"
 
@@ -174,6 +175,14 @@ def sse_tokens(spark, d):
     return V.token_events(table(spark, d, "benchmark"), "item_id", "text")
 
 
+@query("SELECT item_id, text, ((length(text) + 7) // 8)::BIGINT AS n_events FROM benchmark")
+def sse_round_trip(spark, d):
+    lines = S.event_lines(V.token_events(table(spark, d, "benchmark"), "item_id", "text"))
+    got = S.read_event_lines(lines.select("item_id", "seq", "line"))
+    rows = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    return got.groupBy("item_id").agg(F.array_join(F.transform(rows, lambda x: x["value"]), "").alias("text"), F.count(F.lit(1)).alias("n_events"))
+
+
 CITED = "CASE turn % 3 WHEN 0 THEN concat('[{\"n\":1,\"title\":\"', role, '\"},{\"n\":2,\"title\":\"b\"}]') WHEN 1 THEN NULL ELSE '[]' END"
 
 

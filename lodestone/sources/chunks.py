@@ -83,6 +83,34 @@ def read_pdfs(spark: SparkSession, path: str, extract: Callable[[bytes], list[tu
     return files.mapInPandas(run, "file string, page_no int, text string")
 
 
+def read_pdf_tables(spark: SparkSession, path: str, extract: Callable[[bytes], list[tuple[int, list[list[str | None]]]]]) -> DataFrame:
+    """(tbl, row, col, cell) of the tables in a folder's PDF files, by an injected extractor of (page, rows of cells).
+    tbl names file, page and place; the rows fit markdown_tables."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [(f"{f}#{page}#{n}", i, j, None if cell is None else str(cell)) for f, c in zip(b["file"], b["content"], strict=True) for n, (page, table) in enumerate(extract(c)) for i, line in enumerate(table) for j, cell in enumerate(line)]
+            yield pd.DataFrame(rows, columns=["tbl", "row", "col", "cell"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInPandas(run, "tbl string, row int, col int, cell string")
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """events (key columns, type, value) with line: each as a line of an event stream; the end is a mark of its own."""
+    body = F.to_json(F.struct("type", "value"))
+    return events.withColumn("line", F.when(F.col("type") == "done", "data: [DONE]").otherwise(F.concat(F.lit("data: "), body)))
+
+
+def read_event_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """lines with type and value parsed; other lines, marks of the end and what is no JSON are left out."""
+    body = F.trim(F.substring(line, 6, 1 << 30))
+    parsed = lines.where(F.startswith(line, F.lit("data:"))).withColumn("__e", F.from_json(body, "type string, value string"))
+    return parsed.where("__e.type IS NOT NULL").select(*[c for c in lines.columns if c not in ("type", "value")], F.col("__e.type").alias("type"), F.col("__e.value").alias("value"))
+
+
 def create_points(points: DataFrame, table: str, recreate: bool = False) -> None:
     """The collection as a table: made anew, or left as it is if it exists."""
     points.write.mode("overwrite" if recreate else "ignore").saveAsTable(table)
