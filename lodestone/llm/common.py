@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import clean_up, fresh_path, map_arrow, written
+from lodestone.sources.tables import read_table
 
 __all__ = ["WORD", "clean_up", "fold", "fresh_path", "hash_sample", "held_out", "map_arrow", "table", "trainable", "written"]
 
@@ -14,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
