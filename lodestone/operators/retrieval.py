@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.fixed import BM25_B, BM25_EPSILON, BM25_K1, CANDIDATES, EXCLUSION_RULES, RRF_K, STOPWORDS
+from lodestone.sources.scratch import written
 
 #: Bytes of query vectors up to which they're broadcast to the corpus; beyond, queries are dealt in blocks.
 BROADCAST_QUERIES = 20_000
@@ -31,9 +32,14 @@ def collection_stats(corpus: DataFrame, text: str = "content") -> DataFrame:
     return corpus.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
+def document_frequencies(corpus: DataFrame, text: str = "content") -> DataFrame:
+    """(term, df), counted from each document's distinct terms: only sums of terms are shuffled."""
+    return corpus.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf): negative values become a share of the mean over the vocabulary, negatives included."""
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
+    df = frequencies.crossJoin(F.broadcast(stats.select("n_docs")))
     raw = df.select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -44,13 +50,25 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score) of all documents that hold a term of the query. Statistics are the whole corpus's."""
-    post, stats = postings(corpus), collection_stats(corpus)
-    weights = query_terms(queries).join(idf(post, stats), "term")
-    hit = post.join(weights, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+def query_weights(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, term, weight, avgdl): what a term counts for in a query, by the whole corpus's statistics. A row for
+    each word of a query, written once and read by every scoring."""
+    stats = collection_stats(corpus)
+    weights = query_terms(queries).join(idf(document_frequencies(corpus), stats), "term")
+    weights = weights.crossJoin(F.broadcast(stats.select("avgdl")))  # one row
+    return written(weights.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl"), "bm25-weights")
+
+
+def bm25_scores(corpus: DataFrame, weights: DataFrame) -> DataFrame:
+    """(query_id, id, score) of all documents that hold a term of the query. Words that no query asks for are dropped
+    before they're counted, so what is shuffled follows the queries' words."""
+    t = corpus.select("id", tokens(F.col("content")).alias("t"))
+    words = t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(weights.select("term").distinct(), "term", "left_semi")
+    post = words.groupBy("id", "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("tf"))
     tf = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
+    scored = post.join(weights, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * tf).alias("score"))
+    # rounded, so that sums in another order rank alike
+    return scored.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def top(hits: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -60,19 +78,15 @@ def top(hits: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
-    """The k best documents of allowed (ids), for every query. Documents that score nothing fill what is left,
-    lowest ids first: of those, k + k ids can be needed at most, whatever the corpus."""
-    scored = bm25_scores(corpus, queries)
-    ids = (corpus if allowed is None else allowed).select("id")
-    if allowed is not None:
-        scored = scored.join(ids, "id", "left_semi")
-    # rounded, so that sums in another order rank alike
-    scored = scored.withColumn("score", F.round("score", 6)).select("query_id", "id", "score")
-    best = top(scored.where("score > 0"), k, F.col("score").desc(), F.col("id"))
-    short = queries.select("query_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
-    fill = short.select("query_id").crossJoin(F.broadcast(ids.orderBy("id").limit(2 * k))).join(scored.where("score <> 0"), ["query_id", "id"], "left_anti")
-    rest = scored.where("score < 0").select("query_id", "id", "score")
-    pool = best.select("query_id", "id", "score").unionByName(fill.select("query_id", "id", F.lit(0.0).alias("score"))).unionByName(rest)
+    """The k best documents of allowed (rows of the corpus), for every query. Documents that score nothing fill what is
+    left, lowest ids first: no more than the 2k lowest ids can be needed, so only those are looked at."""
+    weights = query_weights(corpus, queries)
+    rows = corpus if allowed is None else allowed
+    best = top(bm25_scores(rows, weights), k, F.col("score").desc(), F.col("id")).drop("rank")
+    lowest = written(rows.select("id", "content").orderBy("id").limit(2 * k), "bm25-lowest")
+    low = bm25_scores(lowest, weights).where("score <> 0")
+    fill = queries.select("query_id").crossJoin(F.broadcast(lowest.select("id"))).join(low, ["query_id", "id"], "left_anti")
+    pool = best.where("score <> 0").unionByName(fill.select("query_id", "id", F.lit(0.0).alias("score")))
     return top(pool, k, F.col("score").desc(), F.col("id"))
 
 

@@ -50,7 +50,7 @@ def bm25_postings(spark, d):
 @query("SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM idf", CORPUS, POST, IDF)
 def bm25_idf(spark, d):
     c = corpus(spark, d)
-    return R.idf(R.postings(c), R.collection_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.idf(R.document_frequencies(c), R.collection_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("SELECT * FROM bm25", *BM25)
