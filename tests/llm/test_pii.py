@@ -98,3 +98,42 @@ def test_edges(spark):
     assert out.columns == d.columns and {r.doc_id: r.text for r in out.collect()}[2] is None
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
     assert pii.find(docs(spark, [])).count() == 0 and pii.redact(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("555-123-4567 555-987-6543", "[PHONE] [PHONE]"),
+        ("call 555-123-4567 / 555-987-6543.", "call [PHONE] / [PHONE]."),
+        ("2024-01-05 555-123-4567", "2024-01-05 [PHONE]"),
+        ("call me at (017) 555-7713 (018) 555-7714 today", "call me at [PHONE] [PHONE] today"),
+        ("from ip 2001:db8::1, peer fe80::1ff:fe23:4567:890a", "from ip [IP], peer [IP]"),
+        ("std::dec and a::b", "std::dec and a::b"),
+        ("scores 12 34 567 8901 23 45 67 890", "scores 12 34 567 8901 23 45 67 890"),
+    ],
+)
+def test_neighbours_and_shortened(text, want):
+    assert pii.redacted(text, pii.trained()) == want
+
+
+def test_every_span_of_a_run_is_proposed():
+    r = random.Random(4)
+    for _ in range(300):
+        t = "x " + "".join(r.choice("0123456789 -./") for _ in range(50)) + " y"
+        groups = [m.span() for m in re.finditer("[0-9]+", t)]
+        want = {(a, b, len(re.sub("[^0-9]", "", t[a:b]))) for i, (a, _) in enumerate(groups) for _, b in groups[i:] if b - a <= pii.LONGEST}
+        got = pii.numbers(t)
+        assert sorted(s[1:] for s in got if s[0] == "phone") == sorted((a, b) for a, b, n in want if 7 <= n <= 15)
+        assert sorted(s[1:] for s in got if s[0] == "card") == sorted((a, b) for a, b, n in want if 13 <= n <= 19)
+
+
+def test_trees_on_unseen_neighbours():
+    forest = pii.trained()
+    hit = missed = wrong = 0
+    for text, true in pii.crowded(600, 99):
+        base = pii.base_spans(text)
+        added = pii.added_spans(text, base, forest)
+        found = sum(t in base + added for t in true)
+        hit, missed = hit + found, missed + len(true) - found
+        wrong += sum(not any(g[1] < t[2] and t[1] < g[2] for t in true) for g in added)
+    assert hit > 20 * missed and wrong < 0.02 * hit
