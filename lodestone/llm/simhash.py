@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.llm.common import map_arrow, written
 
@@ -121,12 +122,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """fp, rep (the smallest id that has it) and root (that of its component) for every fingerprint of prints."""
+    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    cc = components(links(fps.select("fp")))
+    return written(fps.join(cc, fps["fp"] == cc["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def dedup_components(documents: DataFrame) -> DataFrame:
     """doc_id, fp and component_id for every row of documents."""
     docs = written(fingerprints(documents), "fingerprints")
-    fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    cc = components(links(fps.select("fp")))
-    rooted = written(fps.join(cc, fps["fp"] == cc["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = _rooted(docs)
     # written, so that the join deals out both sides for itself and may split the fingerprints of a large component
     least = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = written(rooted.join(least, "root").select("fp", "component_id"), "components")
@@ -137,10 +143,28 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return dedup_components(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _with_fingerprints(documents: DataFrame) -> DataFrame:
+    """documents with __ls_fp, the fingerprint of their text."""
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).cast(pa.binary()).to_pylist()
+            fp = np.fromiter((fingerprint(t) for t in texts), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "__ls_fp"])
+
+    return map_arrow(documents, run, StructType([*documents.schema.fields, StructField("__ls_fp", LongType())]))
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
-    """Documents without the copies: of each component the row with the smallest id stays. Rows that
-    share that id are one document; the first by content stays. Columns and their values are kept."""
-    kept = dedup_components(documents).where("doc_id <=> component_id").select(F.col("doc_id").alias("__ls_id")).distinct()
-    joined = documents.join(kept, documents["doc_id"].eqNullSafe(F.col("__ls_id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c, t in documents.dtypes if c != "doc_id" and not t.startswith("map")])
+    """Documents without the copies: of each component one row stays, one with the smallest id, or any where none
+    has an id. The row is chosen by id and fingerprint, then the first by content, so rows that share an id, or
+    have none, replace each other only if they are linked. Columns and their values are kept."""
+    first = F.min(F.struct(F.isnull("rep"), "rep", "fp"))
+    kept = _rooted(fingerprints(documents)).groupBy("root").agg(first.alias("s")).select(F.col("s.rep").alias("__ls_id"), F.col("s.fp").alias("__ls_kept"))
+    # written, so that the join deals out both sides for itself and may split the copies that have no id
+    kept = written(kept, "kept")
+    docs = _with_fingerprints(documents)
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__ls_id")) & (docs["__ls_fp"] == F.col("__ls_kept")), "left_semi")
+    order = Window.partitionBy("doc_id", "__ls_fp").orderBy(*[F.col(c).asc_nulls_last() for c, t in documents.dtypes if c != "doc_id" and not t.startswith("map")])
     return joined.withColumn("__ls_first", F.row_number().over(order)).where("__ls_first = 1").select(*documents.columns)

@@ -92,6 +92,13 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_keep_one_drops_linked_rows_only(spark):
+    rows = [(1, prose(1)), (None, prose(1)), (None, prose(2)), (None, prose(3)), (None, prose(3)), (None, prose(4)), (7, prose(5)), (7, prose(6)), (7, prose(6)), (8, prose(6))]
+    got = simhash.keep_one(clashing(docs(spark, rows))).collect()
+    want = [(1, prose(1)), (None, prose(2)), (None, prose(3)), (None, prose(4)), (7, prose(5)), (7, prose(6))]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_large_groups(spark):
     rows = [(i, prose(1)) for i in range(300)] + [(1000 + i, prose(1, 200) + f" tail{i}") for i in range(100)]
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, rows)).collect()}
