@@ -4,7 +4,9 @@ The standard library's parser is run as a stream of events that builds lines: a
 number of tags in it and where it stands. Each line has a ratio of text to tags; the ratios are smoothed
 with a Gaussian over their neighbours and clustered by a threshold (a share of their deviation). The lines
 over the threshold show which element holds the content; that element's lines are the text, short ones
-too, without what stands in menus, headers, footers, asides, forms, adverts, notices and comments.
+too, and lines beside it that are over the threshold, without what stands in menus, headers, footers,
+asides, forms, adverts, notices and comments. Where a class or id marks what isn't content but holds most
+of it, the mark is ignored.
 
 Defined results: null and empty pages give an empty text; a page whose lines are all navigation gives an
 empty text; unclosed and truncated markup is read as far as it goes; repeated rows give repeated rows.
@@ -30,7 +32,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body".split())
 #: Words of class and id, and roles, that mark what is not the article.
-SIDE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|related|replies|respond|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+SIDE = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: With one of these a name speaks of the article or of a layout: entry-header, has-sidebar.
+OWN = frozenset("article content entry has hidden no not post story with without".split())
+#: What may stand beside such a word where only whole names count: share-box, related-posts.
+FRAME = frozenset("area articles bar block box button buttons container form global icons inner item items left links list main mobile page panel posts right section site thread top widgets wrap wrapper".split())
+PART = re.compile(r"[\s_-]+")
 SIDE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
 #: An opened block closes these, if they are open and nearer than the element that holds them.
 CLOSES = {**{t: "p" for t in BLOCKS if t not in ("html", "head", "body")}, "li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
@@ -38,8 +45,17 @@ SIGMA, THRESHOLD = 1.0, 0.5
 SPACE = re.compile(r"\s+")
 
 
+def side_name(name: str, whole: bool) -> bool:
+    """Whether a class or id marks what isn't content: by any of its words, or if whole, by all of them."""
+    parts = [p for p in PART.split(name.lower()) if p]
+    side = SIDE.intersection(parts)
+    if whole:
+        return bool(side - {"header"}) and SIDE.union(FRAME).issuperset(parts)
+    return bool(side) and not OWN.intersection(parts)
+
+
 class Lines(HTMLParser):
-    """Events to lines: (text, tags, element, side). element is a key of path."""
+    """Events to lines: (text, tags, element, side). element is a key of path; side is by tag or role, marks are apart."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -49,6 +65,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, not content, key
         self.parent = [-1]
         self.kind = [""]
+        self.marked: dict[int, bool] = {}  # elements whose class or id isn't content's, and whether by a whole name
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
@@ -79,14 +96,26 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         side = tag in DROPPED
+        within = any(t in ("article", "main") for t, _, _ in self.open)
         if not side and tag == "header":
-            side = not any(t in ("article", "main") for t, _, _ in self.open)
+            side = not within
+        mark = None
         if not side and attrs and tag not in ("html", "body", "article", "main"):
             for name, value in attrs:
-                if value and (name in ("class", "id") and SIDE.search(value) or name == "role" and value.lower() in SIDE_ROLES) or name == "hidden":
+                if value and name == "role" and value.lower() in SIDE_ROLES or name == "hidden":
                     side = True
+                elif value and name in ("class", "id") and tag in BLOCKS and tag not in HEADINGS:
+                    names = value.split()
+                    if any(side_name(n, True) for n in names):
+                        mark = True
+                    elif mark is None and name == "class" and not within and any(side_name(n, False) for n in names):
+                        mark = False
+        if side and tag not in BLOCKS:
+            self.flush()  # what stands before an inline element isn't its text
         if tag in BLOCKS or side or self.open[-1][1]:
             self.push(tag, side)
+            if mark is not None:
+                self.marked[len(self.parent) - 1] = mark
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -124,23 +153,46 @@ def extract(html: str | None) -> str:
     p.feed(html)
     p.close()
     p.flush()
-    kept = [line for line in p.lines if not line[3]]
-    if not kept:
+    if not any(not side for _, _, _, side in p.lines):
         return ""
     # every line takes part in the ratios, so that what stands beside menus is smoothed down
     ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in p.lines], float))
     over = ratio >= THRESHOLD * ratio.std()
+    marked = _within(p, _trusted(p, over.tolist()))
+    kept = [(text, key, content) for (text, _, key, side), content in zip(p.lines, over.tolist(), strict=True) if not side and not marked[key]]
     weight: dict[int, int] = {}
-    for (text, _, key, side), content in zip(p.lines, over.tolist(), strict=True):
-        if content and not side:
+    for text, key, content in kept:
+        if content:
             weight[key] = weight.get(key, 0) + len(text)
     if not weight:
-        weight = {key: len(text) for text, _, key, _ in kept}
-    region = _region(p, weight)
-    inside = [False] * len(p.parent)
+        weight = {key: len(text) for text, key, _ in kept}
+    inside = _within(p, {_region(p, weight)})
+    return "\n\n".join(text for text, key, content in kept if content or inside[key])
+
+
+def _within(p: Lines, keys: set[int]) -> list[bool]:
+    """For every element whether it is one of keys or stands in one."""
+    out = [False] * len(p.parent)
     for k in range(len(p.parent)):  # parents come before their children
-        inside[k] = k == region or p.parent[k] >= 0 and inside[p.parent[k]]
-    return "\n\n".join(text for text, _, key, side in kept if inside[key])
+        out[k] = k in keys or p.parent[k] >= 0 and out[p.parent[k]]
+    return out
+
+
+def _trusted(p: Lines, over: list[bool]) -> set[int]:
+    """The marked elements that aren't content: those that hold most of the dense text are layout, unless an
+    article or main element stands apart from them. For a whole name nearly all is asked for."""
+    if not p.marked:
+        return set()
+    dense = [0] * len(p.parent)
+    for (text, _, key, side), content in zip(p.lines, over, strict=True):
+        if content and not side:
+            dense[key] += len(text)
+    article = _within(p, {k for k, t in enumerate(p.kind) if t in ("article", "main")})
+    total, named = list(dense), [n if article[k] else 0 for k, n in enumerate(dense)]
+    for k in range(len(p.parent) - 1, 0, -1):
+        total[p.parent[k]] += total[k]
+        named[p.parent[k]] += named[k]
+    return {k for k, whole in p.marked.items() if not (total[k] > (0.9 if whole else 0.5) * total[0] and named[k] == named[0])}
 
 
 def _region(p: Lines, weight: dict[int, int]) -> int:

@@ -38,6 +38,27 @@ def test_cases(source, want):
     assert html_extract.extract(source) == want
 
 
+MORE = prose(2, 60)
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        (page(f'<header class="entry-header"><h1>Title</h1></header><p>{LONG}</p>'), f"Title\n\n{LONG}"),
+        (page(f'<h2 id="social-impact">Impact</h2><p>{LONG}</p><section id="related-work"><h2>Related</h2><p>{MORE}</p></section>'), f"Impact\n\n{LONG}\n\nRelated\n\n{MORE}"),
+        (page(f'<p>{LONG}</p><div class="related-posts">more</div><h2 class="social">Kept</h2><p>{MORE}</p>'), f"{LONG}\n\nKept\n\n{MORE}"),
+        (page(f'<p>{LONG} <span class="social">one</span> two</p>'), f"{LONG} one two"),
+        (f'<body><div class="content no-sidebar"><p>{LONG}</p><p>{MORE}</p></div></body>', f"{LONG}\n\n{MORE}"),
+        (f'<body><div class="layout-sidebar"><p>{LONG}</p><p>{MORE}</p></div><div class="ad">Buy</div></body>', f"{LONG}\n\n{MORE}"),
+        (f'<body><div class="has-sidebar"><article><p>{LONG}</p></article><div class="sidebar">x</div></div></body>', LONG),
+        (f"<body><article><p>{LONG} {LONG}</p></article><div><p>{MORE}</p></div></body>", f"{LONG} {LONG}\n\n{MORE}"),
+        (f"<body><h1>A title that stands above</h1><div><p>{LONG}</p><p>{MORE}</p></div></body>", f"A title that stands above\n\n{LONG}\n\n{MORE}"),
+    ],
+)
+def test_no_content_is_lost(source, want):
+    assert html_extract.extract(source) == want
+
+
 def test_table(spark, sf):
     def article(h):
         inner = h.split("<article>", 1)[1].split("</article>")[0]
