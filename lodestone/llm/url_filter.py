@@ -6,6 +6,9 @@ links to a blocked host is distrusted). A host whose distrust exceeds its trust
 without any evidence is allowed. Ranks are a table of hosts, never of pages, and mass at hosts without
 links leaks away, so no step needs a total.
 
+The horizon is ROUNDS links: ranks are those after so many rounds, as in the SQL, converged or not. Up to
+DAMPING ** ROUNDS of the mass (27 %) isn't spread, and a host farther from every seed than that is allowed.
+
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is
 allowed; null html has no links; repeated rows count as often as they occur.
 """
