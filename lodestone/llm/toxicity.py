@@ -38,6 +38,9 @@ THRESHOLD = 0.3
 SAMPLE_DOCS, SAMPLE_CHARS = 2500, 16_000
 ORDINARY_BYTES, TOXIC_SEGMENTS = 160_000, 800
 CACHE = 200_000
+#: Training texts whose sketches of so many min-hashes agree in at least this share are copies.
+SKETCH, COPY = 64, 0.5
+MULTIPLIERS = np.random.default_rng(1).integers(1 << 62, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
 @dataclass
@@ -94,16 +97,33 @@ def spread(text: str, most: int) -> str:
     return " ".join(text[int(i * step) : int(i * step) + size] for i in range(32))
 
 
-def outline(text: str) -> tuple[int, set[str]]:
-    """A min-hash of the text's word triples, which near copies mostly share, and its words."""
+def outline(text: str) -> tuple[np.ndarray, set[str]]:
+    """Min-hashes of the text's word triples, which estimate how many two texts share, and its words."""
     words = TOKEN.findall(text.lower())
-    return min((zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 2))), default=0), set(words)
+    triples = {zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 2))}
+    mixed = np.fromiter(triples, np.uint64, len(triples))[:, None] * MULTIPLIERS
+    return ((mixed ^ (mixed >> np.uint64(29))) * MULTIPLIERS >> np.uint64(32)).min(0), set(words)
+
+
+def leaders(sketches: list[np.ndarray]) -> list[int]:
+    """For each sketch the first one that leads and is estimated to share at least COPY of the triples; else itself."""
+    out: list[int] = []
+    heads, rows = [], np.zeros((len(sketches), SKETCH), np.uint64)
+    for i, sketch in enumerate(sketches):
+        like = np.flatnonzero((rows[: len(heads)] == sketch).mean(1) >= COPY)
+        if len(like):
+            out.append(heads[like[0]])
+        else:
+            rows[len(heads)] = sketch
+            heads.append(i)
+            out.append(i)
+    return out
 
 
 def train_dictionaries(outlines: list[tuple[int, set[str]]], toxic: list[int]) -> tuple[bytes, bytes]:
     """The ordinary dictionary holds the commonest ordinary words, commonest last. The toxic one goes
     on with the words that toxic documents hold significantly more often, most significant last.
-    Copies count once in each class: what a copied document says is no more toxic for it."""
+    outlines: the kind and the words of each text. Those of a kind are copies and count once in each class: what a copied document says is no more toxic for it."""
     seen, kinds = [Counter(), Counter()], [set(), set()]
     for (kind, words), y in zip(outlines, toxic, strict=True):
         if kind not in kinds[y]:
@@ -116,7 +136,7 @@ def train_dictionaries(outlines: list[tuple[int, set[str]]], toxic: list[int]) -
         return (seen[1][w] / n1 - seen[0][w] / n0) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
 
     def chosen(least: float) -> list[str]:
-        found = [(z(w), w) for w, n in seen[1].items() if len(w) > 3 and n > 2 and n / n1 > 3 * seen[0][w] / n0]
+        found = [(z(w), w) for w, n in seen[1].items() if n > 2 and n / n1 > 3 * seen[0][w] / n0]
         return [w for s, w in sorted(found) if s > least][-TOXIC_SEGMENTS:]
 
     bad = chosen(5) or chosen(3)
@@ -150,8 +170,10 @@ def fit_rows(texts: list[str], toxic: list[int], share: float) -> Model:
     if len(set(toxic)) < 2:
         return Model(b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), share)
     # The dictionaries and the curve come from different halves, else the curve would trust what the dictionaries know by heart.
-    outlines = [outline(t) for t in texts]
-    half = [o[0] % 2 for o in outlines]  # copies on one side
+    sketched = [outline(t) for t in texts]
+    kinds = leaders([o[0] for o in sketched])
+    outlines = [(k, o[1]) for k, o in zip(kinds, sketched, strict=True)]
+    half = [int(sketched[k][0][0]) % 2 for k in kinds]  # copies on one side
     parts = []
     for side in (0, 1):
         pick = [i for i, h in enumerate(half) if h == side]

@@ -72,3 +72,16 @@ def test_on_the_table(spark):
     got = toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels")).toPandas()
     m = got.merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
     assert ((m.predicted == 1) == (m.toxic == 1)).mean() > 0.9
+
+
+def test_only_near_copies_are_copies():
+    """Texts that share a fifth of their triples are no copies, whatever hash is the least; changed words don't undo one."""
+    passage = prose(1, 25)
+    shared = [passage + " " + " ".join(f"{w}{i}" for w in prose(2 + i, 40).split()) for i in range(30)]
+    copies = []
+    for i in range(30):
+        words = prose(99, 200).split()
+        words[i * 5] = f"x{i}"
+        copies.append(" ".join(words))
+    got = toxicity.leaders([toxicity.outline(t)[0] for t in shared + copies])
+    assert got == [*range(30), *[30] * 30]
