@@ -50,7 +50,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents, each with the item that it covers best; all others are clean."""
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
