@@ -2,13 +2,14 @@
 
 A document's key is exponential with its quality weight as the rate; within a source the smallest keys
 come first. A target over a source's size is met by complete epochs first; the rest is a prefix of the
-key order whose sizes sum to it. No source is ever sorted as a whole: keys are cut into buckets by their
-distribution function, bucket sums show in which bucket the prefix ends, and only that bucket is ordered.
-What remains is one cut per source, which every row compares itself with.
-
-Defined results: a null text has size 0; a null source is a source, the last one; rows that share id,
-source and size are taken together; an empty table gives no rows. Everything follows from ids and texts,
-so reruns agree.
+key order whose sizes sum to it. No source is ever sorted as a whole: keys are cut into buckets, and these
+into buckets again, by their distribution function; sums show in which one the prefix ends, and only that
+one is ordered, rows with equal keys as one. Of these a count is taken, by row numbers that are counted up
+part by part. What remains is one cut per source, which every row compares itself with.
+
+Defined results: a null text has size 0; a null source is a source, the last one; repeated rows are
+documents each, taken by their places; an empty table gives no rows. But for such places everything
+follows from ids and texts, so reruns agree.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from lodestone.llm.common import WORD, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_EPOCHS = 1.5, 2
+#: Buckets of a source, and of a bucket.
 BUCKETS = 4096
 #: Sources up to which their cuts are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 50_000
@@ -32,19 +34,20 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(letters / F.greatest(F.length(text), F.lit(1)), F.lit(LEAST_WEIGHT))
 
 
-def uniform(doc_id: Column) -> Column:
-    """In (0, 1): 52 bits of the id's MD5."""
-    hexed = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 13)
-    return (F.conv(hexed, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+def uniform(doc_id: Column, text: Column) -> Column:
+    """In (0, 1): 52 bits of an MD5 of the id and the text, so that rows that share an id, or have none, differ."""
+    own = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(text.cast("binary")))
+    return (F.conv(F.substring(F.md5(own.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """documents' rows as __m_id, __m_source, __m_size, __m_key and __m_bucket, besides their own columns."""
+    """documents' rows as __m_id, __m_source, __m_size, __m_key, __m_bucket and __m_row, besides their own columns. To be written, as __m_row counts places."""
     t = F.coalesce(F.col("text"), F.lit(""))
     own = [F.col(f"`{c}`") for c in documents.columns]
-    df = documents.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__m_id"), F.col("source").alias("__m_source"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("__m_size"), quality_weight(t).alias("__m_w"))
-    df = df.withColumn("__m_key", -F.ln(uniform(F.col("doc_id"))) / F.col("__m_w")).drop("__m_w")
-    return df.withColumn("__m_bucket", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1 - F.exp(-0.8 * F.col("__m_key"))))).cast("int"))
+    key = -F.ln(uniform(F.col("doc_id"), t)) / quality_weight(t)
+    df = documents.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__m_id"), F.col("source").alias("__m_source"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("__m_size"), key.alias("__m_key"))
+    bucket = F.least(F.lit(BUCKETS * BUCKETS - 1), F.floor(BUCKETS * BUCKETS * (1 - F.exp(-0.8 * F.col("__m_key")))))
+    return df.withColumn("__m_bucket", bucket.cast("int")).withColumn("__m_row", F.monotonically_increasing_id())
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -64,54 +67,86 @@ def targets(sizes: DataFrame) -> DataFrame:
     return df.select("__m_source", "source_size", F.least("full", F.coalesce(reached, F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, one a source, to be broadcast if they're few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_SOURCES else rows
+
+
+def _cut_bucket(sums: DataFrame, tag: str) -> DataFrame:
+    """Of sums (s, rest, base, bucket, n), base being what lies before all buckets: the one that a prefix of rest ends in, and what lies before it."""
+    upto = F.col("base") + F.sum("n").over(Window.partitionBy("s").orderBy("bucket"))
+    at = sums.withColumn("upto", upto).where("rest > upto - n AND rest <= upto")
+    return _few(written(at.select("s", "rest", (F.col("upto") - F.col("n")).alias("base"), "bucket"), tag))
+
+
+def _inside(keys: DataFrame, ends: DataFrame, bucket: Column) -> DataFrame:
+    return keys.join(ends, F.col("__m_source").eqNullSafe(F.col("s")) & (bucket == F.col("bucket")))
+
+
 def cuts(keys: DataFrame) -> DataFrame:
-    """A row per source: target, full epochs, and the last key that the fractional epoch takes."""
-    sums = keys.groupBy("__m_source", "__m_bucket").agg(F.sum("__m_size").alias("n"))
+    """A row per source: target, full epochs, and the last row that the fractional epoch takes."""
+    coarse, fine = F.shiftright("__m_bucket", (BUCKETS - 1).bit_length()), F.col("__m_bucket")
+    sums = keys.groupBy("__m_source", coarse.alias("bucket")).agg(F.sum("__m_size").alias("n"))
     goals = targets(sums.groupBy("__m_source").agg(F.sum("n").alias("source_size")))
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.lit(MOST_EPOCHS), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
     goals = written(goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-goals")
-    by = Window.partitionBy("__m_source").orderBy("__m_bucket")
-    ends = sums.withColumn("upto", F.sum("n").over(by)).withColumnRenamed("__m_source", "s")
-    ends = ends.join(goals.select(F.col("__m_source").alias("g"), "rest"), F.col("s").eqNullSafe(F.col("g")))
-    ends = ends.where("rest > upto - n AND rest <= upto").select(F.col("s"), F.col("__m_bucket").alias("b"), (F.col("upto") - F.col("n")).alias("base"), "rest")
-    # one bucket of each source is put in order: a BUCKETS-th of its rows
-    inside = keys.join(ends, F.col("__m_source").eqNullSafe(F.col("s")) & (F.col("__m_bucket") == F.col("b")))
-    order = Window.partitionBy("s").orderBy("__m_key", "__m_id", "__m_size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("upto", F.col("base") + F.sum("__m_size").over(order))
-    # the document that crosses the budget is taken if at least half of it fits
-    taken = inside.where("2 * upto - __m_size <= 2 * rest").groupBy("s").agg(F.max(F.struct("__m_key", "__m_id", "__m_size")).alias("last"))
-    ends = ends.select(F.col("s").alias("e"), "b").join(taken, F.col("e").eqNullSafe(F.col("s")), "left").select("e", "b", "last")
-    return goals.join(ends, F.col("__m_source").eqNullSafe(F.col("e")), "left").select(F.col("__m_source").alias("__c_source"), F.col("source_size").alias("__c_size"), F.col("target").alias("__c_target"), F.col("epochs").alias("__c_epochs"), F.col("b").alias("__c_bucket"), F.col("last").alias("__c_last"))
-
-
-def planned(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The keys of all rows, and the cuts of all sources."""
-    slim = keyed(documents.select("doc_id", "text", "source")).select("__m_id", "__m_source", "__m_size", "__m_key", "__m_bucket")
-    slim = written(slim, "mix-keys")
-    return slim, written(cuts(slim), "mix-cuts")
+    first = sums.join(_few(goals.select(F.col("__m_source").alias("s"), "rest")), F.col("__m_source").eqNullSafe(F.col("s")))
+    ends = _cut_bucket(first.select("s", "rest", F.lit(0).cast("long").alias("base"), "bucket", "n"), "mix-coarse")
+    second = _inside(keys, ends, coarse).groupBy("s", "rest", "base", fine.alias("bucket")).agg(F.sum("__m_size").alias("n"))
+    ends = _cut_bucket(second, "mix-fine")
+    # of the bucket's rows those of equal keys are one; documents are taken while at least half of them fits
+    same = _inside(keys, ends, fine).groupBy("s", "rest", "base", "__m_key", "__m_id", "__m_size").agg(F.count(F.lit(1)).alias("m"))
+    order = Window.partitionBy("s").orderBy("__m_key", "__m_id", "__m_size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("base") + F.coalesce(F.sum(F.col("m") * F.col("__m_size")).over(order), F.lit(0))
+    fits = F.floor((2 * F.col("rest") - 2 * F.col("before") + F.col("__m_size")) / (2 * F.col("__m_size")))
+    same = same.withColumn("before", before).withColumn("take", F.when(F.col("__m_size") > 0, F.least("m", fits)).otherwise(F.col("m"))).where("take > 0")
+    last = same.groupBy("s").agg(F.max(F.struct("__m_key", "__m_id", "__m_size", "m", "take")).alias("x"))
+    last = written(last.select("s", "x.*"), "mix-last")
+    last = last.select("s", F.struct("__m_key", "__m_id", "__m_size").alias("last"), F.col("m").alias("m"), F.col("take").alias("take"))
+    last = _with_last_row(keys, last)
+    ends = ends.select(F.col("s").alias("e"), "bucket").join(last, F.col("e").eqNullSafe(F.col("s")), "left")
+    return goals.join(ends.select("e", "bucket", "last", "last_row"), F.col("__m_source").eqNullSafe(F.col("e")), "left").select(F.col("__m_source").alias("__c_source"), F.col("source_size").alias("__c_size"), F.col("target").alias("__c_target"), F.col("epochs").alias("__c_epochs"), F.col("bucket").alias("__c_bucket"), F.col("last").alias("__c_last"), F.col("last_row").alias("__c_row"))
+
+
+def _with_last_row(keys: DataFrame, last: DataFrame) -> DataFrame:
+    """last (s, last, m, take) with last_row: of m equal rows the place of the take-th, null if all are taken. Places are
+    counted by the part of the table that they stand in, so equal rows never meet in one task."""
+    part = last.where("take < m")
+    if part.isEmpty():
+        return last.withColumn("last_row", F.lit(None).cast("long"))
+    part = _few(part)
+    rows = keys.join(part, F.col("__m_source").eqNullSafe(F.col("s")) & (F.struct("__m_key", "__m_id", "__m_size") == F.col("last"))).select("s", "take", "__m_row", F.shiftright("__m_row", 33).alias("p"))
+    upto = F.sum("n").over(Window.partitionBy("s").orderBy("p"))
+    at = rows.groupBy("s", "take", "p").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto).where("take > upto - n AND take <= upto")
+    at = _few(written(at.select(F.col("s").alias("as"), F.col("p").alias("ap"), (F.col("take") - F.col("upto") + F.col("n")).alias("nth")), "mix-part"))
+    inside = rows.join(at, F.col("s").eqNullSafe(F.col("as")) & (F.col("p") == F.col("ap")))
+    nth = inside.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("__m_row"))).where("k = nth").select(F.col("s").alias("ls"), F.col("__m_row").alias("last_row"))
+    return last.join(nth, F.col("s").eqNullSafe(F.col("ls")), "left").drop("ls")
 
 
 def with_copies(rows: DataFrame, cut: DataFrame) -> DataFrame:
-    if cut.count() <= BROADCAST_SOURCES:
-        cut = F.broadcast(cut)
-    df = rows.join(cut, F.col("__m_source").eqNullSafe(F.col("__c_source")))
-    inside = (F.col("__m_bucket") < F.col("__c_bucket")) | ((F.col("__m_bucket") == F.col("__c_bucket")) & (F.struct("__m_key", "__m_id", "__m_size") <= F.col("__c_last")))
+    df = rows.join(_few(cut), F.col("__m_source").eqNullSafe(F.col("__c_source")))
+    own = F.struct("__m_key", "__m_id", "__m_size")
+    upto = (own < F.col("__c_last")) | ((own == F.col("__c_last")) & (F.col("__c_row").isNull() | (F.col("__m_row") <= F.col("__c_row"))))
+    inside = (F.col("__m_bucket") < F.col("__c_bucket")) | ((F.col("__m_bucket") == F.col("__c_bucket")) & upto)
     return df.withColumn("__m_copies", F.col("__c_epochs") + F.coalesce(inside, F.lit(False)).cast("long"))
 
 
 def mix_plan(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row."""
-    keys, cut = planned(documents)
-    df = with_copies(keys, cut)
+    keys = written(keyed(documents.select("doc_id", "text", "source")).drop("doc_id", "text", "source"), "mix-keys")
+    df = with_copies(keys, written(cuts(keys), "mix-cuts"))
     doc_id = F.when(F.col("__m_id") != -(1 << 63), F.col("__m_id"))
     return df.select(doc_id.alias("doc_id"), F.col("__m_size").alias("size"), F.col("__c_size").alias("source_size"), F.round("__c_target", 6).alias("target"), (F.col("__m_copies") * F.col("__m_size")).alias("taken"))
 
 
 def mix(documents: DataFrame) -> DataFrame:
-    """The rows that the mix takes, with size, copies and taken words beside documents' own columns. The texts aren't shuffled."""
-    _, cut = planned(documents)
+    """The rows that the mix takes, with size, copies and taken words beside documents' own columns. Texts are keyed and
+    written once, and read again without a shuffle."""
+    whole = written(keyed(documents), "mix-keyed")
+    cut = written(cuts(whole.select("__m_id", "__m_source", "__m_size", "__m_key", "__m_bucket", "__m_row")), "mix-cuts")
     own = [F.col(f"`{c}`") for c in documents.columns]
-    df = with_copies(keyed(documents), cut).where("__m_copies > 0")
+    df = with_copies(whole, cut).where("__m_copies > 0")
     new = {"size": F.col("__m_size"), "source_size": F.col("__c_size"), "target": F.round("__c_target", 6), "copies": F.col("__m_copies"), "taken": F.col("__m_copies") * F.col("__m_size")}
     return df.select(*own, *[c.alias(n) for n, c in new.items() if n not in documents.columns])
 
@@ -119,7 +154,7 @@ def mix(documents: DataFrame) -> DataFrame:
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
     greatest(length(regexp_replace(coalesce(text, ''), '[^\\p{{L}}]+', '', 'g')) / greatest(length(coalesce(text, '')), 1)::DOUBLE, {LEAST_WEIGHT}) AS w,
-    ((('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+    ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM d GROUP BY source),
 f AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS fills_at FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY fills_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY fills_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),

@@ -21,7 +21,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -122,9 +122,9 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _rooted(prints: DataFrame) -> DataFrame:
-    """fp, rep (the smallest id that has it) and root (that of its component) for every fingerprint of prints."""
-    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+def _rooted(prints: DataFrame, rep: Column) -> DataFrame:
+    """fp, rep (aggregated over the rows that have it) and root (that of its component) for every fingerprint of prints."""
+    fps = written(prints.groupBy("fp").agg(rep.alias("rep")), "distinct-fingerprints")
     cc = components(links(fps.select("fp")))
     return written(fps.join(cc, fps["fp"] == cc["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
 
@@ -132,7 +132,7 @@ def _rooted(prints: DataFrame) -> DataFrame:
 def dedup_components(documents: DataFrame) -> DataFrame:
     """doc_id, fp and component_id for every row of documents."""
     docs = written(fingerprints(documents), "fingerprints")
-    rooted = _rooted(docs)
+    rooted = _rooted(docs, F.min("doc_id"))
     # written, so that the join deals out both sides for itself and may split the fingerprints of a large component
     least = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = written(rooted.join(least, "root").select("fp", "component_id"), "components")
@@ -158,13 +158,13 @@ def _with_fingerprints(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """Documents without the copies: of each component one row stays, one with the smallest id, or any where none
-    has an id. The row is chosen by id and fingerprint, then the first by content, so rows that share an id, or
-    have none, replace each other only if they are linked. Columns and their values are kept."""
-    first = F.min(F.struct(F.isnull("rep"), "rep", "fp"))
-    kept = _rooted(fingerprints(documents)).groupBy("root").agg(first.alias("s")).select(F.col("s.rep").alias("__ls_id"), F.col("s.fp").alias("__ls_kept"))
-    # written, so that the join deals out both sides for itself and may split the copies that have no id
-    kept = written(kept, "kept")
-    docs = _with_fingerprints(documents)
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__ls_id")) & (docs["__ls_fp"] == F.col("__ls_kept")), "left_semi")
-    order = Window.partitionBy("doc_id", "__ls_fp").orderBy(*[F.col(c).asc_nulls_last() for c, t in documents.dtypes if c != "doc_id" and not t.startswith("map")])
-    return joined.withColumn("__ls_first", F.row_number().over(order)).where("__ls_first = 1").select(*documents.columns)
+    has an id; of rows that share it the first by a hash of the text, then by place. So rows that share an id, or have
+    none, replace each other only if they are linked. Columns and their values are kept. Rows are written once with
+    their fingerprints and a number of their own; which rows stay is decided on those alone, and texts are shuffled
+    once, by number, so evenly whatever ids and copies there are."""
+    numbered = _with_fingerprints(documents).withColumn("__ls_row", F.monotonically_increasing_id())
+    whole = written(numbered, "with-fingerprints")
+    own = whole.select("doc_id", F.col("__ls_fp").alias("fp"), F.xxhash64("text").alias("h"), F.col("__ls_row").alias("row"))
+    rooted = _rooted(own, F.min(F.struct(F.isnull("doc_id"), "doc_id", "h", "row")))
+    kept = written(rooted.groupBy("root").agg(F.min("rep").alias("s")).select(F.col("s.row").alias("__ls_kept")), "kept")
+    return whole.join(kept, F.col("__ls_row") == F.col("__ls_kept"), "left_semi").select(*documents.columns)

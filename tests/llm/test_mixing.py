@@ -67,6 +67,19 @@ def test_edges(spark):
     assert [r.taken for r in mixing.mix_plan(docs(spark, [(1, None), (2, "")])).collect()] == [0, 0]
 
 
+def test_rows_without_id_and_equal_rows_meet_the_targets(spark):
+    """Rows that share id, text and size are taken one by one: targets are met to half a document."""
+    rows = [(None, prose(i, 10), "en", "a") for i in range(1000)] + [(7, prose(1, 10), "en", "b")] * 1000 + [(i, prose(2, 10), "en", "c") for i in range(50)]
+    d = docs(spark, rows).repartition(5)
+    got = pd.DataFrame([r.asDict() for r in mixing.mix_plan(d).collect()])
+    assert len(got) == len(rows)
+    for n, g in got.groupby("source_size"):
+        assert all(abs(x.taken.sum() - t) <= 5 for t, x in g.groupby("target"))
+    mixed = mixing.mix(d).toPandas()
+    want = got.groupby("target").taken.sum().round(6).to_dict()
+    assert mixed.groupby("target").taken.sum().round(6).to_dict() == want
+
+
 def test_mix_keeps_rows(spark):
     d = docs(spark, [(i, prose(i, 30), "en", f"s{i % 3}") for i in range(90)])
     plan = {r.doc_id: r.taken for r in mixing.mix_plan(d).collect()}

@@ -99,6 +99,25 @@ def test_keep_one_drops_linked_rows_only(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_keep_one_by_brute_force(spark):
+    """With null and repeated ids and near copies: one row of every component of all rows, one with its smallest id."""
+    r = random.Random(6)
+    rows = []
+    for i in range(120):
+        words = prose(i % 25, 150).split()
+        words[r.randrange(150)] = f"x{r.randrange(4)}"
+        rows.append((r.choice([None, i, i // 3, 5]), " ".join(words)))
+    groups = plain_components({k: plain_fingerprint(t) for k, (_, t) in enumerate(rows)})
+    want = {}
+    for k, (i, _) in enumerate(rows):
+        want.setdefault(groups[k], []).append((i is None, i))
+    got = simhash.keep_one(docs(spark, rows).repartition(4)).collect()
+    place = {}
+    for k, row in enumerate(rows):
+        place.setdefault(row, groups[k])
+    assert sorted(((place[x.doc_id, x.text], x.doc_id) for x in got), key=str) == sorted(((g, min(v)[1]) for g, v in want.items()), key=str)
+
+
 def test_large_groups(spark):
     rows = [(i, prose(1)) for i in range(300)] + [(1000 + i, prose(1, 200) + f" tail{i}") for i in range(100)]
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, rows)).collect()}
