@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.sources.scratch import clean_up, fresh_path, map_arrow, written
 from lodestone.sources.tables import read_table
 
-__all__ = ["WORD", "clean_up", "fold", "fresh_path", "hash_sample", "held_out", "map_arrow", "table", "trainable", "written"]
+__all__ = ["WORD", "clean_up", "fold", "fresh_path", "hash_sample", "held_out", "map_arrow", "spread", "table", "trainable", "written"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +33,12 @@ def trainable(doc_id: str | Column = "doc_id") -> Column:
     return fold(doc_id) != 2
 
 
+def spread(text: Column, most: int) -> Column:
+    """A training text; of a longer one 32 pieces spread evenly over it, so that one document can't fill a sample, nor the driver."""
+    piece = lambda i: F.substring(text, (F.floor(i * F.length(text) / 32) + 1).cast("int"), F.lit(most // 32))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), piece), " "))
+
+
 def hash_sample(keys: DataFrame, by: str, n: int) -> DataFrame:
     """At most n rows, the same on every run: those of the smallest hash. Runs as a top-k, never a full sort."""
     return keys.orderBy(F.xxhash64(by), by).limit(n)

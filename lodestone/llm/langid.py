@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import held_out, map_arrow, trainable
+from lodestone.llm.common import held_out, map_arrow, spread, trainable
 
-#: Bounds of the training sample: documents of a language, characters taken of each.
+#: Bounds of the training sample: documents of a language, characters taken of each (in pieces spread over a longer one).
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 16_000
 #: The sample of a language is drawn slice by slice of the ids' hashes.
 SLICES = 40
@@ -36,21 +36,36 @@ UNKNOWN = "und"
 
 
 def letters_table() -> np.ndarray:
-    """By code point below 0x20000; what lies above is taken for letters."""
-    return np.array([chr(c).isalpha() for c in range(0x20000)], bool)
+    """Whether a code point is a letter, by its Unicode category."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)], bool)
 
 
-def trigrams(text: str, is_letter: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Hashed trigrams of the lower-case letters, other characters being blanks; and whether there is a letter."""
+def _letters(text: str, is_letter: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Lower-case letters, each run of other characters being one blank; and whether there is a letter."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    known = is_letter[np.minimum(c, len(is_letter) - 1)] | (c >= len(is_letter))
+    known = is_letter[c]
     c = np.where(known, c, 32).astype(np.uint32)
-    c = np.concatenate([[32], c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]] if len(c) else c, [32]]).astype(np.uint32)
+    return c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]] if len(c) else c, bool(known.any())
+
+
+def _hashed(c: np.ndarray) -> np.ndarray:
     if len(c) < 3:
-        return np.zeros(0, np.uint32), False
+        return np.zeros(0, np.uint32)
     h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA77)) ^ (c[2:] * np.uint32(0xC2B2AE3D))
     h ^= h >> np.uint32(15)
-    return (h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS), bool(known.any())
+    return (h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
+
+
+def pieces(text: str, is_letter: np.ndarray):
+    """(hashed trigrams, whether there is a letter), piece by piece; trigrams over a seam belong to the later piece."""
+    tail = np.array([32], np.uint32)
+    for at in range(0, len(text), PIECE):
+        c, found = _letters(text[at : at + PIECE], is_letter)
+        c = np.concatenate([tail, c[1:] if len(c) and tail[-1] == c[0] == 32 else c])
+        if at + PIECE >= len(text) and c[-1] != 32:
+            c = np.append(c, np.uint32(32))
+        yield _hashed(c), found
+        tail = c[-2:]
 
 
 @dataclass
@@ -60,24 +75,23 @@ class Model:
 
 
 def fit(documents: DataFrame) -> Model:
-    from lodestone.llm.toxicity import spread
-
-    keys = documents.where(F.col("lang").isNotNull() & trainable()).select("doc_id", "lang")
+    keys = documents.where(F.col("lang").isNotNull() & trainable()).select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), F.xxhash64("doc_id").alias("h"))
     # first within slices of each language, so that no task gathers what every task of a long scan keeps of one language
-    keys = keys.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), F.xxhash64("doc_id").alias("h")).withColumn("slice", F.pmod("h", F.lit(SLICES)))
-    first = keys.withColumn("rn", F.row_number().over(Window.partitionBy("l", "slice").orderBy("h", "i"))).where(F.col("rn") <= SAMPLE_DOCS // SLICES)
-    sample = first.select("i", "l").distinct()
-    # SAMPLE_DOCS ids of each language
-    rows = documents.select("doc_id", "text", "lang").join(F.broadcast(sample), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("doc_id", "lang", F.substring("text", 1, 1_000_000).alias("text")).collect()
-    return fit_rows([(r.lang, spread(r.text or "", SAMPLE_CHARS)) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text or ""))])
+    first = lambda df, *by: df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("h", "i"))).where(F.col("rn") <= SAMPLE_DOCS)
+    sample = first(first(keys.distinct().withColumn("slice", F.pmod("h", F.lit(SLICES))), "l", "slice"), "l").select("i", "l")
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text"), "lang").join(F.broadcast(sample), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l")))
+    # an id may have many rows; of a language at most SAMPLE_DOCS texts come to the driver, of SAMPLE_CHARS each
+    rows = rows.select("doc_id", "lang", spread(F.coalesce("text", F.lit("")), SAMPLE_CHARS).alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= SAMPLE_DOCS).collect()
+    return fit_rows([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text))])
 
 
 def fit_rows(rows: list[tuple[str, str]]) -> Model:
     languages, is_letter = sorted({lang for lang, _ in rows}), letters_table()
     counts = np.zeros((len(languages), 1 << BITS))
     for lang, text in rows:
-        t, _ = trigrams(text, is_letter)
-        counts[languages.index(lang)] += np.bincount(t, minlength=1 << BITS)
+        for t, _ in pieces(text, is_letter):
+            counts[languages.index(lang)] += np.bincount(t, minlength=1 << BITS)
     # what is seen in any language has mass in all
     p = counts + SMOOTHING + 0.5 * counts.sum(0) / max(1.0, counts.sum()) * 1000
     return Model(languages, np.log(p / p.sum(1, keepdims=True)).T.astype(np.float32).copy())
@@ -85,12 +99,16 @@ def fit_rows(rows: list[tuple[str, str]]) -> Model:
 
 def window_likelihoods(text: str, model: Model, is_letter: np.ndarray) -> tuple[np.ndarray, bool]:
     """Window x language; and whether there is a letter."""
-    out, any_letter = [], False
-    for at in range(0, len(text), PIECE):
-        t, found = trigrams(text[at : at + PIECE], is_letter)
+    out, any_letter, rest = [], False, np.zeros(0, np.uint32)
+    for t, found in pieces(text, is_letter):
         any_letter |= found
-        if found:
-            out.append(np.add.reduceat(model.log_p[t], np.arange(0, len(t), WINDOW), axis=0))
+        t = np.concatenate([rest, t])
+        full = len(t) // WINDOW * WINDOW
+        if full:
+            out.append(np.add.reduceat(model.log_p[t[:full]], np.arange(0, full, WINDOW), axis=0))
+        rest = t[full:]
+    if len(rest):
+        out.append(model.log_p[rest].sum(0, keepdims=True))
     return (np.vstack(out) if out else np.zeros((0, len(model.languages)))), any_letter
 
 

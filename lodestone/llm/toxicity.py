@@ -27,14 +27,14 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hash_sample, held_out, map_arrow, trainable
+from lodestone.llm.common import hash_sample, held_out, map_arrow, spread, trainable
 
 TOKEN = re.compile(r"\w+")
 ENCODING = "utf-16-le"
 #: Bytes saved at which a window counts.
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 THRESHOLD = 0.3
-#: Bounds of the training sample: labelled documents of a class, and characters taken of each.
+#: Bounds of the training sample: labelled documents of a class, and characters taken of each (in pieces spread over a longer one).
 SAMPLE_DOCS, SAMPLE_CHARS = 2500, 16_000
 ORDINARY_BYTES, TOXIC_SEGMENTS = 160_000, 800
 CACHE = 200_000
@@ -89,14 +89,6 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.hstack([np.log1p(hits), np.log1p(100 * hits / n)])
 
 
-def spread(text: str, most: int) -> str:
-    """Windows spread evenly over a long training text, so that one document can't fill the sample."""
-    if len(text) <= most:
-        return text
-    step, size = len(text) / 32, most // 32
-    return " ".join(text[int(i * step) : int(i * step) + size] for i in range(32))
-
-
 def outline(text: str) -> tuple[np.ndarray, set[str]]:
     """Min-hashes of the text's word triples, which estimate how many two texts share, and its words."""
     words = TOKEN.findall(text.lower())
@@ -161,9 +153,11 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1) & trainable()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = hash_sample(known.where("toxic = 1"), "doc_id", SAMPLE_DOCS).unionByName(hash_sample(known.where("toxic = 0"), "doc_id", SAMPLE_DOCS))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.substring("text", 1, 1_000_000).alias("text"), "toxic").collect()  # at most 2 x SAMPLE_DOCS ids
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return fit_rows([spread(r.text or "", SAMPLE_CHARS) for r in rows], [int(r.toxic) for r in rows], share)
+    rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", spread(F.col("text"), SAMPLE_CHARS).alias("text"), "toxic")
+    # an id may have many rows; at most 2 x SAMPLE_DOCS texts come to the driver, of SAMPLE_CHARS each
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(2 * SAMPLE_DOCS).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text))
+    return fit_rows([r.text for r in rows], [int(r.toxic) for r in rows], share)
 
 
 def fit_rows(texts: list[str], toxic: list[int], share: float) -> Model:

@@ -1,33 +1,42 @@
 """WARC archives of pages, read back and indexed by an external merge.
 
-Records are written by Spark's text writer (a WARC record is UTF-8 headers, payload and a closing
-CRLF CRLF, whose last byte is the writer's line end), so tasks commit whole files or nothing. Equal
-payloads are stored once: the record of the largest page_id is a response, the others are revisits.
-Which is which comes from digests alone; payloads are shuffled once, by page_id.
+A record is UTF-8 headers, a payload and a closing CRLF CRLF, compressed as a gzip member of its own, so that
+it can be read by its offset. Archives are filled to FILE_BYTES and written by Spark's text writer, a row to a
+file, so tasks commit whole files or nothing. (A member ends with its length, whose last byte is zero below
+16 MB; that byte is the writer's line end. Longer records take several members.) Equal payloads are stored
+once: the record of the largest page_id is a response, the others are revisits. Which is which comes from
+digests alone; payloads are shuffled once, by page_id and digest.
 
-Reading parses whole archives by Content-Length, checks the digest of every stored payload, and leaves a
-capture run per archive, sorted by URL key and timestamp. The runs are dealt into ranges of that order
-and each range is merged by a loser tree, which gives capture histories in global order.
+Reading parses archives member by member, checks the digest of every stored payload, and leaves a capture run
+per archive, sorted by URL key and timestamp. The runs are dealt into ranges of that order and each range is
+merged by a loser tree, which gives capture histories in global order.
 
 Defined results: null html has an empty payload; null urls have no target header and sort first; records
 with a null page_id are written, are no one's response if another has the same payload, and come back
-with a null page_id; rows that repeat both id and payload give one record each, all of the same type.
+with a null page_id; rows that repeat both id and payload give one record each, all of the same type, each
+with a record id of its own.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+import zlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import fresh_path, map_arrow, written
 
 CRLF = "\r\n"
-#: Records of an archive file, and captures that one merging task holds.
-FILE_RECORDS, RANGE_CAPTURES = 2000, 50_000
+#: Bytes at which an archive file is full, bytes of a record that a gzip member takes at most, bytes unpacked at a time.
+FILE_BYTES, MEMBER_BYTES, CHUNK = 32 << 20, 8 << 20, 1 << 16
+#: Captures that one merging task holds.
+RANGE_CAPTURES = 50_000
+PAGE, REFERRED = "X-Page-ID", "X-Refers-To-Page-ID"
 BASE32_FROM, BASE32_TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string, run string, place long"
 
@@ -46,59 +55,109 @@ def captured(page_id: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """A column value: the whole record without its last line feed."""
+    """A column value: the record as bytes, but for its first line and its id."""
     df = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     df = df.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    slim = df.select("page_id", "digest")
-    first = slim.groupBy("digest").agg(F.max("page_id").alias("keeper"))
+    slim = df.select("page_id", "digest", "url")
+    first = slim.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("first"))  # a null id is the least
     # (page_id, digest) is never null: rows without an id are told apart from all ids
-    chosen = slim.distinct().join(first, "digest").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "keeper")
+    chosen = slim.select("page_id", "digest").distinct().join(first, "digest").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first.page_id").alias("keeper"), F.col("first.url").alias("keeper_url"))
     df = df.join(chosen, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")))
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     length = F.octet_length("html")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), length, F.lit(CRLF * 2))
     block = F.when(revisit, http).otherwise(F.concat(http, "html"))
-    url = F.regexp_replace("url", r"[\x00-\x20\x7f]+", "%20")
-    name = lambda c: F.concat(F.lit("<urn:lodestone:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
+    address = lambda c: F.regexp_replace(c, r"[\x00-\x20\x7f]+", "%20")
     head = [
-        F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), name(F.col("page_id"))),
+        F.concat(F.lit(f"{PAGE}: "), F.col("page_id").cast("string")),
         F.concat(F.lit("WARC-Date: "), captured(F.col("page_id"))),
-        F.concat(F.lit("WARC-Target-URI: "), url),
+        F.concat(F.lit("WARC-Target-URI: "), address("url")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest"),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), name(F.col("keeper")))),
+        F.when(revisit, F.concat(F.lit(f"{REFERRED}: "), F.col("keeper").cast("string"))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To-Target-URI: "), address("keeper_url"))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To-Date: "), captured(F.col("keeper")))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block)),
     ]
-    return df.select(F.concat(F.concat_ws(CRLF, *head), F.lit(CRLF * 2), block, F.lit(CRLF + "\r")).alias("value"))
+    return df.select(F.concat(F.concat_ws(CRLF, *head), F.lit(CRLF * 2), block, F.lit(CRLF * 2)).cast("binary").alias("value"))
+
+
+def member(data: bytes) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    records(pages).write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", "\n").option("compression", "gzip").text(path)
+    """Archive files under path, a gzip member for each record."""
+    archive = uuid.uuid4()
+
+    def pack(batches):
+        task, n, size, full = TaskContext.get().partitionId(), 0, 0, []
+
+        def file():
+            content = b"".join(full)
+            assert content.endswith(b"\0")
+            return pa.RecordBatch.from_arrays([pa.array([content[:-1]], pa.binary())], names=["value"])
+
+        for b in batches:
+            for value in b.column(0):
+                record = f"WARC/1.1{CRLF}WARC-Record-ID: <urn:uuid:{uuid.uuid5(archive, f'{task}:{n}')}>{CRLF}".encode() + value.as_py()
+                n += 1
+                members = [member(record[at : at + MEMBER_BYTES]) for at in range(0, len(record), MEMBER_BYTES)]
+                full += members
+                size += sum(map(len, members))
+                if size >= FILE_BYTES:
+                    yield file()
+                    size, full = 0, []
+        if full:
+            yield file()
+
+    files = map_arrow(records(pages), pack, "value binary").select(F.col("value").cast("string"))
+    files.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
+
+
+def members(data: bytes):
+    """(offset, content) of every gzip member. Raises on one that breaks off."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, start, out = zlib.decompressobj(31), at, []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError(f"the member at byte {start} breaks off")
+            out.append(z.decompress(view[at : at + CHUNK]))
+            at = min(at + CHUNK, len(view))
+        at -= len(z.unused_data)
+        yield start, b"".join(out)
 
 
 def parse(data: bytes):
-    """(place, headers, block) of every record of an archive. Raises on a record that breaks off."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        start = end + 4
-        stop = start + int(head["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} breaks off")
-        yield at, head, data[start:stop]
-        at = stop + 4
-
-
-def _page(name: str | None) -> int | None:
-    got = (name or "").removeprefix("<urn:lodestone:page:").removesuffix(">")
-    return None if got in ("", "none") else int(got)
+    """(offset, headers, block) of every record of an archive. Raises on a record that breaks off."""
+    begun, parts, missing = 0, [], 0
+    for at, content in members(data):
+        if not parts:
+            end = content.find(b"\r\n\r\n")
+            if not content.startswith(b"WARC/") or end < 0:
+                raise ValueError(f"no record at byte {at}")
+            head = {k.lower(): v for k, _, v in (x.partition(": ") for x in content[:end].decode("utf-8").split(CRLF)[1:])}
+            begun, missing = at, end + 4 + int(head["content-length"]) + 4
+        parts.append(content)
+        missing -= len(content)
+        if missing < 0:
+            raise ValueError(f"the record at byte {begun} is longer than it says")
+        if not missing:
+            whole = b"".join(parts)
+            if not whole.endswith(b"\r\n\r\n"):
+                raise ValueError(f"the record at byte {begun} has no end")
+            yield begun, head, whole[end + 4 : -4]
+            parts = []
+    if parts:
+        raise ValueError(f"the record at byte {begun} breaks off")
+
+
+def _page(said: str | None) -> int | None:
+    return None if said is None else int(said)
 
 
 def capture(run: str, place: int, head: dict[str, str], block: bytes) -> tuple:
@@ -109,7 +168,7 @@ def capture(run: str, place: int, head: dict[str, str], block: bytes) -> tuple:
     if head["warc-type"] == "response":
         if len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != said:
             raise ValueError(f"{run}: the payload at byte {place} is damaged")
-    return _page(head["warc-record-id"]), head.get("warc-target-uri"), size, said, head["warc-type"], _page(head.get("warc-refers-to")), head["warc-date"], run, place
+    return _page(head.get(PAGE.lower())), head.get("warc-target-uri"), size, said, head["warc-type"], _page(head.get(REFERRED.lower())), head["warc-date"], run, place
 
 
 def surt(url: str | None) -> str:
@@ -127,8 +186,6 @@ def _order(row: tuple) -> tuple:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all archives; those of one archive are one run, sorted."""
-    import gzip
-
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "run", "place"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
 
@@ -136,7 +193,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 name, rows = file.rpartition("/")[2], []
-                for place, head, block in parse(gzip.decompress(content.as_py())):
+                for place, head, block in parse(content.as_py()):
                     c = capture(name, place, head, block)
                     rows.append((*c[:6], surt(c[1]), *c[6:]))
                 rows.sort(key=_order)

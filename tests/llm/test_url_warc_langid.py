@@ -1,9 +1,11 @@
 import base64
 import gzip
 import hashlib
+import io
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -117,23 +119,33 @@ def test_warc_round_trip(spark):
     assert order == sorted(order)
 
 
-def test_warc_archives_hold_the_payloads(spark):
+def test_warc_archives_hold_the_payloads(spark, monkeypatch):
+    """By a small bound: files are bounded in bytes, every record is a member that its offset leads to, record ids are unique."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 100_000)
     path = fresh_path(spark, "test-warc")
-    rows = warc_rows()
-    warc.write_archives(spark.createDataFrame(rows, PAGES), path)
-    found = {}
+    rows = warc_rows() + [(104, "http://h0.example.com/b", "é𝒳\n\r")] * 2 + [(106, "w", prose(77, 60_000))]
+    warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(2), path)
+    found, ids, sizes = {}, [], []
     for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect():
-        for _, head, block in warc.parse(gzip.decompress(r.content)):
+        sizes.append(len(r.content))
+        whole = gzip.decompress(r.content)
+        for place, head, block in warc.parse(r.content):
+            ids.append(head["warc-record-id"])
+            assert gzip.GzipFile(fileobj=io.BytesIO(r.content[place:])).read(9) == b"WARC/1.1\r" and block in whole
             if head["warc-type"] == "response":
-                found[head["warc-record-id"]] = block.partition(b"\r\n\r\n")[2].decode()
-    assert found["<urn:lodestone:page:105>"] == rows[-1][2] and found["<urn:lodestone:page:104>"] == "é𝒳\n\r" and found["<urn:lodestone:page:103>"] == ""
+                found[head.get("x-page-id")] = block.partition(b"\r\n\r\n")[2].decode()
+    assert found["105"] == prose(5, 60_000) and found["106"] == prose(77, 60_000) and found["104"] == "é𝒳\n\r" and found["103"] == ""
+    assert len(ids) == len(set(ids)) == len(rows) and len(sizes) > 4
+    assert sorted(sizes)[:-2] == [n for n in sorted(sizes)[:-2] if n < 6000]  # but for the long records
 
 
 def test_warc_damage_is_found():
-    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: d\r\nWARC-Record-ID: <urn:lodestone:page:1>\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: 40\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi"
-    with pytest.raises(ValueError):
-        list(warc.parse(record))
-    [(place, head, block)] = warc.parse(record.replace(b"Content-Length: 40", b"Content-Length: 40") + b"\r\n\r\n")
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: d\r\nX-Page-ID: 1\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: 40\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi"
+    for data in (warc.member(record), warc.member(record + b"\r\n\r\n")[:-9], warc.member(record + b"\r\n\r\nmore"), warc.member(b"x")):
+        with pytest.raises(ValueError):
+            list(warc.parse(data))
+    [(place, head, block)] = warc.parse(warc.member(record + b"\r\n\r\n"))
     with pytest.raises(ValueError):
         warc.capture("r", place, head, block)
 
@@ -147,7 +159,7 @@ def test_loser_tree():
 
 def test_warc_ranges_and_empty(spark, monkeypatch):
     monkeypatch.setattr(warc, "RANGE_CAPTURES", 7)
-    monkeypatch.setattr(warc, "FILE_RECORDS", 5)
+    monkeypatch.setattr(warc, "FILE_BYTES", 1500)
     rows = [(i, "http://one.example.com/", prose(i, 5)) for i in range(80)]
     got = [(r.url_key, r.captured, r.page_id) for r in warc.archive_and_index(spark.createDataFrame(rows, PAGES).repartition(3)).collect()]
     assert got == sorted(got) and len(got) == 80
@@ -196,3 +208,51 @@ def test_rounds_on_long_mixed_text():
     text = " ".join(speech(lang, k, 500) for k in range(20) for lang in ("en", "de"))
     lang, share = langid.identify(text * 20, model, letters)
     assert lang in ("en", "de") and 0.4 < share < 0.6
+
+
+def plain_shares(ll, chosen):
+    """Expectation-maximisation as it is told, over lists."""
+    p = [1 / len(chosen)] * len(chosen)
+    for _ in range(langid.ROUNDS):
+        total = [0.0] * len(chosen)
+        for row in ll:
+            like = [p[k] * np.exp(row[c]) for k, c in enumerate(chosen)]
+            total = [t + x / sum(like) for t, x in zip(total, like)]
+        p = [t / len(ll) for t in total]
+    return p, sum(float(np.log(sum(p[k] * np.exp(row[c]) for k, c in enumerate(chosen)))) for row in ll)
+
+
+def test_mixture_by_brute_force():
+    """The set grows by the language that gains most, while it gains more than the penalty."""
+    r = np.random.default_rng(1)
+    for _ in range(40):
+        n, k = int(r.integers(1, 30)), int(r.integers(1, 5))
+        ll = r.normal(0, 12, (n, k))
+        tempered = langid.TEMPER * (ll - ll.max(1, keepdims=True))
+        chosen = [int(tempered.sum(0).argmax())]
+        shares, best = [1.0], float(tempered.sum(0).max())
+        while len(chosen) < k:
+            p, value, other = max(((*plain_shares(tempered, [*chosen, o]), o) for o in range(k) if o not in chosen), key=lambda x: x[1])
+            if value - best <= 3 * np.log(n + 1) + 2:
+                break
+            shares, best = p, value
+            chosen.append(other)
+        want = np.zeros(k)
+        want[chosen] = shares
+        assert np.allclose(langid.mixture(ll), want, atol=1e-6)
+
+
+def test_only_letters_are_letters():
+    model, letters = langid.fit_rows([(lang, speech(lang, 1, 400)) for lang in VOICES]), langid.letters_table()
+    for text in ("\U000e0100\U000e0101", "\U000f0000 \U00100001", "1 2 \u2460", "\U0001f600"):
+        assert langid.identify(text, model, letters) == ("und", 0.0)
+    assert langid.identify("\U00020000", model, letters)[0] != "und"
+
+
+def test_seams_lose_nothing(monkeypatch):
+    model, letters = langid.fit_rows([(lang, speech(lang, 1, 400)) for lang in VOICES]), langid.letters_table()
+    text = speech("en", 3, 300) + " 1, 2;  " + speech("fr", 4, 200)
+    whole, _ = langid.window_likelihoods(text, model, letters)
+    for size in (1, 2, 7, 100):
+        monkeypatch.setattr(langid, "PIECE", size)
+        assert np.allclose(langid.window_likelihoods(text, model, letters)[0], whole, atol=1e-3)
