@@ -45,14 +45,14 @@ def plain_verdicts(rows):
         for (a, _), n in edges.items():
             out[a] = out.get(a, 0) + n
         rank = dict(seed)
-        for _ in range(url_filter.ROUNDS):
+        for _ in range(300):
             new = dict(seed)
             for (a, b), n in edges.items():
                 if a in rank:
                     new[b] = new.get(b, 0) + 0.85 * rank[a] * n / out[a]
             rank = new
         scores.append(rank)
-    return [(parts[i][0], parts[i][1], parts[i][2] and parts[i][2][1] + parts[i][2][2], parts[i][2][0] if parts[i][2] else "block" if round(scores[1].get(parts[i][0], 0), 9) > round(scores[0].get(parts[i][0], 0), 9) else "allow") for i in range(len(rows))]
+    return [(parts[i][0], parts[i][1], parts[i][2] and parts[i][2][1] + parts[i][2][2], parts[i][2][0] if parts[i][2] else "block" if scores[1].get(parts[i][0], 0) - scores[0].get(parts[i][0], 0) > url_filter.MARGIN else "allow") for i in range(len(rows))]
 
 
 def linked_pages():
@@ -88,6 +88,14 @@ def test_url_sql(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_distrust_reaches_far_hosts(spark):
+    """A chain of fifteen hosts that leads to a blocked one, and one that leads nowhere."""
+    rows = [(i, f"http://h{i}.net/x", f'<a href="http://h{i + 1}.net/">n</a>') for i in range(15)] + [(15, "http://h15.net/x", '<a href="//bad.com/de/">n</a>'), (16, "http://bad.com/de/1", None)]
+    rows += [(100 + i, f"http://g{i}.net/x", f'<a href="http://g{i + 1}.net/">n</a>') for i in range(15)]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == "block" for i in range(17)) and all(got[100 + i] == "allow" for i in range(15))
+
+
 def test_url_empty(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
 
