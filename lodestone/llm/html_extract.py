@@ -1,21 +1,27 @@
 """Main text of HTML pages.
 
 The standard library's parser is run as a stream of events that builds lines: a block of text with the
-number of tags in it and where it stands. Each line has a ratio of text to tags; the ratios are smoothed
-with a Gaussian over their neighbours and clustered by a threshold (a share of their deviation). The lines
-over the threshold show which element holds the content; that element's lines are the text, short ones
-too, and lines beside it that are over the threshold, without what stands in menus, headers, footers,
-asides, forms, adverts, notices and comments. Where a class or id marks what isn't content but holds most
-of it, the mark is ignored.
+number of tags in it, the letters of it that are links, and where it stands. Each line has a ratio of text to
+tags; the ratios are smoothed with a Gaussian over their neighbours and clustered by a threshold (a share of
+their deviation). Clusters of lines over the threshold select the regions of content: the smallest element
+that holds nearly all of their text, and the smallest one of each cluster that stands apart. A region's lines
+are the text, short ones too, with the headings right above it. Lines under the threshold outside a region
+aren't, nor are runs of mere links under it in a region that no tag calls an article.
+
+Tags, roles and names are features besides: a region grows to the article or main element that it stands in, and
+to that element's fellow articles; what stands in menus, headers, footers, asides, forms, adverts, notices and
+comments isn't content, unless only a class or id says so of what holds most of the dense text.
 
 Defined results: null and empty pages give an empty text; a page whose lines are all navigation gives an
-empty text; unclosed and truncated markup is read as far as it goes; repeated rows give repeated rows.
+empty text; unclosed and truncated markup is read as far as it goes; repeated rows give repeated rows. Time is
+in proportion to the page, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -42,6 +48,10 @@ SIDE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu
 #: An opened block closes these, if they are open and nearer than the element that holds them.
 CLOSES = {**{t: "p" for t in BLOCKS if t not in ("html", "head", "body")}, "li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 SIGMA, THRESHOLD = 1.0, 0.5
+#: The share of the dense text that a region holds, of a line's letters that makes it a link, and the links in a row that make a menu.
+NEARLY_ALL, LINK, MENU = 0.9, 0.8, 3
+#: Headings, without digits and signs, that open the comments where nothing else marks them.
+DISCUSSION = frozenset("comments|comment|reader comments|leave a comment|leave a reply|post a comment|discussion|responses|kommentare|kommentar schreiben|commentaires|laisser un commentaire|comentarios|deja un comentario".split("|"))
 SPACE = re.compile(r"\s+")
 
 
@@ -55,14 +65,16 @@ def side_name(name: str, whole: bool) -> bool:
 
 
 class Lines(HTMLParser):
-    """Events to lines: (text, tags, element, side). element is a key of path; side is by tag or role, marks are apart."""
+    """Events to lines: (text, tags, element, side, letters in links). element is a key of parent and kind; side is by tag or role, marks are apart."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.links = 0
+        self.link = False
         self.open: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, not content, key
+        self.count: Counter = Counter()  # of the open tags
         self.parent = [-1]
         self.kind = [""]
         self.marked: dict[int, bool] = {}  # elements whose class or id isn't content's, and whether by a whole name
@@ -71,14 +83,19 @@ class Lines(HTMLParser):
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             _, side, key = self.open[-1]
-            self.lines.append((text, self.tags, key, side))
+            self.lines.append((text, self.tags, key, side, self.links))
             self.tags = 0
-        self.parts = []
+        self.parts, self.links = [], 0
 
     def push(self, tag: str, side: bool) -> None:
         self.parent.append(self.open[-1][2])
         self.kind.append(tag)
         self.open.append((tag, side or self.open[-1][1], len(self.parent) - 1))
+        self.count[tag] += 1
+
+    def close_from(self, k: int) -> None:
+        self.count.subtract(t for t, _, _ in self.open[k:])
+        del self.open[k:]
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -86,17 +103,20 @@ class Lines(HTMLParser):
             self.flush()
         elif tag == "br":
             self.parts.append(" ")
-        if close := CLOSES.get(tag):
+        elif tag == "a":
+            self.link = any(name == "href" for name, _ in attrs)
+        close = CLOSES.get(tag)
+        if close and (self.count[close] or close == "td" and self.count["th"]):
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k][0] == close or close == "td" and self.open[k][0] == "th":
-                    del self.open[k:]
+                    self.close_from(k)
                     break
                 if self.open[k][0] in CONTAINERS or self.open[k][0] in ("ul", "ol", "dl", "table"):
                     break
         if tag in VOID:
             return
         side = tag in DROPPED
-        within = any(t in ("article", "main") for t, _, _ in self.open)
+        within = self.count["article"] + self.count["main"] > 0
         if not side and tag == "header":
             side = not within
         mark = None
@@ -110,6 +130,10 @@ class Lines(HTMLParser):
                         mark = True
                     elif mark is None and name == "class" and not within and any(side_name(n, False) for n in names):
                         mark = False
+        elif attrs and tag in ("article", "main"):
+            # a reader's comment is often an article of its own
+            if any(name == "class" and value and side_name(n, True) for name, value in attrs for n in (value or "").split()):
+                mark = True
         if side and tag not in BLOCKS:
             self.flush()  # what stands before an inline element isn't its text
         if tag in BLOCKS or side or self.open[-1][1]:
@@ -126,17 +150,22 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                self.flush()
-                del self.open[k:]
-                return
+        if tag == "a":
+            self.link = False
+        if self.count[tag]:
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k][0] == tag:
+                    self.flush()
+                    self.close_from(k)
+                    return
         if tag in BLOCKS:
             self.flush()
 
     def handle_data(self, data):
         if self.open[-1][0] not in ("script", "style"):
             self.parts.append(data)
+            if self.link:
+                self.links += len(data.strip())
 
 
 def smoothed(ratio: np.ndarray) -> np.ndarray:
@@ -146,6 +175,15 @@ def smoothed(ratio: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), kernel, mode="valid")
 
 
+def dense_lines(p: Lines) -> tuple[list[bool], list[bool]]:
+    """Whether each line's smoothed ratio is over the threshold, and whether its own one is too. Every line takes part,
+    so that what stands beside menus is smoothed down."""
+    own = np.array([len(text) / max(1, tags) for text, tags, *_ in p.lines], float)
+    ratio = smoothed(own)
+    least = THRESHOLD * ratio.std()
+    return (ratio >= least).tolist(), ((ratio >= least) & (own >= least)).tolist()
+
+
 def extract(html: str | None) -> str:
     if not html:
         return ""
@@ -153,21 +191,25 @@ def extract(html: str | None) -> str:
     p.feed(html)
     p.close()
     p.flush()
-    if not any(not side for _, _, _, side in p.lines):
+    if all(side for *_, side, _ in p.lines):
         return ""
-    # every line takes part in the ratios, so that what stands beside menus is smoothed down
-    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in p.lines], float))
-    over = ratio >= THRESHOLD * ratio.std()
-    marked = _within(p, _trusted(p, over.tolist()))
-    kept = [(text, key, content) for (text, _, key, side), content in zip(p.lines, over.tolist(), strict=True) if not side and not marked[key]]
-    weight: dict[int, int] = {}
-    for text, key, content in kept:
-        if content:
-            weight[key] = weight.get(key, 0) + len(text)
-    if not weight:
-        weight = {key: len(text) for text, key, _ in kept}
-    inside = _within(p, {_region(p, weight)})
-    return "\n\n".join(text for text, key, content in kept if content or inside[key])
+    _mark_discussions(p)
+    dense, alone = dense_lines(p)
+    marked = _within(p, _trusted(p, dense))
+    kept = [not side and not marked[key] for _, _, key, side, _ in p.lines]
+    if not any(k and d for k, d in zip(kept, dense, strict=True)):
+        dense = alone = kept
+    regions, named = _regions(p, kept, dense)
+    inside, named = _within(p, regions), _within(p, named)
+    # beside a region a line must be dense by itself: smoothing lends to neighbours
+    take = [k and (d or inside[line[2]]) for k, d, line in zip(kept, alone, p.lines, strict=True)]
+    for a, b in _menus(p, kept, alone):
+        for i in range(a, b):
+            take[i] = take[i] and named[p.lines[i][2]]
+    for i in range(len(take) - 2, -1, -1):  # headings right above
+        if kept[i] and take[i + 1] and p.kind[p.lines[i][2]] in HEADINGS:
+            take[i] = True
+    return "\n\n".join(line[0] for line, t in zip(p.lines, take, strict=True) if t)
 
 
 def _within(p: Lines, keys: set[int]) -> list[bool]:
@@ -178,39 +220,102 @@ def _within(p: Lines, keys: set[int]) -> list[bool]:
     return out
 
 
-def _trusted(p: Lines, over: list[bool]) -> set[int]:
+def _totals(p: Lines, weight: list[int]) -> list[int]:
+    """weight by element, with all that stands in it."""
+    total = list(weight)
+    for k in range(len(p.parent) - 1, 0, -1):
+        total[p.parent[k]] += total[k]
+    return total
+
+
+def _mark_discussions(p: Lines) -> None:
+    """Marks the elements that a heading like "3 comments" opens."""
+    first: dict[int, int] = {}
+    for i, (_, _, key, _, _) in enumerate(p.lines):
+        if p.kind[key] in HEADINGS:
+            first.setdefault(p.parent[key], i)
+        else:
+            first.setdefault(key, -1)
+    for key, i in first.items():
+        if i >= 0 and p.kind[key] in ("div", "section") and key not in p.marked:
+            words = " ".join(re.findall(r"[^\W\d_]+", p.lines[i][0].lower()))
+            if words in DISCUSSION:
+                p.marked[key] = True
+
+
+def _trusted(p: Lines, dense: list[bool]) -> set[int]:
     """The marked elements that aren't content: those that hold most of the dense text are layout, unless an
     article or main element stands apart from them. For a whole name nearly all is asked for."""
     if not p.marked:
         return set()
-    dense = [0] * len(p.parent)
-    for (text, _, key, side), content in zip(p.lines, over, strict=True):
-        if content and not side:
-            dense[key] += len(text)
+    weight = [0] * len(p.parent)
+    for (text, _, key, side, _), d in zip(p.lines, dense, strict=True):
+        if d and not side:
+            weight[key] += len(text)
     article = _within(p, {k for k, t in enumerate(p.kind) if t in ("article", "main")})
-    total, named = list(dense), [n if article[k] else 0 for k, n in enumerate(dense)]
-    for k in range(len(p.parent) - 1, 0, -1):
-        total[p.parent[k]] += total[k]
-        named[p.parent[k]] += named[k]
-    return {k for k, whole in p.marked.items() if not (total[k] > (0.9 if whole else 0.5) * total[0] and named[k] == named[0])}
-
-
-def _region(p: Lines, weight: dict[int, int]) -> int:
-    """The element to take: an article or main element with most of the content, else the smallest one with nearly all."""
-    total = [0] * len(p.parent)
-    for key, n in weight.items():
-        while key >= 0:
-            total[key] += n
-            key = p.parent[key]
-    named = [k for k, t in enumerate(p.kind) if t in ("article", "main") and 2 * total[k] > total[0]]
-    if named:
-        return max((k for k in named), key=lambda k: (p.kind[k] == "article", total[k], k))
+    total, named = _totals(p, weight), _totals(p, [n if article[k] else 0 for k, n in enumerate(weight)])
+    return {k for k, whole in p.marked.items() if not (total[k] > (NEARLY_ALL if whole else 0.5) * total[0] and named[k] == named[0])}
+
+
+def _regions(p: Lines, kept: list[bool], dense: list[bool]) -> tuple[set[int], set[int]]:
+    """The elements that hold content; and those of them that a tag calls an article."""
+    weight = [0] * len(p.parent)
+    clusters: list[dict[int, int]] = []
+    open_ = False
+    for (text, _, key, _, _), k, d in zip(p.lines, kept, dense, strict=True):
+        if k and d:
+            weight[key] += len(text)
+            if not open_:
+                clusters.append({})
+            clusters[-1][key] = clusters[-1].get(key, 0) + len(text)
+        open_ = d and (k or open_)
+    total = _totals(p, weight)
+    children: list[list[int]] = [[] for _ in p.parent]
+    for k in range(1, len(p.parent)):
+        children[p.parent[k]].append(k)
     at = 0
-    while True:
-        best = max((k for k in range(len(p.parent)) if p.parent[k] == at), key=lambda k: total[k], default=None)
-        if best is None or p.kind[best] not in CONTAINERS or total[best] < 0.9 * total[at]:
-            return at
+    while best := max(children[at], key=lambda k: total[k], default=0):
+        if p.kind[best] not in CONTAINERS or total[best] < NEARLY_ALL * total[at]:
+            break
         at = best
+    regions = {at}
+    inside = _within(p, regions)
+    for c in clusters:  # a cluster apart: the nearest element that holds it
+        if not any(inside[k] for k in c):
+            homes = {_container(p, k) for k in c}
+            regions |= homes if len(homes) == 1 else set()
+    # the article that a region stands in, or the articles that hold most of it
+    up = [-1] * len(p.parent)  # the outermost article, else main, around each element
+    for k in range(1, len(p.parent)):
+        above = up[p.parent[k]]
+        up[k] = k if p.kind[k] == "article" and (above < 0 or p.kind[above] == "main") or p.kind[k] == "main" and above < 0 else above
+    regions = {up[k] if up[k] >= 0 else k for k in regions}
+    articles = [k for k in range(len(p.parent)) if p.kind[k] == "article" and up[k] == k and k not in p.marked]
+    beside = {p.parent[k] for k in articles if total[k]}
+    fellows = {k for k in articles if total[k] or p.parent[k] in beside}
+    if 2 * sum(total[k] for k in fellows) > total[0]:
+        # of an element around them only what is dense counts besides
+        regions = {k for k in regions if up[k] >= 0 and p.kind[up[k]] == "article"} | fellows
+    return regions, {k for k in regions if p.kind[k] in ("article", "main")}
+
+
+def _container(p: Lines, key: int) -> int:
+    while key > 0 and p.kind[key] not in CONTAINERS:
+        key = p.parent[key]
+    return key
+
+
+def _menus(p: Lines, kept: list[bool], dense: list[bool]):
+    """Runs [a, b) of at least MENU lines in a row that are links and under the threshold."""
+    at = None
+    for i in range(len(p.lines) + 1):
+        text, links = (p.lines[i][0], p.lines[i][4]) if i < len(p.lines) else ("", 0)
+        if i < len(p.lines) and kept[i] and not dense[i] and links >= LINK * len(text):
+            at = i if at is None else at
+        elif at is not None:
+            if i - at >= MENU:
+                yield at, i
+            at = None
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

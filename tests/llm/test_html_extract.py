@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pandas as pd
 import pytest
@@ -59,6 +60,80 @@ def test_no_content_is_lost(source, want):
     assert html_extract.extract(source) == want
 
 
+SHORT = [prose(30 + i, 5) for i in range(3)]
+MENU = "".join(f'<div><a href="/{i}">{prose(40 + i, 2)}</a></div>' for i in range(6))
+#: No tag, role or name tells the content from the rest: ratios do.
+UNMARKED = f'<body><div><div>{MENU}</div><div><a href="/x">{prose(60, 2)}</a><b>x</b><i>y</i></div></div><div><div><p>{LONG}</p><p>{SHORT[0]}</p><p>{MORE}</p><p>{SHORT[1]}</p><p>{LONG}</p></div></div><div><span>{prose(61, 2)}</span><a href="/y">{prose(62, 2)}</a><em>z</em></div></body>'
+FLAT = f'<body>{MENU}<p>{LONG}</p><p>{SHORT[0]}</p><p>{MORE}</p><p>{LONG}</p>{MENU}</body>'
+
+
+def test_pages_without_marks():
+    assert html_extract.extract(UNMARKED) == "\n\n".join([LONG, SHORT[0], MORE, SHORT[1], LONG])
+    assert html_extract.extract(FLAT) == "\n\n".join([LONG, SHORT[0], MORE, LONG])
+
+
+def test_switching_the_method_off_changes_results(monkeypatch):
+    want = [html_extract.extract(x) for x in (UNMARKED, FLAT)]
+    with monkeypatch.context() as m:  # no threshold: every line is dense
+        m.setattr(html_extract, "THRESHOLD", -1e9)
+        assert all(html_extract.extract(x) != w for x, w in zip((UNMARKED, FLAT), want))
+    with monkeypatch.context() as m:  # no ratios: all alike
+        m.setattr(html_extract, "smoothed", lambda r: r * 0)
+        assert all(html_extract.extract(x) != w for x, w in zip((UNMARKED, FLAT), want))
+    # no smoothing: a short paragraph that stands apart in a dense neighbourhood isn't seen
+    lone = f'<body>{MENU}<table><tr><td><p>{LONG}</p></td></tr><tr><td><p>{SHORT[0]} {SHORT[1]}</p></td></tr><tr><td><p>{MORE}</p></td></tr></table></body>'
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "smoothed", lambda r: r)
+        assert html_extract.dense_lines(parsed(lone))[0] != dense_of(lone)
+
+
+def parsed(source):
+    p = html_extract.Lines()
+    p.feed(source)
+    p.close()
+    p.flush()
+    return p
+
+
+def dense_of(source):
+    """The method by its definition: plain sums over neighbours."""
+    import math
+
+    p = parsed(source)
+    r = [len(t) / max(1, n) for t, n, *_ in p.lines]
+    g = [math.exp(-d * d / 2) for d in range(-2, 3)]
+    s = [sum(g[d + 2] / sum(g) * r[min(max(i + d, 0), len(r) - 1)] for d in range(-2, 3)) for i in range(len(r))]
+    mean = sum(s) / len(s)
+    return [x >= 0.5 * math.sqrt(sum((y - mean) ** 2 for y in s) / len(s)) for x in s]
+
+
+@pytest.mark.parametrize("source", [UNMARKED, FLAT, page(f"<p>{LONG}</p><p>Hm.</p>")])
+def test_density_by_definition(source):
+    assert html_extract.dense_lines(parsed(source))[0] == dense_of(source)
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        (f"<body><main><article><h2>One</h2><p>{LONG} {LONG}</p></article><article><h2>Two</h2><p>Hm.</p></article></main></body>", f"One\n\n{LONG} {LONG}\n\nTwo\n\nHm."),
+        (page(f'<p>{LONG}</p><section><h3>3 Comments</h3><p>{MORE}</p></section>'), LONG),
+        (page(f'<p>{LONG}</p>', after=f'<section id="comments"><article class="comment"><p>{MORE}</p></article></section>'), LONG),
+        (page(f'<h2>Comments on the law</h2><p>{LONG}</p>'), f"Comments on the law\n\n{LONG}"),
+        (page(f'<p>{LONG}</p><ul><li><a href="/1">one</a></li><li><a href="/2">two</a></li><li><a href="/3">three</a></li></ul>'), f"{LONG}\n\none\n\ntwo\n\nthree"),
+        (f"<body><div>{MENU}</div><h1>Title</h1><div><p>{LONG}</p><p>{MORE}</p></div></body>", f"Title\n\n{LONG}\n\n{MORE}"),
+    ],
+)
+def test_several_articles_and_discussions(source, want):
+    assert html_extract.extract(source) == want
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + LONG, "<div><p>" * 50_000 + LONG, "<blockquote><p>x" * 50_000, "<ul><li>" * 50_000 + LONG, "<span>" * 100_000 + LONG + "</b>" * 100_000, "<article>" * 50_000 + LONG + "</article>" * 50_000, "<section><h3>Comments</h3>" * 30_000 + LONG])
+def test_deep_pages_take_time_in_proportion(source):
+    start = time.process_time()
+    html_extract.extract(source)
+    assert time.process_time() - start < 20
+
+
 def test_table(spark, sf):
     def article(h):
         inner = h.split("<article>", 1)[1].split("</article>")[0]
