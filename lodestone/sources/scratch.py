@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,13 +17,18 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir. Where that is unset a folder of our own serves, but only
+    if all executors are threads of this process (tests); it goes when the process ends."""
     said = spark.conf.get("spark.checkpoint.dir", None)
     if said:
         return said.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        folder = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = "file://" + folder
     return _own[app]
 
 
@@ -43,10 +51,12 @@ def clean_up(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with bounded batches, so that a worker's memory doesn't follow the length of the rows."""
+    """mapInArrow with bounded batches, so that a worker's memory doesn't follow the length of the rows. The bounds are
+    settings of the session, read when the result is computed, so they stay; smaller ones are left alone."""
     conf = df.sparkSession.conf
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
-        conf.set(rows, BATCH_ROWS)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        said = re.fullmatch(r"(\d+)b?", str(conf.get(name)).strip().lower())
+        if not said or not 0 < int(said[1]) <= most:
+            conf.set(name, most)
     return df.mapInArrow(run, schema)

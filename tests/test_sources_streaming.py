@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.fixed import LEGAL_DOMAINS
@@ -75,3 +76,42 @@ def test_streams(spark, sf, tmp_path):
     got = {r.user_id: r.event_type for r in spark.read.parquet(f"{out}/batch={last}").collect()}
     want = {r.user_id: r.t for r in events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("t")).collect()}
     assert got == want
+
+
+def test_small_tables_are_dealt_out_and_large_ones_left(spark, sf, monkeypatch):
+    from lodestone.sources import tables
+
+    cores = spark.sparkContext.defaultParallelism
+    assert tables.read_table(spark, sf, "documents").rdd.getNumPartitions() == cores
+    monkeypatch.setattr(tables, "SMALL", 1000)
+    assert tables.read_table(spark, sf, "documents").rdd.getNumPartitions() < cores
+
+
+def test_batches_are_bounded_and_smaller_ones_kept(spark, sf):
+    from lodestone.sources import scratch
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.range(3)
+    same = lambda batches: batches
+    was = spark.conf.get(rows), spark.conf.get(size)
+    spark.conf.set(rows, 10)
+    spark.conf.set(size, 4096)
+    scratch.map_arrow(df, same, df.schema)
+    assert int(spark.conf.get(rows)) == 10 and int(spark.conf.get(size)) == 4096
+    spark.conf.set(rows, 0)
+    spark.conf.set(size, 1 << 30)
+    assert scratch.map_arrow(df, same, df.schema).count() == 3
+    assert int(spark.conf.get(rows)) == scratch.BATCH_ROWS and int(spark.conf.get(size)) == scratch.BATCH_BYTES
+    spark.conf.set(rows, was[0])
+    spark.conf.set(size, was[1])
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from lodestone.sources import scratch
+
+    conf = SimpleNamespace(get=lambda name, default=None: default)
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            scratch.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(applicationId="a", master=master)))
