@@ -35,7 +35,7 @@ from lodestone.llm.common import map_arrow, written
 TOKEN = re.compile(r"\w+")
 MIN_MATCH, COVERAGE = 5, 0.8
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of the seed filter: 64 for each seed, within these powers of two (16 MB at most).
+#: Bits of the seed filter: 64 for each seed, within these powers of two (16 MB at most); bits of a hash that a probe is cut from.
 LEAST_BITS, MOST_BITS = 20, 27
 #: Items that a task tiles a document with at once, on average.
 GROUP = 64
@@ -181,10 +181,14 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap, by the first bits of the hashes; and how many bits. Its size follows the number of seeds up to a bound."""
+    """A bitmap that holds the places of all seeds; and how many bits. Its size follows the number of seeds up to a bound."""
     n = seeds.count()
     bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(64 * n + 1)))))
-    at = seeds.select(F.shiftrightunsigned("seed", 64 - bits).alias("v"))
+    mixed = F.col("seed")
+    for shift, by in ((F.shiftleft, 13), (F.shiftrightunsigned, 7), (F.shiftleft, 17)):
+        mixed = mixed.bitwiseXOR(shift(mixed, by))
+    places = [F.shiftrightunsigned(F.shiftleft(h, left), 64 - bits) for h in (F.col("seed"), mixed) for left in (0, MOST_BITS)]
+    at = seeds.select(F.explode(F.array(*places)).alias("v"))
     parts = at.groupBy(F.shiftright("v", 15).alias("part")).agg(F.bitmap_construct_agg(F.expr("v & 32767")).alias("set"))
     out = np.zeros(1 << (bits - 3), np.uint8)
     for part, found in parts.collect():  # 4 KB each, at most 2 ^ (MOST_BITS - 15)
@@ -192,18 +196,31 @@ def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
+def may_be_seeds(h: np.ndarray, maybe: np.ndarray, bits: int) -> np.ndarray:
+    """Where hashes have all four places (two cuts of the hash, and of a xorshift of it) in the filter: all seeds, and about one other hash in 70,000 while seeds are few enough for it."""
+    at = np.arange(len(h))
+    for shift in range(2):
+        for left in (0, MOST_BITS):
+            v = ((h[at] << np.uint64(left)) >> np.uint64(64 - bits)).astype(np.int64)
+            at = at[(maybe[v >> 3] >> (v & 7).astype(np.uint8) & 1).astype(bool)]
+        if shift or not len(at):
+            return at
+        h = h ^ (h << np.uint64(13))
+        h = h ^ (h >> np.uint64(7))
+        h = h ^ (h << np.uint64(17))
+
+
 def seeded(documents: DataFrame, maybe: np.ndarray, bits: int) -> DataFrame:
     """doc_id, key (of the text), runs and their distinct seeds, for the rows that may have any. Map only."""
 
     def run(batches):
-        hashes, shift = Hashes(), np.uint64(64 - bits)
+        hashes = Hashes()
         for b in batches:
             ids, keys, runs, seeds = [], [], [], []
             for doc_id, text, key in zip(*[b.column(c).to_pylist() for c in range(3)], strict=True):
                 words = hashes.ids(text)
                 h = seeds_of(words)
-                v = h >> shift
-                hit = np.flatnonzero(maybe[(v >> np.uint64(3)).astype(np.int64)] >> (v & np.uint64(7)).astype(np.uint8) & 1)
+                hit = may_be_seeds(h, maybe, bits)
                 if len(hit):
                     ids.append(doc_id)
                     keys.append(key)

@@ -99,6 +99,14 @@ def test_pairs_against_all_pairs(spark, monkeypatch):
     assert {r.doc_id for r in decontam.clean(d, bench).collect()} == {i for i, _ in rows} - set(want)
 
 
+def test_filter_lets_seeds_through_and_hardly_more(spark):
+    r = np.random.default_rng(2)
+    seeds, other = r.integers(0, 1 << 63, 20_000, np.uint64) * np.uint64(2), r.integers(0, 1 << 63, 400_000, np.uint64) * np.uint64(2) + np.uint64(1)
+    maybe, bits = decontam.seed_filter(spark.createDataFrame(pd.DataFrame({"seed": seeds.view(np.int64)})))
+    assert bits == 21 and len(decontam.may_be_seeds(seeds, maybe, bits)) == len(seeds)
+    assert len(decontam.may_be_seeds(other, maybe, bits)) < 40 and not len(decontam.may_be_seeds(other[:0], maybe, bits))
+
+
 def test_edges(spark):
     bench = spark.createDataFrame([(1, prose(1))], ITEMS)
     d = clashing(docs(spark, edge_rows()))
