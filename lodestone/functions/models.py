@@ -1,17 +1,19 @@
-"""Model calls are injected functions; these are deterministic stand-ins for embedding, reranking and analysis.
+"""Model calls are injected functions; here are the calls in batches, and deterministic stand-ins for embedding, reranking,
+analysis and generation.
 
-They make plans testable without a model. They aren't meant to match one in quality.
+Stand-ins make plans testable without a model. They aren't meant to match one in quality.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -54,3 +56,41 @@ def overlap_scorer(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
     """A stand-in for a cross-encoder: the share of the query's words that the text holds."""
     for q, t in pairs:
         yield pd.Series([len(set(WORD.findall(a.lower())) & set(WORD.findall((b or "").lower()))) / max(1, len(set(WORD.findall(a.lower())))) for a, b in zip(q, t, strict=True)], dtype=float)
+
+
+def ask(prompt: Column, model: Callable[[list[str]], list[str | None]], batch: int = 16) -> Column:
+    """What a language model says to each prompt; it sees batch prompts at a time. Of a batch that fails each prompt is
+    tried by itself, and what fails again is null. Write the result before it's read twice: calls cost."""
+
+    @F.pandas_udf("string")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(prompts: list[str]) -> list[str | None]:
+            try:
+                got = list(model(prompts))
+                if len(got) == len(prompts):
+                    return got
+            except Exception:  # noqa: BLE001 - whatever a client raises
+                pass
+            return [None] if len(prompts) == 1 else [x for p in prompts for x in one([p])]
+
+        for s in series:
+            rows = [p or "" for p in s]
+            yield pd.Series([x for at in range(0, len(rows), batch) for x in one(rows[at : at + batch])], dtype=object)
+
+    return run.asNondeterministic()(prompt)
+
+
+def echo_model(prompts: list[str]) -> list[str | None]:
+    """A stand-in for generation that says the prompt behind its length, and fails on every seventh length."""
+    if any(len(p) % 7 == 0 for p in prompts):
+        raise TimeoutError
+    return [f" {len(p)}: {p}\n" for p in prompts]
+
+
+def analysis_model(prompts: list[str]) -> list[str | None]:
+    """A stand-in for analysis: JSON by the prompt's length, malformed on every fifth and failing on every seventh."""
+    if any(len(p) % 7 == 0 for p in prompts):
+        raise ConnectionError
+    kinds = ("legal_rag", "chit_chat", "web_legal_search", "out_of_scope")
+    rows = [{"category": kinds[len(p) % 4], "intent": "list", "vehicle_type": "o_to", "standalone_query": f"S{len(p)}", "expanded_queries": [] if len(p) % 3 == 0 else [f" a{len(p)} ", "", "b"]} for p in prompts]
+    return ["{" if len(p) % 5 == 0 else json.dumps(r) for p, r in zip(prompts, rows, strict=True)]

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.fixed import ARTICLE_MOST, ARTICLE_START, CHUNK_LEAST, CLAUSE_LETTERS, CLAUSE_MOST, CLAUSE_MOST_DECREE, FORM_NOISE, GENERAL_TOPIC, INTRO_TITLE, POINT_LEAST, UNKNOWN, java
+from lodestone.functions.fixed import ARTICLE_MOST, ARTICLE_START, CHUNK_LEAST, CLAUSE_MOST, CLAUSE_MOST_DECREE, CLAUSE_START, FORM_NOISE, GENERAL_TOPIC, INTRO_TITLE, POINT_LEAST, POINT_START, UNKNOWN, java
 from lodestone.operators.text import refine, strip, style_penalties, token_estimate
 
-#: A clause starts at "N." before an upper-case letter of the class; a point at "x)" on a line's start or behind "; ".
-CLAUSE_START = rf"(?mU)^(\d+)\.(?=\s+[{CLAUSE_LETTERS}])"
-POINT_START = r"(?mU)(?:^|;\s+)([a-zđ])\)(?=\s+)"
 #: Stands before every start before the text is cut there; it occurs in no text.
 MARK = "\ue000"
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.fixed import LEGAL_DOMAINS, NO_HISTORY, WEB_PREFIX
+from lodestone.functions.fixed import ANALYSIS_DEFAULTS, LEGAL_DOMAINS, NO_HISTORY, PROMPT_HISTORY, PROMPT_LATEST, PROMPT_SKETCH, RECALL_FLOOR, WEB_PREFIX
+from lodestone.functions.models import ask
 from lodestone.functions.schemas import CITATION
 from lodestone.operators.text import strip
+from lodestone.sources.scratch import written
 
 
 def last_messages(messages: DataFrame, n: int) -> DataFrame:
@@ -73,6 +77,44 @@ def analyzer_fallback(query: Column, standalone: Column, expanded: Column) -> di
     return {"standalone_query": alone, "expanded_query": F.array_join(kept, " | "), "n_queries": F.size(kept)}
 
 
+ANALYSIS = "category string, intent string, vehicle_type string, standalone_query string, expanded_queries array<string>"
+
+
+def analyze(questions: DataFrame, model: Callable[[list[str]], list[str | None]], batch: int = 16) -> DataFrame:
+    """questions (query_id, text, history) -> (query_id, category, intent, vehicle_type, query, expanded, expanded_query)
+    by an injected model that answers in JSON. Where it fails, or says no category, all values are the defaults and
+    the query stands for itself; rewrites that are all blank are the query."""
+    prompt = F.concat(F.lit(PROMPT_HISTORY), F.coalesce("history", F.lit(NO_HISTORY)), F.lit("\n\n" + PROMPT_LATEST), "text")
+    said = written(questions.select("query_id", "text", ask(prompt, model, batch).alias("said")), "analyses")
+    df = said.withColumn("a", F.from_json("said", ANALYSIS))
+    df = df.withColumn("a", F.when(F.col("a.category").isNotNull(), F.col("a")))
+    value = lambda k: F.coalesce(F.col(f"a.{k}"), F.lit(ANALYSIS_DEFAULTS[k])).alias(k)
+    kept = F.filter(F.transform("a.expanded_queries", lambda x: strip(x)), lambda x: x != "")
+    expanded = F.when(F.size(F.coalesce(kept, F.array().cast("array<string>"))) > 0, kept).otherwise(F.array("text"))
+    return df.select("query_id", value("category"), value("intent"), value("vehicle_type"), F.coalesce("a.standalone_query", "text").alias("query"), expanded.alias("expanded"), F.array_join(expanded, " | ").alias("expanded_query"))
+
+
+def sketch_answers(questions: DataFrame, model: Callable[[list[str]], list[str | None]], batch: int = 16) -> DataFrame:
+    """questions (query_id, text, intent) -> (query_id, hyde): a hypothetical answer to search by, by an injected model; the
+    question itself where the model fails or says nothing, null for the mixed intent, which several rewrites cover."""
+    prompt = F.when(F.col("intent") != "mixed", F.concat(F.lit(PROMPT_SKETCH), "text"))
+    asked = questions.withColumn("p", prompt)
+    said = written(asked.where("p IS NOT NULL").select("query_id", "text", ask(F.col("p"), model, batch).alias("said")), "sketches")
+    got = said.select("query_id", F.coalesce(F.nullif(strip(F.col("said")), F.lit("")), "text").alias("hyde"))
+    return got.unionByName(asked.where("p IS NULL").select("query_id", F.lit(None).cast("string").alias("hyde")))
+
+
+def node_path(category: Column, error: Column, refused: Column, n_chunks: Column, approved: Column, interrupt: bool = True) -> dict[str, Column]:
+    """The nodes that a turn passes, and whether it waits: a turn that searches the web stops before its last node until
+    someone has decided (approved isn't null), unless interrupt is off."""
+    first = route_by_category(category)
+    legal = (first == "legal_rag") & (fallback_route(error, refused, n_chunks) == "web_search")
+    web = (first == "web_search") | legal
+    waits = web & approved.isNull() if interrupt else F.lit(False)
+    path = F.concat(F.lit("analyzer>"), first, F.when(legal, ">web_search").otherwise(""), F.when(web & ~waits, ">web_finalize").otherwise(""))
+    return {"path": path, "waits": waits}
+
+
 def web_query(expanded: Column, query: Column) -> Column:
     base = strip(F.coalesce(F.nullif(expanded, F.lit("")), F.nullif(query, F.lit("")), F.lit("")))
     return F.when(base == "", WEB_PREFIX).when(F.contains(F.lower(base), F.lit(WEB_PREFIX.lower())), base).otherwise(F.concat(F.lit(WEB_PREFIX + ": "), base))
@@ -151,11 +193,41 @@ def is_admin(email: Column, allowed: str | None) -> Column:
 
 
 def recall_at_k(hits: DataFrame, gold: DataFrame, k: int, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """(query_id, recall): the share of a question's distinct gold keys among its first k hits without siblings."""
+    """(query_id, recall): the share of a question's distinct gold keys among its first k hits, siblings (is_sibling, if
+    hits say so) left out."""
+    if "is_sibling" in hits.columns:
+        hits = hits.where(~F.coalesce("is_sibling", F.lit(False)))
     found = hits.where(F.col("rank") <= k).select("query_id", *keys).distinct().withColumn("__f", F.lit(1))
     return gold.select("query_id", *keys).distinct().join(found, ["query_id", *keys], "left").groupBy("query_id").agg((F.count("__f") / F.count(F.lit(1))).alias("recall"))
 
 
+def recall_gate(hits: DataFrame, gold: DataFrame, k: int, floor: float = RECALL_FLOOR, keys: tuple[str, ...] = ("doc", "dieu", "khoan")) -> DataFrame:
+    """One row: n_questions, mean_recall by clause over all questions that have gold, and whether it reaches the floor."""
+    each = recall_at_k(hits, gold, k, keys)
+    return each.agg(F.count(F.lit(1)).alias("n_questions"), F.avg("recall").alias("mean_recall")).withColumn("passed", F.col("mean_recall") >= floor)
+
+
+#: Words between blanks that an item and a text are joined by.
+GRAM = 4
+
+
+def containing(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, id): texts (id, text) that contain an item's (query_id, text), letter by letter. An item's inner words
+    stand between blanks wherever it's contained, so the first GRAM of them are joined by their hash with those of the
+    texts, and what meets is compared. Items of fewer words than that are held against every text."""
+    words = lambda c: F.split(c, " ", -1)
+    gram = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, F.lit(GRAM)), " "))
+    asked = items.where("text IS NOT NULL").select("query_id", F.col("text").alias("__q"), words(F.col("text")).alias("__w"))
+    long = F.size("__w") >= GRAM + 2
+    keyed = asked.where(long).select("query_id", "__q", gram(F.col("__w"), F.lit(2)).alias("__k"))
+    w = F.col("__w")
+    places = F.when(F.size(w) >= GRAM, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (GRAM - 1), F.lit(1))), lambda at: gram(w, at)))
+    rows = texts.where("text IS NOT NULL").withColumn("__w", words(F.col("text"))).select("id", "text", F.explode(F.array_distinct(places)).alias("__k"))
+    near = rows.join(keyed, "__k").where(F.contains("text", F.col("__q"))).select("query_id", "id")
+    short = texts.join(asked.where(~long), F.contains("text", F.col("__q"))).select("query_id", "id")
+    return near.unionByName(short)
+
+
 def hit_at_k(hits: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """(query_id, hit): whether a hit's doc among the first k is the expected one."""
     first = hits.where(F.col("rank") <= k).select("query_id", "doc")

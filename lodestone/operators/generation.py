@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.fixed import BAD_ANSWER_STARTS, CITATION, CLARIFY, GREETING, INTENT_HINTS, MULTI_FRAME_HINT, NO_CONTEXT, OUT_OF_SCOPE, REFUSAL, SIBLING_TAG, SOURCE_TAG, VEHICLE_HINTS, WEB_FAILED, WEB_NO_SYNTHESIS, WEB_NOTHING, WEB_WARNING
+from lodestone.functions.fixed import BAD_ANSWER_STARTS, CITATION, CLARIFY, GREETING, INTENT_HINTS, MULTI_FRAME_HINT, NO_CONTEXT, OUT_OF_SCOPE, PROMPT_CONTEXT, PROMPT_END, PROMPT_QUESTION, REFUSAL, SIBLING_TAG, SOURCE_TAG, VEHICLE_HINTS, WEB_FAILED, WEB_NO_SYNTHESIS, WEB_NOTHING, WEB_WARNING
+from lodestone.functions.models import ask
 from lodestone.operators.text import strip
+from lodestone.sources.scratch import written
 
 
 def _given(c: Column) -> Column:
@@ -43,6 +47,17 @@ def prompt_hints(intent: Column, multi_frame: Column, vehicle: Column) -> Column
     return F.concat(out, frame, F.coalesce(bound, F.lit("")))
 
 
+def user_prompt(context: Column, question: Column, hints: Column) -> Column:
+    return F.concat(F.lit(PROMPT_CONTEXT), context, F.lit("\n\n" + PROMPT_QUESTION), question, F.lit("\n\n"), hints, F.lit("\n\n" + PROMPT_END))
+
+
+def answers(prompts: DataFrame, model: Callable[[list[str]], list[str | None]], batch: int = 16) -> DataFrame:
+    """prompts (query_id, text, context, hints) -> (query_id, answer) by an injected model, without a web warning at its
+    start; null where the model failed."""
+    said = prompts.select("query_id", ask(user_prompt(F.col("context"), F.col("text"), F.col("hints")), model, batch).alias("answer"))
+    return written(said, "answers").select("query_id", strip_prefix(strip(F.col("answer"))).alias("answer"))
+
+
 def strip_prefix(answer: Column) -> Column:
     """Takes off a web-search warning at the start: the first paragraph, or the words and what punctuates them."""
     at = F.instr(answer, "\n\n")

@@ -93,6 +93,11 @@ def clean_pages(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc
     return merge_lines(lines.withColumn("line", wrap_units(bold_dates(promote_headings(F.col("line"))))), keys)
 
 
+def warned(text: Column, warning: Column) -> Column:
+    """A page behind its file's warning, if there is one."""
+    return F.when(F.coalesce(warning, F.lit("")) != "", F.concat(F.lit("> "), warning, F.lit("\n\n"), text)).otherwise(text)
+
+
 def keep_by_keywords(df: DataFrame, text: str, policy: DataFrame, key: str) -> DataFrame:
     """Blocks that their file's policy keeps: all, or those with an included and without an excluded
     keyword; empty lists ask nothing. Files without a policy are kept. policy is a small table of files."""

@@ -76,9 +76,9 @@ def _array(words):
     return "cast(NULL AS array<string>)" if words is None else "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-@query("SELECT lang AS doc, source AS page, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS content FROM documents WHERE doc_id % 10 < 3 GROUP BY 1, 2")
+@query("SELECT lang AS doc, source AS page, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY 1, 2")
 def page_concat(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 10 < 3")
+    docs = table(spark, d, "documents")
     return T.concat_pages(docs.selectExpr("lang AS doc", "source AS page", "doc_id", "text AS content"), ("doc", "page"), ("doc_id",), "content")
 
 
@@ -86,13 +86,13 @@ def page_concat(spark, d):
     """SELECT name, string_agg(part, '' ORDER BY ord) AS content FROM (
       SELECT 'doc' || doc_id AS name, 0 AS ord, text AS part FROM documents WHERE doc_id % 5 = 0
       UNION ALL SELECT CASE WHEN t.doc_id IS NOT NULL THEN 'doc' || a.doc_id // 5 * 5 ELSE 'doc' || a.doc_id END, CASE WHEN t.doc_id IS NOT NULL THEN a.doc_id % 5 + 1 ELSE 0 END,
-        CASE WHEN t.doc_id IS NOT NULL THEN '## [' || a.doc_id || '] ' || a.text ELSE a.text END FROM documents a LEFT JOIN documents t ON t.doc_id = a.doc_id // 5 * 5 AND t.doc_id % 5 = 0 AND a.doc_id % 5 < 4 WHERE a.doc_id % 5 IN (1, 2, 4)
+        CASE WHEN t.doc_id IS NOT NULL THEN '## [' || a.doc_id || '] ' || a.text ELSE a.text END FROM documents a LEFT JOIN documents t ON t.doc_id = a.doc_id // 5 * 5 AND t.doc_id % 5 = 0 AND a.doc_id % 5 < 4 WHERE a.doc_id % 5 <> 0
     ) GROUP BY name"""
 )
 def doc_merge_append(spark, d):
     docs = table(spark, d, "documents")
     base = docs.where("doc_id % 5 = 0").selectExpr("concat('doc', doc_id) AS name", "text AS content")
-    more = docs.where("doc_id % 5 IN (1, 2, 4)").selectExpr("concat('doc', doc_id) AS name", "CASE WHEN doc_id % 5 < 4 THEN concat('doc', doc_id div 5 * 5) ELSE 'none' END AS target", "concat('## [', doc_id, '] ') AS marker", "text AS content", "cast(doc_id % 5 AS int) AS ord")
+    more = docs.where("doc_id % 5 <> 0").selectExpr("concat('doc', doc_id) AS name", "CASE WHEN doc_id % 5 < 4 THEN concat('doc', doc_id div 5 * 5) ELSE 'none' END AS target", "concat('## [', doc_id, '] ') AS marker", "text AS content", "cast(doc_id % 5 AS int) AS ord")
     return T.merge_appended(base, more)
 
 
@@ -154,12 +154,12 @@ def redact_dsn(spark, d):
     return table(spark, d, "pages").select("page_id", T.redact_dsn(F.expr("concat('postgresql://user', page_id, ':pw', page_id, '@', regexp_extract(url, '://([^/?#]*)', 1), '/db')")).alias("dsn"))
 
 
-NAMES = "names AS (SELECT doc_id, regexp_replace(substr(text, 1, 100 + doc_id % 100), '[^\\p{L}\\p{N}_\\-]', '_', 'g') AS n FROM documents)"
+NAMES = "names AS (SELECT doc_id, regexp_replace(text, '[^\\p{L}\\p{N}_\\-]', '_', 'g') AS n FROM documents)"
 
 
 @query("SELECT doc_id, CASE WHEN length(n) > 150 THEN substr(n, 1, 140) || '_' || substr(md5(n), 1, 8) ELSE n END AS name FROM names", NAMES)
 def safe_name(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.safe_name(F.substring("text", F.lit(1), (100 + F.col("doc_id") % 100).cast("int"))).alias("name"))
+    return table(spark, d, "documents").select("doc_id", T.safe_name(F.col("text")).alias("name"))
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM pages")
@@ -171,3 +171,11 @@ def html_visible_text(spark, d):
 def ingest_stats(spark, d):
     docs = table(spark, d, "documents")
     return docs.groupBy(F.col("source").alias("file")).agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.contains("text", F.lit("|"))).alias("tables"), F.sum(F.length("text")).alias("chars"), F.count_if(F.length("text") < 200).alias("filtered"))
+
+
+WARNING = "CASE page_id % 3 WHEN 0 THEN concat('Bản cũ ', page_id) WHEN 1 THEN '' END"
+
+
+@query(f"SELECT page_id, CASE WHEN coalesce({WARNING}, '') <> '' THEN '> ' || {WARNING} || chr(10) || chr(10) || html ELSE html END AS text FROM pages")
+def page_warning(spark, d):
+    return table(spark, d, "pages").select("page_id", T.warned(F.col("html"), F.expr(WARNING)).alias("text"))

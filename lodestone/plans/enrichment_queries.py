@@ -89,12 +89,13 @@ def xref_pass(spark, d):
 
 
 #: More hits, crowded in few clauses.
-CROWD = "crowd AS (SELECT query_id, id % 100 AS id, pos, score, is_sibling FROM (SELECT item_id AS query_id, item_id * 7 + pos * 20 + CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END AS id, CAST(pos AS INTEGER) AS pos, round(1.0::DOUBLE / (60 + pos), 6) AS score, pos % 6 = 0 AS is_sibling FROM benchmark, (SELECT unnest(range(1, 31)) AS pos)))"
+CROWD = "crowd AS (SELECT query_id, id % (SELECT count(*) FROM documents) AS id, pos, score, is_sibling FROM (SELECT item_id AS query_id, item_id * 7 + pos * 20 + CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END AS id, CAST(pos AS INTEGER) AS pos, round(1.0::DOUBLE / (60 + pos), 6) AS score, pos % 6 = 0 AS is_sibling FROM benchmark, (SELECT unnest(range(1, 31)) AS pos)))"
 
 
 def _crowd(spark, d):
-    df = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("pos"))
-    return df.selectExpr("query_id", "(query_id * 7 + pos * 20 + CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END) % 100 AS id", "pos", "round(1.0D / (60 + pos), 6) AS score", "pos % 6 = 0 AS is_sibling")
+    size = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("size"))
+    df = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("pos")).crossJoin(F.broadcast(size))
+    return df.selectExpr("query_id", "(query_id * 7 + pos * 20 + CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END) % size AS id", "pos", "round(1.0D / (60 + pos), 6) AS score", "pos % 6 = 0 AS is_sibling")
 
 
 @query(
@@ -149,10 +150,10 @@ WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower(coalesce({0
     LAW,
     QUESTIONS,
     CHUNKS,
-    "p AS (SELECT query_id, id, score * CASE WHEN query_id % 4 = 1 THEN 0.1 ELSE 1 END AS score, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM chunks WHERE NOT is_sibling AND query_id % 10 <> 9)",
+    "p AS (SELECT query_id, id, score * CASE WHEN query_id % 4 = 1 THEN 0.1 ELSE 1 END AS score, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM chunks WHERE NOT is_sibling)",
 )
 def confidence_judge(spark, d):
-    hits = chunks(spark, d).where("query_id % 10 <> 9").withColumn("score", F.expr("score * CASE WHEN query_id % 4 = 1 THEN 0.1D ELSE 1 END"))
+    hits = chunks(spark, d).withColumn("score", F.expr("score * CASE WHEN query_id % 4 = 1 THEN 0.1D ELSE 1 END"))
     return N.judge(hits, law_corpus(spark, d), with_intent(queries(spark, d)))
 
 
@@ -169,3 +170,8 @@ def broad_query(spark, d):
 def budget(spark, d):
     k = N.top_k_of(F.col("query_id") % 2 == 0)
     return queries(spark, d).select("query_id", k.alias("top_k"), N.budget(k, F.col("query_id") % 7).cast("int").alias("per_query"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort({WORDS.format('text')}), ' ') AS tokens FROM documents")
+def content_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(N.judge_words(F.col("text"))), " ").alias("tokens"))

@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.fixed import BAD_ANSWER_STARTS, CITATION, CLARIFY, GREETING, INTENT_HINTS, MULTI_FRAME_HINT, OUT_OF_SCOPE, REFUSAL, SIBLING_TAG, SOURCE_TAG, VEHICLE_HINTS, WEB_FAILED, WEB_NO_SYNTHESIS, WEB_NOTHING, WEB_WARNING, re2
 from lodestone.operators import generation as G
 from lodestone.plans.base import CHUNKS, CORPUS, INTENT_SQL, QUESTIONS, chunks, corpus, queries, query, table, with_intent
 
-NAMED = "named AS (SELECT k.query_id, k.pos, k.id, k.is_sibling, c.doc, CASE WHEN k.id % 4 = 3 THEN '' ELSE 'Luật tên dài ' || c.doc || ' (2024)' END AS name, c.dieu, CASE WHEN k.id % 3 = 0 THEN NULL WHEN k.id % 3 = 1 THEN '' ELSE 'Tiêu đề ' || k.id END AS dieu_title, c.khoan, c.diem, substr(c.content, 1, 80) AS content FROM chunks k JOIN corpus c ON c.id = k.id)"
+NAMED = "named AS (SELECT k.query_id, k.pos, k.id, k.is_sibling, c.doc, CASE WHEN k.id % 4 = 3 THEN '' ELSE 'Luật tên dài ' || c.doc || ' (2024)' END AS name, c.dieu, CASE WHEN k.id % 3 = 0 THEN NULL WHEN k.id % 3 = 1 THEN '' ELSE 'Tiêu đề ' || k.id END AS dieu_title, c.khoan, c.diem, c.content FROM chunks k JOIN corpus c ON c.id = k.id)"
 
 
 def _named(spark, d):
     df = chunks(spark, d).join(corpus(spark, d), "id")
-    return df.selectExpr("query_id", "pos", "id", "is_sibling", "doc", "CASE WHEN id % 4 = 3 THEN '' ELSE concat('Luật tên dài ', doc, ' (2024)') END AS name", "dieu", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN '' ELSE concat('Tiêu đề ', id) END AS dieu_title", "khoan", "diem", "substring(content, 1, 80) AS content")
+    return df.selectExpr("query_id", "pos", "id", "is_sibling", "doc", "CASE WHEN id % 4 = 3 THEN '' ELSE concat('Luật tên dài ', doc, ' (2024)') END AS name", "dieu", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN '' ELSE concat('Tiêu đề ', id) END AS dieu_title", "khoan", "diem", "content")
 
 
 PLACE = "'Điều ' || dieu || ' · Khoản ' || khoan || CASE WHEN diem IS NOT NULL THEN ' · Điểm ' || diem ELSE '' END"
 
 
 @query(
-    f"""SELECT q.query_id, coalesce(t.context, '(Không có ngữ cảnh nào được truy xuất.)') AS context FROM queries q LEFT JOIN (SELECT query_id, string_agg('[' || CASE WHEN is_sibling THEN '{SIBLING_TAG}' ELSE '{SOURCE_TAG} ' || pos END || '] ' || name || ' (' || doc || ') · ' || {PLACE} || CASE WHEN coalesce(dieu_title, '') <> '' THEN chr(10) || dieu_title ELSE '' END || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM named WHERE query_id % 10 <> 7 GROUP BY 1) t ON t.query_id = q.query_id""",
+    f"""SELECT q.query_id, coalesce(t.context, '(Không có ngữ cảnh nào được truy xuất.)') AS context FROM queries q LEFT JOIN (SELECT query_id, string_agg('[' || CASE WHEN is_sibling THEN '{SIBLING_TAG}' ELSE '{SOURCE_TAG} ' || pos END || '] ' || name || ' (' || doc || ') · ' || {PLACE} || CASE WHEN coalesce(dieu_title, '') <> '' THEN chr(10) || dieu_title ELSE '' END || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM named GROUP BY 1) t ON t.query_id = q.query_id""",
     CORPUS,
     QUESTIONS,
     CHUNKS,
     NAMED,
 )
 def context_render(spark, d):
-    return G.render_context(_named(spark, d).where("query_id % 10 <> 7"), queries(spark, d))
+    return G.render_context(_named(spark, d), queries(spark, d))
 
 
 VEHICLES = ("any", "o_to", "mo_to", "chuyen_dung", "xe_dap")
@@ -47,7 +48,7 @@ def prompt_hints(spark, d):
     return q.select("query_id", G.prompt_hints(F.col("intent"), F.col("query_id") % 2 == 0, F.col("vehicle")).alias("hints"))
 
 
-WARNED = f"CASE query_id % 5 WHEN 0 THEN concat('{BAD_ANSWER_STARTS[0]}, hãy cẩn trọng.', chr(10), chr(10), '  ', text) WHEN 1 THEN concat('{BAD_ANSWER_STARTS[2]}.;: ', substring(text, 1, 40)) WHEN 2 THEN concat(' {BAD_ANSWER_STARTS[1]} ', chr(10), chr(10), text) ELSE text END"
+WARNED = f"CASE query_id % 5 WHEN 0 THEN concat('{BAD_ANSWER_STARTS[0]}, hãy cẩn trọng.', chr(10), chr(10), '  ', text) WHEN 1 THEN concat('{BAD_ANSWER_STARTS[2]}.;: ', text) WHEN 2 THEN concat(' {BAD_ANSWER_STARTS[1]} ', chr(10), chr(10), text) ELSE text END"
 
 
 @query(
@@ -124,20 +125,21 @@ def inline_refs(spark, d):
 
 @query(
     f"""SELECT site, CASE WHEN site % 5 = 0 THEN '{WEB_WARNING}' || chr(10) || '{WEB_FAILED}' WHEN n = 0 THEN '{WEB_WARNING}' || chr(10) || '{WEB_NOTHING}' WHEN site % 5 = 1 THEN '{WEB_WARNING}' || chr(10) || '{WEB_NO_SYNTHESIS}' ELSE 'tóm tắt ' || site END AS draft,
-    CASE WHEN site % 5 = 0 THEN 0 ELSE urls END AS n_sources, site % 5 <> 0 AND n > 0 AS requires_approval FROM (SELECT page_id % 17 AS site, (count(*) FILTER (WHERE page_id % 17 <> 7))::INTEGER AS n, (count(*) FILTER (WHERE page_id % 17 <> 7 AND page_id % 3 <> 0))::INTEGER AS urls FROM pages GROUP BY 1)"""
+    CASE WHEN site % 5 = 0 THEN 0 ELSE urls END AS n_sources, site % 5 <> 0 AND n > 0 AS requires_approval FROM (SELECT site, (count(*) FILTER (WHERE site <> 7))::INTEGER AS n, (count(*) FILTER (WHERE site <> 7 AND page_id % 3 <> 0))::INTEGER AS urls FROM (SELECT page_id % 17 AS site, page_id, row_number() OVER (PARTITION BY page_id % 17 ORDER BY page_id) AS rn FROM pages) WHERE rn <= 5 GROUP BY 1)"""
 )
 def web_draft(spark, d):
-    p = table(spark, d, "pages").selectExpr("page_id % 17 AS site", "CASE WHEN page_id % 17 <> 7 THEN struct('t' AS title, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS url, 'c' AS content) END AS r")
+    p = table(spark, d, "pages").select("page_id", "url").withColumn("rn", F.row_number().over(Window.partitionBy(F.col("page_id") % 17).orderBy("page_id"))).where("rn <= 5")
+    p = p.selectExpr("page_id % 17 AS site", "CASE WHEN page_id % 17 <> 7 THEN struct('t' AS title, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS url, 'c' AS content) END AS r")
     g = p.groupBy("site").agg(F.collect_list("r").alias("results"))
     made = G.web_draft(F.col("site") % 5 == 0, F.col("results"), F.when(F.col("site") % 5 != 1, F.concat(F.lit(" tóm tắt "), F.col("site").cast("string"))))
     return g.select("site", *[c.alias(k) for k, c in made.items()])
 
 
-@query(f"SELECT query_id, CASE query_id % 4 WHEN 0 THEN '{OUT_OF_SCOPE}' WHEN 1 THEN '{GREETING}' WHEN 2 THEN trim(substr(text, 1, 9)) ELSE text END AS answer FROM queries", QUESTIONS)
+@query(f"SELECT query_id, CASE query_id % 4 WHEN 0 THEN '{OUT_OF_SCOPE}' WHEN 1 THEN '{GREETING}' WHEN 2 THEN trim(text) ELSE text END AS answer FROM queries", QUESTIONS)
 def canned_answer(spark, d):
     q = queries(spark, d)
     route = F.expr("CASE query_id % 4 WHEN 0 THEN 'out_of_scope' WHEN 3 THEN 'legal_rag' ELSE 'chit_chat' END")
-    return q.select("query_id", G.canned_answer(route, F.expr("CASE query_id % 4 WHEN 1 THEN ' ' WHEN 2 THEN concat(' ', substring(text, 1, 9)) ELSE text END")).alias("answer"))
+    return q.select("query_id", G.canned_answer(route, F.expr("CASE query_id % 4 WHEN 1 THEN ' ' WHEN 2 THEN concat(' ', text) ELSE text END")).alias("answer"))
 
 
 @query("SELECT query_id, CASE WHEN query_id % 3 = 0 THEN " + _quoted(CLARIFY) + " ELSE text END AS answer FROM queries", QUESTIONS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import base, chunking_queries, cleaning_queries, enrichment_queries, generation_queries, retrieval_queries, state_queries  # noqa: F401
+from lodestone.plans import base, chunking_queries, cleaning_queries, enrichment_queries, generation_queries, model_queries, retrieval_queries, source_queries, state_queries  # noqa: F401
 
 FLAGSHIP = "hybrid_search"
 

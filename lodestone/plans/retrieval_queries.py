@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.fixed import STOPWORDS
-from lodestone.functions.models import overlap_scorer
+from lodestone.functions.models import embed, overlap_scorer, passage_prefix, query_prefix
 from lodestone.operators import conversation as E
 from lodestone.operators import enrich as N
 from lodestone.operators import retrieval as R
@@ -18,13 +18,13 @@ def tok(x: str) -> str:
     return f"list_filter(string_split(regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains({STOP}, w))"
 
 
-POST = f"""post AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM (SELECT id, {tok("content")} AS t FROM corpus)) GROUP BY 1, 2, 3)"""
-IDF = f"""stats AS (SELECT count(*) AS n_docs, avg(len({tok("content")})) AS avgdl FROM corpus),
-dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-rawidf AS (SELECT term, df, ln(n_docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs, stats),
+POST = f"""post AS MATERIALIZED (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM (SELECT id, {tok("content")} AS t FROM corpus)) GROUP BY 1, 2, 3)"""
+IDF = f"""stats AS MATERIALIZED (SELECT (SELECT count(*) FROM corpus) AS n_docs, (SELECT sum(tf) FROM post) / (SELECT count(*) FROM corpus)::DOUBLE AS avgdl),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY 1),
+rawidf AS MATERIALIZED (SELECT term, df, ln(n_docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs, stats),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM rawidf) ELSE raw END AS idf FROM rawidf)"""
 SCORED = f"""qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tok("text")}) AS term FROM queries) GROUP BY 1, 2),
-scored AS (SELECT q.query_id, p.id, round(sum(q.qtf * i.idf * p.tf * 2.5::DOUBLE / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / s.avgdl))), 6) AS score FROM post p JOIN qt q ON q.term = p.term JOIN idf i ON i.term = p.term, stats s GROUP BY 1, 2)"""
+scored AS MATERIALIZED (SELECT q.query_id, p.id, round(sum(q.qtf * i.idf * p.tf * 2.5::DOUBLE / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / s.avgdl))), 6) AS score FROM post p JOIN qt q ON q.term = p.term JOIN idf i ON i.term = p.term, stats s GROUP BY 1, 2)"""
 
 
 def bm25_sql(allowed: str = "corpus", name: str = "bm25") -> str:
@@ -33,7 +33,12 @@ def bm25_sql(allowed: str = "corpus", name: str = "bm25") -> str:
 
 BM25 = (CORPUS, QUESTIONS, POST, IDF, SCORED, bm25_sql())
 DENSE = """dense AS (SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id)::INTEGER AS rank FROM embeddings v, embeddings q WHERE q.vec_id < 40) WHERE rank <= 30)"""
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id)::INTEGER AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 30)"""
+#: Documents and questions as hashed vectors, so that both lists rank documents.
+VECTOR = """list_transform(range(64), lambda i: list_sum(list_transform(list_filter(list_transform(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: md5(w)), lambda h: ('0x' || substr(h, 1, 2))::INTEGER % 64 = i), lambda h: CASE WHEN ('0x' || substr(h, 15, 2))::INTEGER >= 128 THEN 1 ELSE -1 END)))"""
+HASHED = f"""raw_vec AS (SELECT 'd' AS kind, id, list_transform({VECTOR.format("content")}, lambda x: coalesce(x, 0)::DOUBLE) AS v FROM corpus UNION ALL SELECT 'q', query_id, list_transform({VECTOR.format("text")}, lambda x: coalesce(x, 0)::DOUBLE) FROM queries),
+vec AS MATERIALIZED (SELECT kind, id, list_transform(v, lambda x: (x / greatest(n, 1e-12::DOUBLE))::FLOAT)::DOUBLE[] AS v FROM (SELECT kind, id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM raw_vec)),
+dense AS MATERIALIZED (SELECT query_id, id, score, rank FROM (SELECT q.id AS query_id, d.id, round(list_dot_product(d.v, q.v), 6) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(d.v, q.v), 6) DESC, d.id)::INTEGER AS rank FROM vec d, vec q WHERE d.kind = 'd' AND q.kind = 'q') WHERE rank <= 30)"""
 
 
 @query(f"SELECT doc_id, len(t)::INTEGER AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {tok('text')} AS t FROM documents)")
@@ -49,8 +54,7 @@ def bm25_postings(spark, d):
 
 @query("SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM idf", CORPUS, POST, IDF)
 def bm25_idf(spark, d):
-    c = corpus(spark, d)
-    return R.idf(R.document_frequencies(c), R.collection_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.idf(R.bm25_index(corpus(spark, d))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("SELECT * FROM bm25", *BM25)
@@ -60,7 +64,7 @@ def bm25_topk(spark, d):
 
 def _vectors(spark, d):
     e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), "embedding"), e.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), "embedding")
+    return e.select(F.col("vec_id").alias("id"), "embedding"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query("SELECT * FROM dense", DENSE)
@@ -68,13 +72,24 @@ def dense_topk(spark, d):
     return R.dense_topk(*_vectors(spark, d))
 
 
+@query()
+def ann_topk(spark, d):
+    """No SQL: what an approximate index finds isn't for SQL to say. Its recall is tested against dense_topk."""
+    vectors, asked = _vectors(spark, d)
+    return R.ann_topk(R.vector_index(vectors), asked)
+
+
 ALLOWED = "allowed AS (SELECT * FROM corpus WHERE status = 'active' AND topic = 'en' AND doc NOT IN ('src1', 'src2'))"
 
 
 @query("SELECT * FROM bm25f", CORPUS, QUESTIONS, POST, IDF, SCORED, ALLOWED, bm25_sql("allowed", "bm25f"))
 def filtered_search(spark, d):
     c = corpus(spark, d)
-    return R.bm25_topk(c, queries(spark, d), allowed=R.filtered(c, topic="en", not_docs=("src1", "src2")))
+    return R.bm25_topk(c, queries(spark, d), allowed=_allowed(c))
+
+
+def _allowed(c):
+    return R.filtered(c, topic="en", not_docs=("src1", "src2"))
 
 
 ASKED = "CASE query_id % 3 WHEN 0 THEN 'Xe KHÔNG KINH DOANH vận tải: ' WHEN 1 THEN 'xe kinh doanh: ' ELSE '' END || text"
@@ -91,22 +106,30 @@ fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score
 hybrid AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first)::INTEGER AS rank FROM fused)"""
 
 
-@query("SELECT query_id, id, score, rank FROM hybrid WHERE rank <= 10", *BM25, DENSE, HYBRID)
+def _dense(spark, d):
+    """The documents nearest to each question, by hashed vectors."""
+    docs = embed(corpus(spark, d).select("id", "content"), "content").select("id", "embedding")
+    return R.dense_topk(docs, embed(queries(spark, d), "text").select("query_id", "embedding"))
+
+
+@query("SELECT query_id, id, score, rank FROM hybrid WHERE rank <= 10", *BM25, HASHED, HYBRID)
 def rrf_hybrid(spark, d):
-    return R.rrf_hybrid(R.dense_topk(*_vectors(spark, d)), bm25_topk(spark, d), 10).select("query_id", "id", "score", "rank")
+    return R.rrf_hybrid(_dense(spark, d), bm25_topk(spark, d), 10).select("query_id", "id", "score", "rank")
 
 
 @query(
     "SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first % 1000, first)::INTEGER AS rank FROM multi) WHERE rank <= 30",
     *BM25,
-    DENSE,
+    HASHED,
     ALLOWED,
     bm25_sql("allowed", "bm25f"),
     "lists AS (SELECT query_id, id, rank, 0 AS list FROM bm25 WHERE rank <= 9 UNION ALL SELECT query_id, id, rank, 1 FROM bm25f WHERE rank <= 9 UNION ALL SELECT query_id, id, rank, 2 FROM dense WHERE rank <= 9)",
     "multi AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000 + rank) AS first FROM lists GROUP BY 1, 2)",
 )
 def rrf_multi(spark, d):
-    parts = [bm25_topk(spark, d), filtered_search(spark, d), R.dense_topk(*_vectors(spark, d))]
+    c, q = corpus(spark, d), queries(spark, d)
+    index = R.bm25_index(c)
+    parts = [R.bm25_topk(c, q, index=index), R.bm25_topk(c, q, allowed=_allowed(c), index=index), _dense(spark, d)]
     lists = None
     for k, p in enumerate(parts):
         p = p.where("rank <= 9").select("query_id", "id", "rank", F.lit(k).alias("list"))
@@ -122,10 +145,10 @@ sib AS (SELECT query_id, id, min((tier, o1, o2)) AS o FROM tiers t WHERE NOT EXI
 with_sib AS (SELECT query_id, id, pos::BIGINT AS pos, score, false AS is_sibling FROM prim UNION ALL SELECT s.query_id, s.id, n.n + row_number() OVER (PARTITION BY s.query_id ORDER BY s.o), 0.0, true FROM sib s JOIN (SELECT query_id, max(pos) AS n FROM prim GROUP BY 1) n ON n.query_id = s.query_id)"""
 
 
-@query("SELECT query_id, id, pos, score, is_sibling FROM with_sib", *BM25, DENSE, HYBRID, LAW, SIBLINGS)
+@query("SELECT query_id, id, pos, score, is_sibling FROM with_sib", *BM25, HASHED, HYBRID, LAW, SIBLINGS)
 def hybrid_search(spark, d):
     """End to end: filters off, dense and BM25 candidates, fusion, the five best, their siblings."""
-    fused = R.rrf_hybrid(R.dense_topk(*_vectors(spark, d)), bm25_topk(spark, d), 5)
+    fused = R.rrf_hybrid(_dense(spark, d), bm25_topk(spark, d), 5)
     return N.with_siblings(fused.select("query_id", "id", F.col("rank").alias("pos"), "score"), law_corpus(spark, d)).select("query_id", "id", F.col("pos").cast("long").alias("pos"), "score", "is_sibling")
 
 
@@ -141,13 +164,34 @@ def rerank_topk(spark, d):
     return R.rerank(bm25_topk(spark, d), corpus(spark, d), queries(spark, d), 5, overlap_scorer)
 
 
+OVERLAP = f"round(len(list_intersect({WORDS.format('q.text')}, {WORDS.format('c.content')})) / greatest(1, len({WORDS.format('q.text')}))::DOUBLE, 6)"
+
+
+@query(
+    f"SELECT query_id, id, score, rank FROM (SELECT h.query_id, h.id, {OVERLAP} AS score, row_number() OVER (PARTITION BY h.query_id ORDER BY {OVERLAP} DESC, h.rank)::INTEGER AS rank FROM hybrid h JOIN corpus c ON c.id = h.id JOIN queries q ON q.query_id = h.query_id WHERE h.rank <= 20) WHERE rank <= 5",
+    *BM25,
+    HASHED,
+    HYBRID,
+)
+def rerank_overfetch(spark, d):
+    """Five hits of twenty that are fused because they're reranked."""
+    fused = R.rrf_hybrid(_dense(spark, d), bm25_topk(spark, d), R.fetch_size(5, 20, True))
+    return R.rerank(fused, corpus(spark, d), queries(spark, d), 5, overlap_scorer)
+
+
+@query("SELECT query_id, 'query: ' || text AS asked, 'passage: ' || text AS passage, text AS plain FROM queries", QUESTIONS)
+def model_prefix(spark, d):
+    """What a model of the e5 family is given, and any other one."""
+    ask = lambda model: F.concat(F.lit(query_prefix(model)), "text")
+    return queries(spark, d).select("query_id", ask("intfloat/multilingual-E5-small").alias("asked"), F.concat(F.lit(passage_prefix("e5-base")), "text").alias("passage"), ask("minilm").alias("plain"))
+
+
 GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 def _gold(spark, d):
-    """Documents that hold a benchmark text: every item against every document, the items broadcast."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    return table(spark, d, "documents").join(F.broadcast(items), F.contains("text", F.col("q"))).select("query_id", F.col("doc_id").alias("id"))
+    """Documents that hold a benchmark text."""
+    return E.containing(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), queries(spark, d))
 
 
 @query("SELECT g.query_id, round(count(b.id) / count(*)::DOUBLE, 6) AS recall FROM gold g LEFT JOIN bm25 b ON b.query_id = g.query_id AND b.id = g.id AND b.rank <= 10 GROUP BY 1", *BM25, GOLD)
@@ -155,6 +199,29 @@ def recall_at_k(spark, d):
     return E.recall_at_k(bm25_topk(spark, d), _gold(spark, d), 10).select("query_id", F.round("recall", 6).alias("recall"))
 
 
+CLAUSE_GOLD = "gc AS (SELECT DISTINCT g.query_id, c.doc, c.dieu, c.khoan FROM gold g JOIN corpus c ON c.id = g.id), hc AS (SELECT DISTINCT h.query_id, c.doc, c.dieu, c.khoan FROM with_sib h JOIN corpus c ON c.id = h.id WHERE NOT h.is_sibling AND h.pos <= 10)"
+
+
+@query(
+    "SELECT count(*)::BIGINT AS n_questions, round(avg(recall), 6) AS mean_recall, avg(recall) >= 0.4 AS passed FROM (SELECT gc.query_id, count(hc.doc) / count(*)::DOUBLE AS recall FROM gc LEFT JOIN hc ON hc.query_id = gc.query_id AND hc.doc = gc.doc AND hc.dieu = gc.dieu AND hc.khoan = gc.khoan GROUP BY 1)",
+    *BM25,
+    HASHED,
+    HYBRID,
+    LAW,
+    SIBLINGS.replace("rank <= 5", "rank <= 10"),
+    GOLD,
+    CLAUSE_GOLD,
+)
+def recall_gate(spark, d):
+    """The mean recall of the first ten hits by clause, siblings left out, against its floor."""
+    c = corpus(spark, d)
+    fused = R.rrf_hybrid(_dense(spark, d), bm25_topk(spark, d), 10)
+    hits = N.with_siblings(fused.select("query_id", "id", F.col("rank").alias("pos"), "score"), law_corpus(spark, d))
+    keys = c.select("id", "doc", "dieu", "khoan")
+    gate = E.recall_gate(hits.withColumnRenamed("pos", "rank").join(keys, "id"), _gold(spark, d).join(keys, "id"), 10)
+    return gate.withColumn("mean_recall", F.round("mean_recall", 6))
+
+
 @query("SELECT e.query_id, coalesce(bool_or(b.id IS NOT NULL), false) AS hit FROM (SELECT DISTINCT g.query_id, d.source AS doc FROM gold g JOIN documents d ON d.doc_id = g.id) e LEFT JOIN (SELECT b.*, d.source AS doc FROM bm25 b JOIN documents d ON d.doc_id = b.id WHERE rank <= 5) b ON b.query_id = e.query_id AND b.doc = e.doc GROUP BY 1", *BM25, GOLD)
 def hit_at_k(spark, d):
     docs = corpus(spark, d).select("id", "doc")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.fixed import DATE_BUCKETS, LEGAL_DOMAINS, NO_HISTORY, WEB_PREFIX
@@ -94,11 +95,13 @@ def web_query(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), V.web_query(F.expr(BASE), F.col("text")).alias("web_query"))
 
 
-@query("SELECT site, string_agg('[' || rn || '] ' || 'page ' || page_id || chr(10) || url || chr(10) || substr(html, 1, 40), chr(10) || chr(10) ORDER BY rn) AS context FROM (SELECT page_id % 17 AS site, page_id, url, html, row_number() OVER (PARTITION BY page_id % 17 ORDER BY page_id) AS rn FROM pages) WHERE rn <= 5 GROUP BY 1")
+@query("SELECT site, string_agg('[' || rn || '] ' || 'page ' || page_id || chr(10) || url || chr(10) || html, chr(10) || chr(10) ORDER BY rn) AS context FROM (SELECT page_id % 17 AS site, page_id, url, html, row_number() OVER (PARTITION BY page_id % 17 ORDER BY page_id) AS rn FROM pages) WHERE rn <= 5 GROUP BY 1")
 def web_context(spark, d):
-    p = table(spark, d, "pages").selectExpr("page_id % 17 AS site", "page_id", "struct(concat('page ', page_id) AS title, url, substring(html, 1, 40) AS content) AS r")
-    rows = F.slice(F.array_sort(F.collect_list(F.struct("page_id", "r"))), 1, 5)
-    return p.groupBy("site").agg(F.transform(rows, lambda x: x["r"]).alias("results")).select("site", G.web_context(F.col("results")).alias("context"))
+    p = table(spark, d, "pages").selectExpr("page_id % 17 AS site", "page_id", "struct(concat('page ', page_id) AS title, url, html AS content) AS r")
+    # the five first of a site are found before they're gathered
+    first = p.withColumn("rn", F.row_number().over(Window.partitionBy("site").orderBy("page_id"))).where("rn <= 5")
+    rows = F.array_sort(F.collect_list(F.struct("rn", "r")))
+    return first.groupBy("site").agg(F.transform(rows, lambda x: x["r"]).alias("results")).select("site", G.web_context(F.col("results")).alias("context"))
 
 
 URL = "CASE page_id % 4 WHEN 0 THEN replace(url, 'example.com', 'vbpl.vn') WHEN 1 THEN 'https://CSGT.vn/x' WHEN 2 THEN concat('http://not', 'csgt.vn/', page_id) ELSE url END"

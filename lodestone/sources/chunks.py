@@ -58,6 +58,37 @@ def markdown_files(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.concat(safe_name(F.col("chunk_id")), F.lit(".md")).alias("file_name"), body.alias("body")).groupBy("file_name").agg(F.max("body").alias("body"))
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes files (name, body as bytes), each under its name in a folder that all executors reach (any store that
+    Arrow knows); says how many. A file appears whole or not at all, and a task that runs again writes the same."""
+
+    def run(batches):
+        import posixpath
+        import uuid
+
+        import pandas as pd
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for name, body in zip(b["name"], b["body"], strict=True):
+                path = posixpath.join(base, name)
+                store.create_dir(posixpath.dirname(path), recursive=True)
+                part = posixpath.join(posixpath.dirname(path), f".{uuid.uuid4().hex}")
+                with store.open_output_stream(part) as f:
+                    f.write(bytes(body))
+                store.move(part, path)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    done = files.select("name", F.col("body").cast("binary").alias("body")).mapInPandas(run, "n long")
+    return done.agg(F.sum("n")).first()[0] or 0
+
+
+def write_markdown(chunks: DataFrame, folder: str) -> int:
+    """A Markdown file behind its front matter for each chunk id; says how many."""
+    return write_files(markdown_files(chunks).select(F.col("file_name").alias("name"), "body"), folder)
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(doc_type, stem, text) of Markdown files in folders by document type; names that start with "_" and blank
     files are left out."""
@@ -111,15 +142,17 @@ def read_event_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     return parsed.where("__e.type IS NOT NULL").select(*[c for c in lines.columns if c not in ("type", "value")], F.col("__e.type").alias("type"), F.col("__e.value").alias("value"))
 
 
-def create_points(points: DataFrame, table: str, recreate: bool = False) -> None:
-    """The collection as a table: made anew, or left as it is if it exists."""
-    points.write.mode("overwrite" if recreate else "ignore").saveAsTable(table)
+def create_points(points: DataFrame, table: str, recreate: bool = False, path: str | None = None) -> None:
+    """The collection as a table, in the warehouse or under path: made anew, or left as it is if it exists."""
+    writer = points.write.mode("overwrite" if recreate else "ignore")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
-def load_index(points: DataFrame, table: str) -> int:
+def load_index(points: DataFrame, table: str, path: str | None = None) -> int:
     """Replaces the table's rows, refreshes its statistics, and says how many there are."""
     spark = points.sparkSession
-    points.write.mode("overwrite").saveAsTable(table)
+    writer = points.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
     return spark.table(table).count()
 
