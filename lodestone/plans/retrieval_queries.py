@@ -35,8 +35,11 @@ BM25 = (CORPUS, QUESTIONS, POST, IDF, SCORED, bm25_sql())
 DENSE = """dense AS (SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id)::INTEGER AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 30)"""
 #: Documents and questions as hashed vectors, so that both lists rank documents.
-VECTOR = """list_transform(range(64), lambda i: list_sum(list_transform(list_filter(list_transform(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: md5(w)), lambda h: ('0x' || substr(h, 1, 2))::INTEGER % 64 = i), lambda h: CASE WHEN ('0x' || substr(h, 15, 2))::INTEGER >= 128 THEN 1 ELSE -1 END)))"""
-HASHED = f"""raw_vec AS (SELECT 'd' AS kind, id, list_transform({VECTOR.format("content")}, lambda x: coalesce(x, 0)::DOUBLE) AS v FROM corpus UNION ALL SELECT 'q', query_id, list_transform({VECTOR.format("text")}, lambda x: coalesce(x, 0)::DOUBLE) FROM queries),
+MD5S = "list_transform(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: md5(w))"
+SIGNED = "list_transform(list_filter(h, lambda x: (('0x' || substr(x, 15, 2))::INTEGER >= 128) = {0}), lambda x: ('0x' || substr(x, 1, 2))::INTEGER % 64)"
+HASHED = f"""md5s AS MATERIALIZED (SELECT 'd' AS kind, id, {MD5S.format("content")} AS h FROM corpus UNION ALL SELECT 'q', query_id, {MD5S.format("text")} FROM queries),
+signs AS MATERIALIZED (SELECT kind, id, {SIGNED.format("true")} AS up, {SIGNED.format("false")} AS down FROM md5s),
+raw_vec AS MATERIALIZED (SELECT kind, id, list_transform(range(64), lambda i: (len(list_filter(up, lambda x: x = i)) - len(list_filter(down, lambda x: x = i)))::DOUBLE) AS v FROM signs),
 vec AS MATERIALIZED (SELECT kind, id, list_transform(v, lambda x: (x / greatest(n, 1e-12::DOUBLE))::FLOAT)::DOUBLE[] AS v FROM (SELECT kind, id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM raw_vec)),
 dense AS MATERIALIZED (SELECT query_id, id, score, rank FROM (SELECT q.id AS query_id, d.id, round(list_dot_product(d.v, q.v), 6) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(d.v, q.v), 6) DESC, d.id)::INTEGER AS rank FROM vec d, vec q WHERE d.kind = 'd' AND q.kind = 'q') WHERE rank <= 30)"""
 

@@ -152,3 +152,48 @@ def test_embedding_stub(spark):
     rows = {r.id: r.embedding for r in embed(df, "t", prefix=query_prefix("x-e5-base")).collect()}
     assert len(rows[1]) == 64 and abs(sum(v * v for v in rows[1]) - 1) < 1e-6
     assert query_prefix("bge") == "" and passage_prefix("e5") == "passage: "
+
+
+def test_containing_against_every_pair(spark):
+    from lodestone.operators.conversation import containing
+
+    texts = [(0, "a b c d e f g h"), (1, "xa b c d e f gx"), (2, "b c d e  f g"), (3, "e f g h i j a b c d e f"), (4, None), (5, ""), (6, "a b"), (7, "c d e f g h a b c d e f g h")]
+    items = [(0, "a b c d e f"), (1, "b c d e f g"), (2, "a b"), (3, ""), (4, None), (5, "c d e f g h"), (6, "d e  f g"), (7, "a b c d e f g h i")]
+    want = {(q, i) for q, x in items for i, t in texts if x is not None and t is not None and x in t}
+    got = [tuple(r) for r in containing(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(items, "query_id long, text string")).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_context_and_confidence_without_hits(spark):
+    from lodestone.functions.fixed import NO_CONTEXT
+    from lodestone.operators import enrich, generation
+
+    q = spark.createDataFrame([(1, "một câu hỏi", "penalty")], "query_id long, text string, intent string")
+    chunks = spark.createDataFrame([], "query_id long, id long, pos int, score double, is_sibling boolean, doc string, name string, dieu int, dieu_title string, khoan string, diem string, content string")
+    assert [tuple(r) for r in generation.render_context(chunks, q).collect()] == [(1, NO_CONTEXT)]
+    corpus = spark.createDataFrame([], "id long, content string")
+    assert [tuple(r) for r in enrich.judge(chunks.select("query_id", "id", "pos", "score", "is_sibling"), corpus, q).collect()] == [(1, 0.0, False)]
+
+
+def test_recall_gate_leaves_siblings_out(spark):
+    from lodestone.operators.conversation import recall_gate
+    from lodestone.operators.retrieval import fetch_size
+
+    hits = spark.createDataFrame([(1, 1, "d", 1, "1", False), (1, 2, "d", 1, "2", True), (1, 11, "d", 1, "3", False), (2, 1, "d", 9, None, False)], "query_id long, rank int, doc string, dieu int, khoan string, is_sibling boolean")
+    gold = spark.createDataFrame([(1, "d", 1, "1"), (1, "d", 1, "2"), (1, "d", 1, "3"), (2, "d", 8, "1"), (1, "d", 1, "1")], "query_id long, doc string, dieu int, khoan string")
+    r = recall_gate(hits, gold, 10).first()
+    assert r.n_questions == 2 and abs(r.mean_recall - 1 / 6) < 1e-9 and not r.passed
+    assert recall_gate(hits, gold, 10, 0.1).first().passed
+    assert (fetch_size(5, 20, True), fetch_size(5, 20, False), fetch_size(30, 20, True)) == (20, 5, 30)
+
+
+def test_models_that_fail_cost_their_own_rows_only(spark):
+    from lodestone.functions.models import ask
+
+    def model(prompts):
+        if "bad" in prompts:
+            raise ValueError
+        return prompts[:1] if "short" in prompts and len(prompts) > 1 else [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([("a",), ("bad",), ("short",), ("b",), (None,)], "p string").coalesce(1)
+    assert [r.x for r in df.select(ask(F.col("p"), model, 3).alias("x")).collect()] == ["A", None, "SHORT", "B", ""]
