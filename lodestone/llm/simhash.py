@@ -167,4 +167,5 @@ def keep_one(documents: DataFrame) -> DataFrame:
     own = whole.select("doc_id", F.col("__ls_fp").alias("fp"), F.xxhash64("text").alias("h"), F.col("__ls_row").alias("row"))
     rooted = _rooted(own, F.min(F.struct(F.isnull("doc_id"), "doc_id", "h", "row")))
     kept = written(rooted.groupBy("root").agg(F.min("rep").alias("s")).select(F.col("s.row").alias("__ls_kept")), "kept")
-    return whole.join(kept, F.col("__ls_row") == F.col("__ls_kept"), "left_semi").select(*documents.columns)
+    # a merge join at every size: which rows stay is never small for long
+    return whole.join(kept.hint("merge"), F.col("__ls_row") == F.col("__ls_kept"), "left_semi").select(*documents.columns)
