@@ -20,13 +20,27 @@ from pyspark.sql.types import DoubleType
 WORD = re.compile(r"\w+")
 
 
+class _Codes(dict):
+    """A word's place in a hashed vector and its sign, as one number. Words recur, so a bounded cache serves most."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+        code = self[word] = h << 1 & (1 << 64) - 1 | h >> 63
+        return code
+
+
+_codes = _Codes()
+
+
 def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
     """Unit vectors of hashed words."""
     out = np.zeros((len(texts), dim))
     for i, t in enumerate(texts):
-        for w in WORD.findall((t or "").lower()):
-            h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little")
-            out[i, h % dim] += 1.0 if h >> 63 else -1.0
+        codes = np.fromiter(map(_codes.__getitem__, WORD.findall((t or "").lower())), np.uint64)
+        place, up = (codes >> np.uint64(1)) % np.uint64(dim), codes & np.uint64(1)
+        out[i] = np.bincount(place.astype(np.int64), np.where(up, 1.0, -1.0), dim)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

@@ -72,12 +72,37 @@ def test_streams(spark, sf, tmp_path):
     out = str(tmp_path / "state")
     q = state.keep_latest_state(stream, out, str(tmp_path / "cp"), "user_id", ("event_id",), ("event_type", "value"))
     q.awaitTermination()
-    last = max(int(x.removeprefix("batch=")) for x in os.listdir(out))
-    got = {r.user_id: r.event_type for r in spark.read.parquet(f"{out}/batch={last}").collect()}
+    got = {r.user_id: r.event_type for r in state.read_state(spark, out, "user_id", ("event_id",), ("event_type", "value")).collect()}
     want = {r.user_id: r.t for r in events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("t")).collect()}
     assert got == want
 
 
+def test_state_over_many_batches(spark, tmp_path):
+    """Late events, nulls and keys that some batches don't touch: as if all events were read at once; old parts go."""
+    import random
+
+    r = random.Random(3)
+    rows = [(k, r.randrange(30), r.choice([None, "a", "b", "c"]), r.choice([None, float(k)])) for k in range(400)]
+    r.shuffle(rows)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "event_id long, user_id long, kind string, value double"
+    os.makedirs(source)
+    for n in range(5):
+        spark.createDataFrame(rows[n * 80 : n * 80 + 80], schema).where("user_id % 5 <= " + str(n)).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        state.keep_latest_state(stream, out, str(tmp_path / "cp"), "user_id", ("event_id",), ("kind", "value"), buckets=8).awaitTermination()
+    fed = [x for n in range(5) for x in rows[n * 80 : n * 80 + 80] if x[1] % 5 <= n]
+    want = {}
+    for e, u, kind, value in sorted(fed):
+        was = want.get(u, (None, None, None))
+        want[u] = (e, kind if kind is not None else was[1], value if value is not None else was[2])
+    got = {x.user_id: (x.event_id, x.kind, x.value) for x in state.read_state(spark, out, "user_id", ("event_id",), ("kind", "value")).collect()}
+    assert got == want
+    named = {(r.batch, r.bucket) for n in (3, 4) for r in spark.read.parquet(f"{out}/places/batch={n}").collect()}
+    kept = {(n, int(x.removeprefix("bucket="))) for n in range(5) for x in os.listdir(f"{out}/state/batch={n}") if x.startswith("bucket=")}
+    assert kept == named and len(kept) < 40
+
+
 def test_small_tables_are_dealt_out_and_large_ones_left(spark, sf, monkeypatch):
     from lodestone.sources import tables
 
