@@ -163,8 +163,10 @@ def _settled(rule: Rule, x: np.ndarray, y: np.ndarray) -> Rule:
 def fit(documents: DataFrame, labels: DataFrame) -> list[Rule]:
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = hash_sample(known.where("quality = 1"), "doc_id", SAMPLE_DOCS).unionByName(hash_sample(known.where("quality = 0"), "doc_id", SAMPLE_DOCS))
-    some = documents.select(F.col("doc_id").alias("__q_id"), F.col("text").alias("__q_text")).join(F.broadcast(sample), F.col("__q_id") == F.col("doc_id"))  # at most 2 x SAMPLE_DOCS rows
-    rows = with_statistics(some.select("__q_id", "__q_text", "quality"), "__q_text").select("__q_id", "quality", *[F.col(f"__q_{f}").cast("double").alias(f) for f in FEATURES], base_failed().alias("failed")).collect()
+    some = documents.select(F.col("doc_id").alias("__q_id"), F.col("text").alias("__q_text")).join(F.broadcast(sample), F.col("__q_id") == F.col("doc_id"))  # at most 2 x SAMPLE_DOCS ids
+    rows = with_statistics(some.select("__q_id", "__q_text", "quality"), "__q_text").select("__q_id", "quality", *[F.col(f"__q_{f}").cast("double").alias(f) for f in FEATURES], base_failed().alias("failed"))
+    # an id may have many rows; of all at most 2 x SAMPLE_DOCS rows of numbers come to the driver
+    rows = rows.orderBy(F.xxhash64("__q_id", *FEATURES), "__q_id", *FEATURES).limit(2 * SAMPLE_DOCS).collect()
     # what the base rules reject already is not left to be learned
     rows = sorted((r for r in rows if not r.failed), key=lambda r: (hash((r["__q_id"] * 0x9E3779B97F4A7C15) % (1 << 61)), *[r[f] for f in FEATURES]))
     return learn(np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.quality == 0 for r in rows], bool))

@@ -1,5 +1,6 @@
 import collections
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,41 @@ def test_learns_a_list():
     assert quality.learn(x, np.zeros(900, bool)) == [] and quality.learn(x[:0], bad[:0]) == []
 
 
+def plain_features(t):
+    t = t or ""
+    n_words, chars, symbols, dups, repeats, _ = plain(t)
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    upper = sum(unicodedata.category(c) == "Lu" for c in t)
+    share = lambda x, y: x / max(1, y)
+    return dict(n_words=n_words, mean_word=share(chars, n_words), symbol_share=share(symbols, chars), dup_line_share=share(dups, len(lines)), repeat_share=share(repeats, n_words), upper_share=share(upper, chars), distinct_share=share(len(set(w)), n_words), lone_share=share(sum(len(x) == 1 for x in w), n_words))
+
+
+def test_learned_verdicts_by_plain_reading(spark):
+    """Statistics and the ordered list, worked out row by row; the list decides on rows that the base rules keep."""
+    sf = "/root/testdata/sf0.01"
+    d = pd.read_parquet(f"{sf}/documents.parquet")
+    rules = quality.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    want, by_rules = {}, 0
+    for i, t in zip(d.doc_id, d.text):
+        f = plain_features(t)
+        hit = any(all(f[name] >= value if at_least else f[name] < value for name, at_least, value in r.conditions) for r in rules)
+        want[i] = not plain(t)[5] and not hit
+        by_rules += hit and not plain(t)[5]
+    got = {r.doc_id: r.kept for r in quality.judge(table(spark, sf, "documents"), rules).collect()}
+    assert rules and by_rules > 0 and got == want
+    assert sum(r.kept for r in quality.judge(table(spark, sf, "documents"), []).collect()) == sum(want.values()) + by_rules
+
+
+def test_sample_is_bounded_in_rows(spark, monkeypatch):
+    """One labelled id with many rows doesn't come to the driver whole."""
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 20)
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda x, bad: seen.append(len(x)) or [])
+    rows = [(0, prose(i, 60)) for i in range(300)] + [(i, prose(i, 60)) for i in range(1, 30)]
+    quality.fit(docs(spark, rows), spark.createDataFrame([(i, i % 2, 0) for i in range(30)], LABELS))
+    assert seen == [40]
+
+
 def test_fits_and_keeps_clean_rows(spark):
     rows = [(i, prose(i, 60) if i % 2 else " ".join(w + "###" for w in prose(i, 60).split())) for i in range(200)] + [(900, None), (None, prose(5))]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(900, 0, 0), (None, 0, None), (3, 1, None)], LABELS)
