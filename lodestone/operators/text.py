@@ -132,6 +132,11 @@ def outside_boxes(chars: DataFrame, boxes: DataFrame, tolerance: float = 2.0) ->
     return c.join(b, inside, "left_anti")
 
 
+def text_outside_tables(chars: DataFrame, boxes: DataFrame, tolerance: float = 2.0, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """keys and text: a page's letters (keys, page, n, x, y, c) in their order n, without those that stand in a table's box."""
+    return concat_pages(outside_boxes(chars, boxes, tolerance), keys, ("n",), "c", "").withColumnRenamed("c", "text")
+
+
 def markdown_tables(cells: DataFrame) -> DataFrame:
     """cells (tbl, row, col, cell) -> (tbl, markdown). Blank rows go, ragged rows are padded, blank cells take
     the last value above them in their column, pipes are escaped, a rule follows the first row."""

@@ -105,6 +105,18 @@ def bbox_anti_range(spark, d):
     return T.outside_boxes(chars, boxes).select("doc_id", "x", "y")
 
 
+@query(
+    """SELECT c.item, string_agg(c.c, '' ORDER BY c.n) AS text FROM (SELECT item_id AS item, item_id % 50 AS page, n::INTEGER AS n, (n % 60 * 10)::DOUBLE AS x, (n // 60 * 12)::DOUBLE AS y, substr(text, n::INTEGER + 1, 1) AS c FROM (SELECT item_id, text, unnest(range(length(text))) AS n FROM benchmark)) c
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_partkey % 50 AS page, (p_partkey * 7 % 500)::DOUBLE AS x0, (p_partkey * 11 % 700)::DOUBLE AS top FROM part) b WHERE b.page = c.page AND c.x BETWEEN b.x0 - 2 AND b.x0 + 92 AND c.y BETWEEN b.top - 2 AND b.top + 62) GROUP BY 1"""
+)
+def page_text_minus_tables(spark, d):
+    """Letters laid out in lines of sixty; what stands in a table's box is left out of the text."""
+    letters = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.posexplode(F.split("text", "")).alias("n", "c")).where("c <> ''")
+    chars = letters.selectExpr("item", "item % 50 AS page", "n", "cast(n % 60 * 10 AS double) AS x", "cast(n div 60 * 12 AS double) AS y", "c")
+    boxes = table(spark, d, "part").selectExpr("p_partkey % 50 AS page", "cast(p_partkey * 7 % 500 AS double) AS x0", "cast(p_partkey * 11 % 700 AS double) AS top").selectExpr("*", "x0 + 90 AS x1", "top + 60 AS bottom")
+    return T.text_outside_tables(chars, boxes, keys=("item",))
+
+
 @query("SELECT page_id, url FROM pages WHERE regexp_extract(url, '://([^/?#]*)', 1) NOT IN (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) FROM pages WHERE url LIKE '%spam%' OR url LIKE '%casino%')")
 def blacklist_anti(spark, d):
     pages = table(spark, d, "pages").withColumn("host", F.regexp_extract("url", r"://([^/?#]*)", 1))

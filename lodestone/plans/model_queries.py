@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.fixed import INTENT_HINTS, NO_HISTORY, PROMPT_CONTEXT, PROMPT_END, PROMPT_HISTORY, PROMPT_LATEST, PROMPT_QUESTION, PROMPT_SKETCH
-from lodestone.functions.models import analysis_model, echo_model
+from lodestone.functions.models import analysis_model, echo_model, embed
 from lodestone.operators import conversation as V
 from lodestone.operators import generation as G
-from lodestone.plans.base import INTENT_SQL, QUESTIONS, queries, query, table, with_intent
+from lodestone.plans import chain
+from lodestone.plans.base import INTENT_SQL, QUESTIONS, law_corpus, queries, query, table, with_intent
 
 
 def _lit(s: str) -> str:
@@ -60,3 +61,16 @@ def state_machine(spark, d):
     e = table(spark, d, "events")
     made = V.node_path(F.expr(STATE), F.expr("CASE WHEN event_type = 'error' THEN 'E' END"), F.col("event_id") % 3 == 0, F.when(F.col("event_id") % 4 == 0, 0).otherwise(5), F.expr("CASE WHEN event_id % 7 <> 0 THEN true END"))
     return e.select("event_id", *[c.alias(k) for k, c in made.items()])
+
+
+@query()
+def legal_turn(spark, d):
+    """A whole turn for every question: searched by its text and a rewrite, and by a hypothetical answer; judged and routed.
+    No SQL: its steps are each compared with theirs."""
+    c = law_corpus(spark, d).withColumn("name", F.concat(F.lit("Luật "), "doc")).withColumn("dieu_title", F.concat(F.lit("Tiêu đề "), F.col("dieu").cast("string")))
+    vectors = embed(c.select("id", "content"), "content").select("id", "embedding")
+    asks = with_intent(queries(spark, d))
+    asks = asks.join(V.sketch_answers(asks, echo_model), "query_id")
+    asks = asks.select("query_id", "text", F.col("text").alias("raw"), "intent", F.lit("o_to").alias("vehicle"), F.when(F.col("query_id") % 2 == 0, F.array("text", F.concat(F.lit("mức phạt "), "text"))).alias("expanded"), "hyde")
+    turn = chain.legal_turn(c, vectors, asks, lambda df: embed(df, "text"))
+    return turn.prompts.join(turn.verdicts, "query_id").select("query_id", "route", "confidence", "passed", "multi_frame", "n_chunks", "hints", "context")

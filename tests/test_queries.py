@@ -38,8 +38,8 @@ def duck(sf):
     return c
 
 
-#: What SQL can't say: the recall of an approximate index, which has its own test.
-NO_SQL = {"ann_topk"}
+#: What SQL can't say: the recall of an approximate index, and a whole turn, whose steps have their own SQL; both are tested below.
+NO_SQL = {"ann_topk", "legal_turn"}
 
 
 def test_all_have_sql():
@@ -53,6 +53,20 @@ def test_approximate_search_recalls_exact_search(spark):
         assert len(exact & set(found)) >= 0.9 * len(exact) and len(found) == len(set(found)) == len(exact)
 
 
+def test_every_question_gets_a_turn(spark, sf):
+    """One row a question; contexts hold as many blocks as there are chunks, hints and routes fit intents and verdicts."""
+    from lodestone.functions.fixed import INTENT_HINTS
+    from lodestone.plans.base import INTENTS
+
+    got = QUERIES["legal_turn"](spark, sf).collect()
+    assert sorted(r.query_id for r in got) == sorted(r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect())
+    for r in got:
+        intent = INTENTS[r.query_id % len(INTENTS)]
+        assert r.hints.startswith(INTENT_HINTS[intent]) and r.n_chunks > 0 and r.context.count("\n\n---\n\n") >= r.n_chunks - 1
+        assert r.route == ("generate" if r.passed else "clarify") and r.passed == (r.confidence >= 2) and (not r.multi_frame or intent in ("penalty", "mixed"))
+    assert {r.route for r in got} == {"generate", "clarify"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
