@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Every window of a
-document (a word with the blanks around it) is compressed with both; the bytes that the toxic
+Two zstandard dictionaries are made of labelled text: one holds the commonest ordinary words, the other goes on
+with words that toxic text holds significantly more often (zstandard's own training does worse; the README has
+figures). Every window of a document (a word with the blanks around it) is compressed with both; the bytes that the toxic
 dictionary saves are the window's gain. Gains at calibrated thresholds are counted over the whole
 text and a logistic curve, fitted on the labelled rows, turns the counts into a probability.
 
