@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.sources.scratch import clean_up, fresh_path, map_arrow, written
 from lodestone.sources.tables import read_table
 
-__all__ = ["WORD", "clean_up", "fold", "fresh_path", "hash_sample", "held_out", "map_arrow", "spread", "table", "trainable", "written"]
+__all__ = ["WORD", "clean_up", "column", "crc32_sql", "fold", "fresh_path", "hash_sample", "held_out", "map_arrow", "own_columns", "spread", "table", "taken", "trainable", "unused", "written"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,3 +42,36 @@ def spread(text: Column, most: int) -> Column:
 def hash_sample(keys: DataFrame, by: str, n: int) -> DataFrame:
     """At most n rows, the same on every run: those of the smallest hash. Runs as a top-k, never a full sort."""
     return keys.orderBy(F.xxhash64(by), by).limit(n)
+
+
+def column(name: str) -> Column:
+    """The column of that very name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
+def taken(df: DataFrame, name: str) -> bool:
+    """Whether df has a column that the session can't tell from name."""
+    same = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    return name in df.columns if same else name.lower() in {c.lower() for c in df.columns}
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column."""
+    while taken(df, name):
+        name += "_"
+    return name
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's way to say the unsigned crc32 of a text's UTF-8 bytes."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    steps = f"list_transform(range(-1, strlen({text})), lambda k: CASE WHEN k < 0 THEN 4294967295 ELSE ('0x' || substr(hex({text}), 2 * k + 1, 2))::BIGINT END)"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(list_extract({table}::BIGINT[], (xor(c, b) & 255) + 1), c >> 8)), 4294967295)"

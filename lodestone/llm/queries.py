@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, html_extract, langid, mixing, pii, quality, simhash, toxicity, url_filter, warc
+from lodestone.llm import decontam, html_extract, langid, mixing, pii, quality, resample, sentence_pieces, simhash, spelling, toxicity, url_filter, warc
 from lodestone.llm.common import table
 
 
@@ -53,9 +54,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(table(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_simhash, op3_html_text, op4_pii, op5_url_filter, op6_warc, op7_langid, op8_quality_rules, op9_mixing, op10_decontamination)
+    for f in (op1_toxicity, op2_simhash, op3_html_text, op4_pii, op5_url_filter, op6_warc, op7_langid, op8_quality_rules, op9_mixing, op10_decontamination, op11_resampling, op12_spelling, op13_sentencepiece)
 }
 #: The others hold trained models or tilings; tests hold them against brute force, round trips and held-out rows.
-ORACLES: dict[str, str] = {"op5_url_filter": url_filter.oracle(), "op6_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_url_filter": url_filter.oracle(), "op6_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE, "op11_resampling": resample.ORACLE, "op12_spelling": spelling.ORACLE}
