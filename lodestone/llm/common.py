@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.sources.scratch import clean_up, fresh_path, map_arrow, written
 from lodestone.sources.tables import read_table
 
-__all__ = ["WORD", "clean_up", "column", "crc32_sql", "fold", "fresh_path", "hash_sample", "held_out", "map_arrow", "own_columns", "spread", "table", "taken", "trainable", "unused", "written"]
+__all__ = ["WORD", "clean_up", "column", "crc32_sql", "fold", "fresh_path", "hash_sample", "held_out", "map_arrow", "plain_names", "spread", "table", "taken", "trainable", "written"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,21 +49,20 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def own_columns(df: DataFrame) -> list[Column]:
-    return [column(c) for c in df.columns]
-
-
 def taken(df: DataFrame, name: str) -> bool:
     """Whether df has a column that the session can't tell from name."""
     same = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
     return name in df.columns if same else name.lower() in {c.lower() for c in df.columns}
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """name, with underscores behind it until df has no such column."""
-    while taken(df, name):
-        name += "_"
-    return name
+def plain_names(df: DataFrame, *needed: str):
+    """df with all columns renamed but those that are needed, so that no name clashes with another, whatever signs are in
+    it; and a function that gives a table with those columns their names back, with more columns behind them."""
+    same = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    fold = (lambda x: x) if same else str.lower
+    known = {fold(n): n for n in needed}
+    names = [known.get(fold(c), f"c{k}") for k, c in enumerate(df.columns)]
+    return df.toDF(*names), lambda out, *more: out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)], *more)
 
 
 def crc32_sql(text: str) -> str:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_arrow, written
+from lodestone.llm.common import map_arrow, plain_names, written
 
 TOKEN = re.compile(r"\w+")
 MIN_MATCH, COVERAGE = 5, 0.8
@@ -290,5 +290,6 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     few = bad.count() <= BROADCAST_TEXTS
     # a row without a text gets a key of its own kind and place, so that they don't meet in one task
     key = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
-    df = documents.withColumn("__dc_own", key)
-    return df.join(F.broadcast(bad) if few else bad, F.col("__dc_own") == F.col("__dc_key"), "left_anti").select(*documents.columns)
+    plain, named = plain_names(documents, "text")
+    df = plain.withColumn("__dc_own", key)
+    return df.join(F.broadcast(bad) if few else bad, F.col("__dc_own") == F.col("__dc_key"), "left_anti").transform(named)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, written
+from lodestone.llm.common import WORD, plain_names, taken, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_EPOCHS = 1.5, 2
@@ -141,14 +141,15 @@ def mix_plan(documents: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame) -> DataFrame:
-    """The rows that the mix takes, with size, copies and taken words beside documents' own columns. Texts are keyed and
-    written once, and read again without a shuffle."""
-    whole = written(keyed(documents), "mix-keyed")
+    """The rows that the mix takes, with size, copies and taken words beside documents' own columns; where documents have a
+    column of such a name (in any case, unless the session tells cases apart) theirs stays. Texts are keyed and written once,
+    and read again without a shuffle."""
+    plain, named = plain_names(documents, "doc_id", "text", "source")
+    whole = written(keyed(plain), "mix-keyed")
     cut = written(cuts(whole.select("__m_id", "__m_source", "__m_size", "__m_key", "__m_bucket", "__m_row")), "mix-cuts")
-    own = [F.col(f"`{c}`") for c in documents.columns]
     df = with_copies(whole, cut).where("__m_copies > 0")
     new = {"size": F.col("__m_size"), "source_size": F.col("__c_size"), "target": F.round("__c_target", 6), "copies": F.col("__m_copies"), "taken": F.col("__m_copies") * F.col("__m_size")}
-    return df.select(*own, *[c.alias(n) for n, c in new.items() if n not in documents.columns])
+    return named(df, *[c.alias(n) for n, c in new.items() if not taken(documents, n)])
 
 
 ORACLE = f"""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_arrow
+from lodestone.llm.common import map_arrow, plain_names
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -671,13 +671,14 @@ def redacted(t: str, forest: Forest) -> str:
 
 def redact(documents: DataFrame) -> DataFrame:
     """documents with every span replaced by its kind in brackets; n_chars, where there is one, follows the text."""
-    forest, names = trained(), documents.columns
-    at = names.index("text")
+    forest = trained()
+    plain, named = plain_names(documents, "text", "n_chars")
+    at = plain.columns.index("text")
 
     def run(batches):
         for b in batches:
             new = [t if t is None else redacted(t, forest) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    out = map_arrow(documents, run, documents.schema)
-    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = map_arrow(plain, run, plain.schema)
+    return named(out.withColumn("n_chars", F.length("text").cast(plain.schema["n_chars"].dataType)) if "n_chars" in plain.columns else out)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, hash_sample
+from lodestone.llm.common import WORD, hash_sample, plain_names
 
 BLANK = r"[\x20\x09-\x0D]+"
 #: Bound of the training sample: labelled documents of a class.
@@ -190,4 +190,5 @@ def keep_good(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     """documents without the rejected rows; columns and values are kept."""
     # The row number keeps the filter above the statistics: pushed below, it would work out each of them anew wherever it is named.
     good = ~base_failed() & verdict(rules) & (F.col("__q_row") >= 0)
-    return with_statistics(documents).where(good).select(*[F.col(f"`{c}`") for c in documents.columns])
+    plain, named = plain_names(documents, "text")
+    return named(with_statistics(plain).where(good))

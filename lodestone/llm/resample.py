@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, crc32_sql, map_arrow, own_columns, unused, written
+from lodestone.llm.common import column, crc32_sql, map_arrow, plain_names, written
 
 BUCKETS, LEAST_WORDS, PERCENT, SALT = 10_000, 20, 25, 7
 #: Bytes of a text that are taken apart in one go.
@@ -148,10 +148,10 @@ def importance(documents: DataFrame, target: DataFrame, percent: int = PERCENT,
 
 def draw(documents: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, target_id: str = "item_id") -> DataFrame:
     """The rows of documents that are drawn, with all their columns. Texts are written once with a number, and not shuffled unless the join deals them out."""
-    row = unused(documents, "resample_row")
-    whole = written(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    drawn = importance(whole, target, percent, least_words, target_id, column(row)).where("rank IS NOT NULL").select(F.col("row").alias(unused(whole, "drawn_row")))
-    return whole.join(drawn, column(row) == drawn[drawn.columns[0]], "left_semi").select(*own_columns(documents))
+    plain, named = plain_names(documents, "doc_id", "text")
+    whole = written(plain.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    drawn = importance(whole, target, percent, least_words, target_id, F.col("__row")).where("rank IS NOT NULL").select(F.col("row").alias("__drawn"))
+    return named(whole.join(drawn, F.col("__row") == F.col("__drawn"), "left_semi"))
 
 
 FEATURES = "SELECT {0} AS i, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM (SELECT {0}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {1})"

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestone.llm.common import map_arrow, written
+from lodestone.llm.common import map_arrow, plain_names, written
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (offset, width) of the segments.
@@ -162,10 +162,11 @@ def keep_one(documents: DataFrame) -> DataFrame:
     none, replace each other only if they are linked. Columns and their values are kept. Rows are written once with
     their fingerprints and a number of their own; which rows stay is decided on those alone, and texts are shuffled
     once, by number, so evenly whatever ids and copies there are."""
-    numbered = _with_fingerprints(documents).withColumn("__ls_row", F.monotonically_increasing_id())
+    plain, named = plain_names(documents, "doc_id", "text")
+    numbered = _with_fingerprints(plain).withColumn("__ls_row", F.monotonically_increasing_id())
     whole = written(numbered, "with-fingerprints")
     own = whole.select("doc_id", F.col("__ls_fp").alias("fp"), F.xxhash64("text").alias("h"), F.col("__ls_row").alias("row"))
     rooted = _rooted(own, F.min(F.struct(F.isnull("doc_id"), "doc_id", "h", "row")))
     kept = written(rooted.groupBy("root").agg(F.min("rep").alias("s")).select(F.col("s.row").alias("__ls_kept")), "kept")
     # a merge join at every size: which rows stay is never small for long
-    return whole.join(kept.hint("merge"), F.col("__ls_row") == F.col("__ls_kept"), "left_semi").select(*documents.columns)
+    return whole.join(kept.hint("merge"), F.col("__ls_row") == F.col("__ls_kept"), "left_semi").transform(named)

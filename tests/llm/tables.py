@@ -31,3 +31,13 @@ def clashing(df):
 
     names = ("fp", "score", "component_id", "size", "taken", "copies", "kept", "k", "rn", "fingerprint", "n_words", "w", "s", "e", "b", "g", "p", "d", "i", "l", "host", "path", "digest", "item_id", "coverage", "n_items", "quality", "toxic")
     return df.select("*", *[F.lit(7).alias(n) for n in names if n not in df.columns])
+
+
+ODD = ("a.b", "Size", "TAKEN", "__ls_fp", "__ls_row", "__m_id", "__c_row", "__q_w", "__dc_own", "__row", "x`y", "c0", "C7", "with space", "ö")
+
+
+def odd_names(df):
+    """df with columns whose names need quotes, differ in case from those that the operators make, or are used inside them."""
+    from pyspark.sql import functions as F
+
+    return df.select("*", *[F.lit(k).alias(n) for k, n in enumerate(ODD)])

@@ -5,7 +5,7 @@ import pandas as pd
 import corpus_pipeline
 from lodestone.llm import decontam, pii, quality
 from lodestone.llm.common import table, written
-from tests.llm.tables import LABELS, clashing, docs, edge_rows, prose
+from tests.llm.tables import LABELS, ODD, clashing, docs, edge_rows, odd_names, prose
 from tests.llm.test_decontam import plain_tiles
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_quality import plain
@@ -93,3 +93,16 @@ def test_near_dedup_keeps_distinct_texts(spark, sf):
     rows = [(None, prose(1)), (None, prose(2)), (None, prose(3)), (5, prose(4)), (5, prose(5)), (6, prose(6)), (6, prose(6))]
     got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs(spark, rows), sf).collect()
     assert sorted(r.text for r in got) == sorted(prose(i) for i in range(1, 7))
+
+
+def test_any_column_names(spark, sf):
+    """Columns keep their names and values through all stages, and what comes out can be written."""
+    rows = [(i, prose(i, 80)) for i in range(30)] + [(40, prose(1, 80)), (41, "mail a.b@c.org " + prose(41, 60))] + [(r[0], r[1]) for r in edge_rows() if r[0] != 6]
+    now = written(odd_names(docs(spark, rows)), "odd")
+    columns = now.columns
+    values = list(range(len(ODD)))
+    for name, stage in corpus_pipeline.STAGES:
+        now = written(stage(spark, now, sf), name)
+        assert now.columns[: len(columns)] == columns and now.count() > 0
+        assert {tuple(r)[5:20] for r in now.collect()} == {tuple(values)}
+    assert now.columns[len(columns) :] == ["source_size", "target", "copies"]
