@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.fixed import ANALYSIS_DEFAULTS, LEGAL_DOMAINS, NO_HISTORY, PROMPT_HISTORY, PROMPT_LATEST, PROMPT_SKETCH, RECALL_FLOOR, WEB_PREFIX
+from lodestone.functions.fixed import ANALYSIS_DEFAULTS, CITED_SOURCES, LEGAL_DOMAINS, NO_HISTORY, PROMPT_HISTORY, PROMPT_LATEST, PROMPT_SKETCH, RECALL_FLOOR, UNTITLED, WEB_PREFIX
 from lodestone.functions.models import ask
 from lodestone.functions.schemas import CITATION
 from lodestone.operators.text import strip
@@ -27,7 +27,7 @@ def history_window(messages: DataFrame, n: int = 6) -> DataFrame:
     line = F.concat(F.lit("  "), label, F.lit(": "), strip(F.col("text")))
     if "source_labels" in messages.columns:
         numbered = F.array_join(F.transform("source_labels", lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), s)), ", ")
-        line = F.when((F.col("role") == "assistant") & (F.size("source_labels") > 0), F.concat(line, F.lit("\n    (Nguồn đã trích dẫn: "), numbered, F.lit(")"))).otherwise(line)
+        line = F.when((F.col("role") == "assistant") & (F.size("source_labels") > 0), F.concat(line, F.lit("\n    " + CITED_SOURCES), numbered, F.lit(")"))).otherwise(line)
     kept = last_messages(messages, n).withColumn("__line", F.when(strip(F.coalesce("text", F.lit(""))) != "", line))
     rows = F.array_sort(F.collect_list(F.when(F.col("__line").isNotNull(), F.struct("turn", "__line"))))
     return kept.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["__line"]), "\n").alias("h")).select("conv_id", F.coalesce(F.nullif("h", F.lit("")), F.lit(NO_HISTORY)).alias("history"))
@@ -42,7 +42,7 @@ def last_user_message(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.coalesce(last, F.lit("")).alias("text"))
 
 
-def conversation_titles(messages: DataFrame, default: str = "Cuộc hội thoại mới") -> DataFrame:
+def conversation_titles(messages: DataFrame, default: str = UNTITLED) -> DataFrame:
     """A conversation that a user opens is called by the first 60 letters of that message."""
     first = F.min_by(F.struct("role", "text"), "turn")
     return messages.groupBy("conv_id").agg(first.alias("f")).select("conv_id", F.when(F.col("f.role") == "user", F.substring("f.text", 1, 60)).otherwise(default).alias("title"))

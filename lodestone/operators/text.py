@@ -26,6 +26,7 @@ from lodestone.functions.fixed import (
     REFINE_LETTERS,
     REVOCATION,
     UNIT_TOKEN,
+    UNIT_TOKEN_DECREE,
     java,
 )
 
@@ -70,8 +71,9 @@ def bold_dates(line: Column) -> Column:
     return F.regexp_replace(line, java(DATE_PHRASE), "**$1**")
 
 
-def wrap_units(line: Column) -> Column:
-    return F.regexp_replace(line, java(UNIT_TOKEN), r"\$\$$1\$\$")
+def wrap_units(line: Column, law: bool = True) -> Column:
+    """Units of a law's line, or of one of a decree or circular, which have one more."""
+    return F.regexp_replace(line, java(UNIT_TOKEN if law else UNIT_TOKEN_DECREE), r"\$\$$1\$\$")
 
 
 def merge_lines(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

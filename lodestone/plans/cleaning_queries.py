@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.fixed import ARTICLE_LINE, CHAPTER_LINE, CHECKBOXES, CHOICE, DATE_PHRASE, FILL_IN, FINE_RANGE, FOOTER_PART, FORM_DOTS, HEADER_LINE, HEADING_LINE, MERGE_END_LETTERS, PAGE_NUMBER_LINE, REFINE_LETTERS, REVOCATION, UNIT_TOKEN, re2
+from lodestone.functions.fixed import ARTICLE_LINE, CHAPTER_LINE, CHECKBOXES, CHOICE, DATE_PHRASE, FILL_IN, FINE_RANGE, FOOTER_PART, FORM_DOTS, HEADER_LINE, HEADING_LINE, MERGE_END_LETTERS, PAGE_NUMBER_LINE, REFINE_LETTERS, REVOCATION, UNIT_TOKEN, UNIT_TOKEN_DECREE, re2
 from lodestone.operators import text as T
 from lodestone.plans.base import LAW_LINES, law_lines, query, table
 
@@ -49,6 +49,14 @@ def unit_wrap(spark, d):
     return law_lines(spark, d).withColumn("line", T.wrap_units(F.col("line")))
 
 
+MEASURED = "concat(line, ' ', pos, ' mg/l, NOx')"
+
+
+@query(f"SELECT doc_id, pos, regexp_replace({MEASURED}, {re2(UNIT_TOKEN_DECREE)}, '$$\\1$$', 'g') AS line FROM law_lines", LAW_LINES)
+def unit_wrap_decree(spark, d):
+    return law_lines(spark, d).withColumn("line", T.wrap_units(F.expr(MEASURED), law=False))
+
+
 MERGED = f"""m AS (SELECT *, CASE WHEN regexp_matches(lag(line) OVER w, '[{MERGE_END_LETTERS}]$') AND regexp_matches(line, '^\\p{{Ll}}') AND NOT regexp_matches(line, {re2(HEADING_LINE)}) THEN 0 ELSE 1 END AS fresh FROM clean WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS line_no FROM m)"""
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.fixed import DATE_BUCKETS, LEGAL_DOMAINS, NO_HISTORY, WEB_PREFIX
+from lodestone.functions.fixed import DATE_BUCKETS, LEGAL_DOMAINS, NO_HISTORY, REJECTED, WEB_PREFIX
 from lodestone.operators import conversation as V
 from lodestone.operators import generation as G
 from lodestone.plans.base import query, table
 from lodestone.sources import chunks as S
+from lodestone.sources.scratch import fresh_path, written
+from lodestone.streaming import threads as H
 
 BLANKED = "CASE WHEN turn % 5 = 3 THEN ' ' ELSE text END"
 
@@ -202,3 +204,62 @@ MAIL = "CASE user_id % 4 WHEN 0 THEN concat('U', user_id, '@X.com') WHEN 1 THEN
 @query(f"SELECT user_id, coalesce(lower({MAIL}) IN ('u4@x.com', 'u6@x.com', 'u9@x.com'), false) AS admin FROM (SELECT DISTINCT user_id FROM events)")
 def admin_gate(spark, d):
     return table(spark, d, "events").select("user_id").distinct().select("user_id", V.is_admin(F.expr(MAIL), " U4@x.com, u6@X.com,,u9@x.com").alias("admin"))
+
+
+# --- threads as a stream ----------------------------------------------------------------------------
+
+ASK = "event_type IN ('click', 'view', 'error')"
+#: What a thread's events say: questions with what their stateless nodes found, and reviewers' decisions.
+TURN_FIELDS = {"kind": f"CASE WHEN {ASK} THEN 'ask' ELSE 'decide' END", "category": CATEGORY, "error": "CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'boom' ELSE '' END", "refused": "event_id % 3 = 0", "n_chunks": "event_id % 4", "draft": "concat('D', event_id)", "answer": "concat('A', event_id)", "approved": "value >= 100", "override": "CASE WHEN event_id % 7 = 0 THEN concat('sửa ', event_id) ELSE '' END"}
+
+
+def turn_events(spark, d):
+    moment = F.col("ts").cast("timestamp").alias("at")
+    return table(spark, d, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), moment, *[F.expr(e).alias(c) for c, e in TURN_FIELDS.items()])
+
+
+def _in_two_runs(spark, rows, start):
+    """rows (seq, at) as a stream that is stopped in the middle and starts again: earlier ones first, each run in any order."""
+    source, checkpoint = fresh_path(spark, "stream"), fresh_path(spark, "stream-checkpoint")
+    ends = rows.agg(F.percentile_approx("at", 0.5).alias("half"), F.max("at").alias("last")).first()
+    parts = spark.sparkContext.defaultParallelism
+    for part in (F.col("at") <= ends["half"], F.col("at") > ends["half"]):
+        rows.where(part).repartition(parts).write.mode("append").parquet(source)
+        start(spark.readStream.schema(rows.schema).parquet(source), checkpoint, parts).awaitTermination()
+    return source, checkpoint, ends["last"]
+
+
+TURNS = f"""turns AS (SELECT user_id AS thread, event_id AS seq, ts AS moment, {', '.join(f'{e} AS {c}' for c, e in TURN_FIELDS.items())} FROM events),
+ways AS (SELECT *, kind = 'ask' AS asks, coalesce(category, 'odd') = 'legal_rag' AND error = '' AND (refused OR n_chunks = 0) AS legal, coalesce(category, 'odd') = 'web_legal_search' AS web FROM turns),
+steps AS (SELECT *, asks AND (legal OR web) AS waits, 'analyzer>' || CASE category WHEN 'legal_rag' THEN 'legal_rag' WHEN 'chit_chat' THEN 'chit_chat' WHEN 'web_legal_search' THEN 'web_search' ELSE 'out_of_scope' END || CASE WHEN legal THEN '>web_search' ELSE '' END AS path FROM ways),
+beside AS (SELECT *, lag(waits) OVER w AND moment < lag(moment) OVER w + INTERVAL 2 DAY AS held, lag(draft) OVER w AS was, lead(moment) OVER w AS next_at, lead(asks) OVER w AS next_asks FROM steps WINDOW w AS (PARTITION BY thread ORDER BY moment, seq))"""
+
+
+@query(
+    f"""SELECT thread, seq, CASE WHEN asks THEN path WHEN held AND approved THEN 'web_finalize' END AS path, CASE WHEN waits THEN 'pending_web_review' WHEN asks THEN 'completed' WHEN NOT coalesce(held, false) THEN 'not_found' WHEN approved THEN 'completed' ELSE 'rejected' END AS status,
+    CASE WHEN waits THEN NULL WHEN asks THEN answer WHEN held AND approved THEN coalesce(nullif(override, ''), was) WHEN held THEN '{REJECTED}' END AS answer FROM beside
+    UNION ALL SELECT thread, seq, NULL, CASE WHEN next_at IS NULL OR next_at >= moment + INTERVAL 2 DAY THEN 'expired' ELSE 'replaced' END, NULL FROM beside WHERE waits AND (next_at IS NULL OR next_at >= moment + INTERVAL 2 DAY OR next_asks)""",
+    TURNS,
+)
+def thread_machine(spark, d):
+    """Events replayed as a stream in two runs; then time goes on until the last turn that nobody decided has expired."""
+    out = fresh_path(spark, "turn-log")
+    start = lambda stream, checkpoint, parts: H.start_turns(stream, out, checkpoint, partitions=parts)
+    rows = turn_events(spark, d)
+    source, checkpoint, last = _in_two_runs(spark, rows, start)
+    if last is None:
+        return H.turn_log(rows)
+    later = rows.limit(1).withColumns({"thread": F.lit(None).cast(rows.schema["thread"].dataType), "at": F.lit(last) + F.expr("INTERVAL 30 DAYS")})
+    written(later, "later").write.mode("append").parquet(source)
+    start(spark.readStream.schema(rows.schema).parquet(source), checkpoint, None).awaitTermination()
+    return spark.read.schema(H.LOG.format(key=rows.schema["thread"].dataType.simpleString())).parquet(out)
+
+
+@query("SELECT thread, category, round(amount, 6) AS amount, error FROM state", STATE)
+def thread_state(spark, d):
+    """The latest state by thread, kept by a stream in two runs that gets events in any order, and read from the state store."""
+    fields = ("category", "amount", "error")
+    rows = table(spark, d, "events").selectExpr("user_id AS thread", "event_id", "hash(event_id) AS at", "event_type AS category", "CASE WHEN event_type = 'purchase' THEN value END AS amount", "CASE WHEN event_type = 'error' THEN concat('E', event_id) END AS error")
+    start = lambda stream, checkpoint, parts: H.keep_latest_state(stream, checkpoint, "thread", ("event_id",), fields, parts)
+    _, checkpoint, _ = _in_two_runs(spark, rows, start)
+    return H.read_state(spark, checkpoint, "thread", fields, {"amount": "double"}).withColumn("amount", F.round("amount", 6))

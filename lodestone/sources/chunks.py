@@ -23,14 +23,26 @@ CHUNK_SCHEMA = T.StructType(
 )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, line): lines that aren't blank, with their 0-based numbers in the order of file and line, by prefix sums over
+    the splits that files are read in. One pass counts the lines of each split; a second one reads them again, takes the
+    line's place in its split and adds what comes before the split. Lines themselves are never shuffled, and a file is
+    as many tasks as it has splits. What is broadcast is 40 bytes for each split. If files are split otherwise the second
+    time (they have changed, or the cluster has), the query fails rather than number them wrongly."""
+    place = (F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select(*place, F.col("_metadata.file_path").alias("name"), F.monotonically_increasing_id().alias("at"), "value")
+    splits = lines.groupBy("file", "split").agg(F.first("name").alias("name"), F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("name", "split")) - F.col("n")  # a row for each split
+    starts = splits.select("file", "split", "n", "first", before.alias("before"))
+    own = F.col("at") - F.col("first")
+    same = (own >= 0) & (own < F.col("n"))
+    rows = lines.drop("name").join(F.broadcast(starts), ["file", "split"], "left")
+    return rows.select(F.when(F.coalesce(same, F.lit(False)), F.col("before") + own).otherwise(F.raise_error("files are split otherwise than when their lines were counted").cast("long")).alias("id"), F.col("value").alias("line"))
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks from JSON lines with their 0-based ids in the order of file and line. Blank lines don't count. Ids
-    are numbered from per-file counts, so no file order is sorted in one task."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
-    counts = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    start = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each file
-    rows = lines.join(start, "file").withColumn("id", F.col("start") + F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
-    parsed = rows.select("id", F.from_json("value", CHUNK_SCHEMA).alias("j"))
+    """Chunks from JSON lines with their 0-based ids in the order of file and line. Blank lines don't count."""
+    parsed = numbered_lines(spark, path).select("id", F.from_json("line", CHUNK_SCHEMA).alias("j"))
     return parsed.select("id", *[_field(k, v) for k, v in DEFAULTS.items()], F.coalesce("j.content", F.lit("")).alias("content"))
 
 

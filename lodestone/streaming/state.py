@@ -1,13 +1,11 @@
-"""Streaming variants of the state operators."""
+"""Counters of streams. threads has what is kept by key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators.conversation import request_metrics
-from lodestone.sources.scratch import written
 
 
 def metrics_stream(requests: DataFrame) -> DataFrame:
@@ -18,60 +16,3 @@ def metrics_stream(requests: DataFrame) -> DataFrame:
 def windowed_counts(events: DataFrame, at: str, every: str = "1 hour", late: str = "2 hours", by: str = "event_type") -> DataFrame:
     """Counts of tumbling windows; events later than late are left out. For output modes append and update."""
     return events.withWatermark(at, late).groupBy(F.window(at, every), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), by, "n")
-
-
-#: Parts that the state is kept in by a hash of the key; a micro-batch writes those anew that it touches.
-BUCKETS = 64
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _places(spark: SparkSession, path: str, n: int) -> dict[int, int]:
-    """Of every bucket the batch that wrote it last, as of batch n."""
-    p, fs = _fs(spark, f"{path}/places/batch={n}")
-    return {r.bucket: r.batch for r in spark.read.schema("bucket int, batch long").parquet(f"{path}/places/batch={n}").collect()} if n >= 0 and fs.exists(p) else {}
-
-
-def keep_latest_state(events: DataFrame, path: str, checkpoint: str, key: str, order: tuple[str, ...], fields: tuple[str, ...], buckets: int = BUCKETS) -> StreamingQuery:
-    """Merges every micro-batch into the latest state by key, whatever the order in which events come: with each field
-    the place of its event is kept. A batch writes the buckets that it touches under its number and a list of where each
-    bucket stands, so a batch that is run again writes what it wrote before; what neither the last list nor the one before
-    it names is deleted. read_state reads the state."""
-    spark = events.sparkSession
-    names = [f"f_{f}" for f in fields]
-
-    def merge(batch: DataFrame, n: int) -> None:
-        at = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)])
-        own = [F.when(F.col(f).isNotNull(), F.struct(at.alias("at"), F.col(f).alias("value"))).alias(name) for f, name in zip(fields, names, strict=True)]
-        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
-        latest = lambda df: df.groupBy("bucket", key).agg(F.max("last").alias("last"), *[F.max(x).alias(x) for x in names])
-        new = latest(batch.select(bucket, key, at.alias("last"), *own))
-        new = written(new, "state-batch")
-        touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # at most buckets
-        places = _places(spark, path, n - 1)
-        old = [f"{path}/state/batch={places[b]}/bucket={b}" for b in touched if b in places]
-        rows = new
-        if old:
-            rows = rows.unionByName(spark.read.schema(new.schema).option("basePath", f"{path}/state").parquet(*old).select(*new.columns))
-        latest(rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state/batch={n}")
-        now = places | dict.fromkeys(touched, n)
-        spark.createDataFrame(sorted(now.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/places/batch={n}")
-        for b, was in _places(spark, path, n - 2).items():
-            if was not in (places.get(b), now[b]):
-                p, fs = _fs(spark, f"{path}/state/batch={was}/bucket={b}")
-                fs.delete(p, True)
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_state(spark: SparkSession, path: str, key: str, order: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
-    """key, the place of its last event and the latest value of each field, as of the last batch."""
-    p, fs = _fs(spark, f"{path}/places")
-    last = max(int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(p) if s.getPath().getName().startswith("batch="))
-    paths = [f"{path}/state/batch={n}/bucket={b}" for b, n in _places(spark, path, last).items()]
-    df = spark.read.option("basePath", f"{path}/state").parquet(*paths)
-    places = [F.col(f"last.o{k}").alias(c) for k, c in enumerate(order) if c not in fields]
-    return df.select(key, *places, *[F.col(f"f_{f}.value").alias(f) for f in fields])

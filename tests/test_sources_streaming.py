@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.fixed import LEGAL_DOMAINS
 from lodestone.sources import chunks as S
-from lodestone.streaming import state
+from lodestone.streaming import state, threads
 
 
 def test_chunks_round_trip(spark, tmp_path):
@@ -22,6 +22,30 @@ def test_chunks_round_trip(spark, tmp_path):
     assert files["c1.md"].startswith('---\nchunk_id: "c1"') and files["c1.md"].endswith("---\n\nt1")
 
 
+def test_ids_over_many_splits(spark, tmp_path):
+    """Files cut into many splits, with blank lines and an empty file: the numbers that one reader would give; lines aren't shuffled."""
+    os.makedirs(tmp_path / "in")
+    want = []
+    for name in ("b", "a", "c", "empty"):
+        lines = [] if name == "empty" else [f"{name}{i} " + "é" * (i % 50) if i % 7 else " " * (i % 3) for i in range(400)]
+        (tmp_path / "in" / f"{name}.jsonl").write_text("\n".join(lines))
+        want.append((name, [x for x in lines if x.strip()]))
+    want = [x for _, lines in sorted(want) for x in lines]
+    keys = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "10"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = S.numbered_lines(spark, str(tmp_path / "in"))
+        assert [(r.id, r.line) for r in df.orderBy("id").collect()] == list(enumerate(want)) and df.rdd.getNumPartitions() > 20
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.split("\n") if "Exchange" in x]
+        assert exchanges and not any("value" in x for x in exchanges)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_markdown_scan(spark, tmp_path):
     for name, text in (("luat/a.md", "x\ny"), ("luat/_skip.md", "x"), ("nghidinh/b.md", "z"), ("nghidinh/blank.md", " ")):
         os.makedirs((tmp_path / name).parent, exist_ok=True)
@@ -69,38 +93,75 @@ def test_streams(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").count() > 0
-    out = str(tmp_path / "state")
-    q = state.keep_latest_state(stream, out, str(tmp_path / "cp"), "user_id", ("event_id",), ("event_type", "value"))
-    q.awaitTermination()
-    got = {r.user_id: r.event_type for r in state.read_state(spark, out, "user_id", ("event_id",), ("event_type", "value")).collect()}
-    want = {r.user_id: r.t for r in events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("t")).collect()}
-    assert got == want
 
 
 def test_state_over_many_batches(spark, tmp_path):
-    """Late events, nulls and keys that some batches don't touch: as if all events were read at once; old parts go."""
+    """Late events, nulls and keys that some batches don't touch: as if all events were read at once."""
     import random
 
     r = random.Random(3)
-    rows = [(k, r.randrange(30), r.choice([None, "a", "b", "c"]), r.choice([None, float(k)])) for k in range(400)]
+    rows = [(k, r.randrange(30), r.choice([None, "a", "b", "c"]), r.choice([None, float(k)])) for k in range(-200, 200)]
     r.shuffle(rows)
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
     schema = "event_id long, user_id long, kind string, value double"
-    os.makedirs(source)
-    for n in range(5):
-        spark.createDataFrame(rows[n * 80 : n * 80 + 80], schema).where("user_id % 5 <= " + str(n)).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        state.keep_latest_state(stream, out, str(tmp_path / "cp"), "user_id", ("event_id",), ("kind", "value"), buckets=8).awaitTermination()
-    fed = [x for n in range(5) for x in rows[n * 80 : n * 80 + 80] if x[1] % 5 <= n]
+    fed = []
+    for n in range(3):
+        now = [x for x in rows[n * 130 : n * 130 + 130] if x[1] % 3 <= n]
+        fed += now
+        spark.createDataFrame(now + now[:9], schema).coalesce(1).write.mode("append").parquet(source)
+        threads.keep_latest_state(spark.readStream.schema(schema).parquet(source), checkpoint, "user_id", ("event_id",), ("kind", "value"), 2).awaitTermination()
     want = {}
-    for e, u, kind, value in sorted(fed):
-        was = want.get(u, (None, None, None))
-        want[u] = (e, kind if kind is not None else was[1], value if value is not None else was[2])
-    got = {x.user_id: (x.event_id, x.kind, x.value) for x in state.read_state(spark, out, "user_id", ("event_id",), ("kind", "value")).collect()}
-    assert got == want
-    named = {(r.batch, r.bucket) for n in (3, 4) for r in spark.read.parquet(f"{out}/places/batch={n}").collect()}
-    kept = {(n, int(x.removeprefix("bucket="))) for n in range(5) for x in os.listdir(f"{out}/state/batch={n}") if x.startswith("bucket=")}
-    assert kept == named and len(kept) < 40
+    for _, u, kind, value in sorted(fed, key=lambda x: x[0]):
+        was = want.get(u, (None, None))
+        want[u] = (kind if kind is not None else was[0], value if value is not None else was[1])
+    got = {x.user_id: (x.kind, x.value) for x in threads.read_state(spark, checkpoint, "user_id", ("kind", "value"), {"value": "double"}).collect()}
+    assert got == {u: w for u, w in want.items() if w != (None, None)}
+
+
+TURN = "thread string, seq long, at timestamp, kind string, category string, error string, refused boolean, n_chunks int, draft string, answer string, approved boolean, override string"
+
+
+def turns(spark, rows):
+    """rows: (thread, seq, hours, kind[, category or whether it's approved[, override]])."""
+    from datetime import UTC, datetime, timedelta
+
+    start = datetime(2024, 1, 1, tzinfo=UTC)
+    full = []
+    for t, seq, hours, kind, *more in rows:
+        ask = kind == "ask"
+        full.append((t, seq, start + timedelta(hours=hours), kind, more[0] if ask else None, "", False, 1 if ask else None, f"D{seq}" if ask else None, f"A{seq}" if ask else None, None if ask else more[0], more[1] if len(more) > 1 else None))
+    return spark.createDataFrame(full, TURN)
+
+
+WEB, LEGAL = "web_legal_search", "legal_rag"
+
+
+def test_turns_wait_resume_and_expire(spark, tmp_path):
+    """Steps by hand, and by the log of the table: events out of order, late, repeated, over a restart in the middle of a wait."""
+    from datetime import timedelta
+
+    batches = [
+        [("a", 2, 2, "decide", True), ("a", 1, 1, "ask", WEB), ("b", 1, 1, "ask", LEGAL), ("c", 1, 1, "ask", WEB), ("d", 1, 1, "decide", True), ("e", 1, 1, "ask", WEB), ("f", 1, 1, "ask", WEB)],
+        [("c", 2, 5, "ask", WEB), ("e", 2, 4.5, "decide", False), ("a", 1, 1, "ask", WEB), ("c", 3, 6, "decide", True, "sửa"), ("a", 3, 6.5, "ask", None), ("c", 2, 5, "ask", WEB)],
+        [("f", 2, 26, "decide", True), ("a", 4, 26.5, "decide", False), ("z", 9, 400, "ask", LEGAL), ("a", 1, 1, "ask", WEB)],
+    ]
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    for k, rows in enumerate(batches):
+        turns(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        threads.start_turns(spark.readStream.schema(TURN).parquet(source), out, checkpoint, timedelta(hours=24), timedelta(hours=3), 2).awaitTermination()
+        if k == 1:
+            assert {(r.thread, r.seq) for r in threads.waiting_turns(spark, checkpoint).collect()} == {("f", 1), ("e", 1), ("c", 1)}
+    got = sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str)
+    web, no = "analyzer>web_search", threads.REJECTED
+    want = [
+        ("a", 1, web, "pending_web_review", None), ("a", 2, "web_finalize", "completed", "D1"), ("a", 3, "analyzer>out_of_scope", "completed", "A3"), ("a", 4, None, "not_found", None), ("b", 1, "analyzer>legal_rag", "completed", "A1"),
+        ("c", 1, web, "pending_web_review", None), ("c", 1, None, "replaced", None), ("c", 2, web, "pending_web_review", None), ("c", 3, "web_finalize", "completed", "sửa"), ("d", 1, None, "not_found", None),
+        ("e", 1, web, "pending_web_review", None), ("e", 2, None, "rejected", no), ("f", 1, web, "pending_web_review", None), ("f", 1, None, "expired", None), ("f", 2, None, "not_found", None),
+    ]
+    assert got == sorted(want, key=str)
+    every = [x for b in batches for x in b if x[0] != "z"]
+    assert sorted(map(str, threads.turn_log(turns(spark, every), timedelta(hours=24)).collect())) == sorted(str(r) for r in spark.read.parquet(out).collect())
+    assert threads.waiting_turns(spark, checkpoint).count() == 0
 
 
 def test_small_tables_are_dealt_out_and_large_ones_left(spark, sf, monkeypatch):
