@@ -209,23 +209,41 @@ def recall_gate(hits: DataFrame, gold: DataFrame, k: int, floor: float = RECALL_
 
 #: Words between blanks that an item and a text are joined by.
 GRAM = 4
+#: Items without an inner word that are held against all texts at once.
+PHRASE_BLOCK = 5_000
 
 
 def containing(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, id): texts (id, text) that contain an item's (query_id, text), letter by letter. An item's inner words
-    stand between blanks wherever it's contained, so the first GRAM of them are joined by their hash with those of the
-    texts, and what meets is compared. Items of fewer words than that are held against every text."""
+    """(query_id, id): texts (id, text) that contain an item's (query_id, text), letter by letter; an id that is null isn't
+    found. An item's inner words stand between blanks wherever it's contained: the first of them, GRAM at most, are joined by
+    their hash with those of the texts, without the texts; pairs that meet are then compared, each text once for its
+    items. Items of one or two words have no inner word: they are held against every text, in blocks of bounded size."""
     words = lambda c: F.split(c, " ", -1)
-    gram = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, F.lit(GRAM)), " "))
+    gram = lambda w, at, n: F.xxhash64(n, F.array_join(F.slice(w, at, n), " "))
     asked = items.where("text IS NOT NULL").select("query_id", F.col("text").alias("__q"), words(F.col("text")).alias("__w"))
-    long = F.size("__w") >= GRAM + 2
-    keyed = asked.where(long).select("query_id", "__q", gram(F.col("__w"), F.lit(2)).alias("__k"))
-    w = F.col("__w")
-    places = F.when(F.size(w) >= GRAM, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (GRAM - 1), F.lit(1))), lambda at: gram(w, at)))
-    rows = texts.where("text IS NOT NULL").withColumn("__w", words(F.col("text"))).select("id", "text", F.explode(F.array_distinct(places)).alias("__k"))
-    near = rows.join(keyed, "__k").where(F.contains("text", F.col("__q"))).select("query_id", "id")
-    short = texts.join(asked.where(~long), F.contains("text", F.col("__q"))).select("query_id", "id")
-    return near.unionByName(short)
+    asked = written(asked.select("query_id", "__q", "__w", F.least(F.lit(GRAM), F.size("__w") - 2).alias("__n")), "phrases")
+    keyed = asked.where("__n >= 1").select("query_id", gram(F.col("__w"), F.lit(2), F.col("__n")).alias("__k"))
+    sizes = sorted(r["__n"] for r in asked.select("__n").distinct().collect())  # at most GRAM + 2
+    out = None
+    if sizes and sizes[-1] >= 1:
+        w = F.col("__w")
+
+        def grams(n: int) -> Column:
+            every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda at: gram(w, at, F.lit(n)))
+            return F.when(F.size(w) >= n, every).otherwise(F.array().cast("array<bigint>"))
+
+        rows = texts.where("text IS NOT NULL").select("id", words(F.col("text")).alias("__w")).select("id", F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes if n >= 1]))).alias("__k"))
+        pairs = written(rows.join(keyed, "__k").select("query_id", "id").distinct(), "phrase-pairs")
+        meet = pairs.join(asked.select("query_id", "__q").distinct(), "query_id").join(texts.where("text IS NOT NULL").select("id", "text"), "id")
+        out = meet.where(F.contains("text", F.col("__q"))).select("query_id", "id")
+    if not sizes or sizes[0] < 1:
+        short = asked.where("__n < 1").select("query_id", "__q")
+        blocks = -(-short.count() // PHRASE_BLOCK) or 1
+        for b in range(blocks):
+            part = short if blocks == 1 else short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+            found = texts.select("id", "text").join(F.broadcast(part), F.contains("text", F.col("__q"))).select("query_id", "id")
+            out = found if out is None else out.unionByName(found)
+    return out
 
 
 def hit_at_k(hits: DataFrame, expected: DataFrame, k: int) -> DataFrame:

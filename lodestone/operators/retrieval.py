@@ -33,6 +33,11 @@ def postings(corpus: DataFrame, text: str = "content") -> DataFrame:
     return t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("tf"))
 
 
+def document_frequencies(corpus: DataFrame, text: str = "content") -> DataFrame:
+    """(term, df): in how many documents each term is; a document's own repeats are dropped before anything is shuffled. Ids are distinct."""
+    return corpus.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 @dataclass(frozen=True)
 class Bm25Index:
     """The corpus tokenised once, as written tables that all searches read: postings (id, dl, term, tf), frequencies (term,
@@ -53,8 +58,13 @@ def bm25_index(corpus: DataFrame) -> Bm25Index:
 
 def idf(index: Bm25Index, terms: DataFrame | None = None) -> DataFrame:
     """(term, df, idf), of terms if given: negative values become a share of the mean over the vocabulary, negatives included."""
+    return term_weights(index.frequencies, index.stats, terms)
+
+
+def term_weights(frequencies: DataFrame, stats: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """idf of (term, df) and of stats (n_docs; one row)."""
     raw = F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    df = index.frequencies.crossJoin(F.broadcast(index.stats.select("n_docs"))).select("term", "df", raw.alias("raw"))
+    df = frequencies.crossJoin(F.broadcast(stats.select("n_docs"))).select("term", "df", raw.alias("raw"))
     mean = df.agg(F.avg("raw").alias("mean"))  # one row
     if terms is not None:
         df = df.join(terms, "term", "left_semi")

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.fixed import STOPWORDS
 from lodestone.functions.models import embed, overlap_scorer, passage_prefix, query_prefix
+from lodestone.operators import blockmax as B
 from lodestone.operators import conversation as E
 from lodestone.operators import enrich as N
 from lodestone.operators import retrieval as R
 from lodestone.plans.base import CORPUS, LAW, QUESTIONS, corpus, law_corpus, queries, query, table
+from lodestone.sources.scratch import kept
+from lodestone.sources.tables import spread
 
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
@@ -19,10 +22,12 @@ def tok(x: str) -> str:
 
 
 POST = f"""post AS MATERIALIZED (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM (SELECT id, {tok("content")} AS t FROM corpus)) GROUP BY 1, 2, 3)"""
-IDF = f"""stats AS MATERIALIZED (SELECT (SELECT count(*) FROM corpus) AS n_docs, (SELECT sum(tf) FROM post) / (SELECT count(*) FROM corpus)::DOUBLE AS avgdl),
-dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY 1),
-rawidf AS MATERIALIZED (SELECT term, df, ln(n_docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs, stats),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM rawidf) ELSE raw END AS idf FROM rawidf)"""
+IDF = """stats AS MATERIALIZED (SELECT (SELECT count(*) FROM corpus) AS n_docs, (SELECT sum(tf) FROM post) / (SELECT count(*) FROM corpus)::DOUBLE AS avgdl),
+rawidf AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n_docs FROM stats) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post GROUP BY 1),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * avg(raw) OVER () ELSE raw END AS idf FROM rawidf)"""
+#: For the weights of terms alone: terms are counted by document, without their places.
+DFS = f"""dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tok("text")})) AS term FROM documents) GROUP BY 1),
+raws AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs CROSS JOIN (SELECT count(*) AS n FROM documents) c)"""
 SCORED = f"""qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tok("text")}) AS term FROM queries) GROUP BY 1, 2),
 scored AS MATERIALIZED (SELECT q.query_id, p.id, round(sum(q.qtf * i.idf * p.tf * 2.5::DOUBLE / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / s.avgdl))), 6) AS score FROM post p JOIN qt q ON q.term = p.term JOIN idf i ON i.term = p.term, stats s GROUP BY 1, 2)"""
 
@@ -55,14 +60,22 @@ def bm25_postings(spark, d):
     return R.postings(corpus(spark, d)).select("id", "dl", "term", "tf")
 
 
-@query("SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM idf", CORPUS, POST, IDF)
+@query("SELECT term, df::BIGINT AS df, round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * avg(raw) OVER () ELSE raw END, 6) AS idf FROM raws", DFS)
 def bm25_idf(spark, d):
-    return R.idf(R.bm25_index(corpus(spark, d))).select("term", "df", F.round("idf", 6).alias("idf"))
+    c = table(spark, d, "documents").select("text")
+    stats = c.agg(F.count(F.lit(1)).alias("n_docs"))
+    return R.term_weights(R.document_frequencies(c, "text"), stats).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _index(spark, d):
+    """The index of the corpus: built by the first query that needs it, opened by all others."""
+    path = kept(spark, "bm25", [spark.read.parquet(f"{d}/documents.parquet")], lambda path: B.write_index(corpus(spark, d), path))
+    return B.open_index(spark, path)
 
 
 @query("SELECT * FROM bm25", *BM25)
 def bm25_topk(spark, d):
-    return R.bm25_topk(corpus(spark, d), queries(spark, d))
+    return B.block_topk(_index(spark, d), queries(spark, d))
 
 
 def _vectors(spark, d):
@@ -87,8 +100,7 @@ ALLOWED = "allowed AS (SELECT * FROM corpus WHERE status = 'active' AND topic =
 
 @query("SELECT * FROM bm25f", CORPUS, QUESTIONS, POST, IDF, SCORED, ALLOWED, bm25_sql("allowed", "bm25f"))
 def filtered_search(spark, d):
-    c = corpus(spark, d)
-    return R.bm25_topk(c, queries(spark, d), allowed=_allowed(c))
+    return B.block_topk(_index(spark, d), queries(spark, d), allowed=_allowed(corpus(spark, d)))
 
 
 def _allowed(c):
@@ -110,8 +122,10 @@ hybrid AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id
 
 
 def _dense(spark, d):
-    """The documents nearest to each question, by hashed vectors."""
-    docs = embed(corpus(spark, d).select("id", "content"), "content").select("id", "embedding")
+    """The documents nearest to each question, by hashed vectors, which are made once."""
+    source = spark.read.parquet(f"{d}/documents.parquet")
+    path = kept(spark, "vectors", [source], lambda path: embed(corpus(spark, d).select("id", "content"), "content").select("id", "embedding").write.mode("overwrite").parquet(path + "/vectors"))
+    docs = spread(spark.read.parquet(path + "/vectors"))
     return R.dense_topk(docs, embed(queries(spark, d), "text").select("query_id", "embedding"))
 
 
@@ -130,9 +144,7 @@ def rrf_hybrid(spark, d):
     "multi AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000 + rank) AS first FROM lists GROUP BY 1, 2)",
 )
 def rrf_multi(spark, d):
-    c, q = corpus(spark, d), queries(spark, d)
-    index = R.bm25_index(c)
-    parts = [R.bm25_topk(c, q, index=index), R.bm25_topk(c, q, allowed=_allowed(c), index=index), _dense(spark, d)]
+    parts = [bm25_topk(spark, d), filtered_search(spark, d), _dense(spark, d)]
     lists = None
     for k, p in enumerate(parts):
         p = p.where("rank <= 9").select("query_id", "id", "rank", F.lit(k).alias("list"))

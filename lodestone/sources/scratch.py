@@ -7,8 +7,10 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes that a Python worker is handed at once, at most; a session that asks for less is left alone.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -43,6 +45,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def version(df: DataFrame) -> str:
+    """Names the files that df is read from, by their paths, sizes and times: another name if one of them changes."""
+    each = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    n, total = each.agg(F.count(F.lit(1)), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    return f"{n}-{total or 0}"
+
+
+def kept(spark: SparkSession, tag: str, sources: list[DataFrame], build: Callable[[str], None]) -> str:
+    """The folder of something that is built once from these tables, whatever number of queries of the application use it,
+    and anew if a file of theirs changes. It counts as built when the mark that is written last is there."""
+    name = re.sub(r"\W+", "-", "-".join([tag, *[version(t) for t in sources]]))
+    path = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}/{name}"
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_BUILT")
+    fs = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(mark):
+        build(path)
+        fs.create(mark, True).close()
+    return path
+
+
 def clean_up(spark: SparkSession) -> None:
     """Deletes every intermediate table that this application has written; call it when the results are stored."""
     jvm = spark.sparkContext._jvm

@@ -158,7 +158,7 @@ def test_containing_against_every_pair(spark):
     from lodestone.operators.conversation import containing
 
     texts = [(0, "a b c d e f g h"), (1, "xa b c d e f gx"), (2, "b c d e  f g"), (3, "e f g h i j a b c d e f"), (4, None), (5, ""), (6, "a b"), (7, "c d e f g h a b c d e f g h")]
-    items = [(0, "a b c d e f"), (1, "b c d e f g"), (2, "a b"), (3, ""), (4, None), (5, "c d e f g h"), (6, "d e  f g"), (7, "a b c d e f g h i")]
+    items = [(0, "a b c d e f"), (1, "b c d e f g"), (2, "a b"), (3, ""), (4, None), (5, "c d e f g h"), (6, "d e  f g"), (7, "a b c d e f g h i"), (8, "c d e"), (9, "a b c d"), (10, "b  f"), (11, "x"), (12, " "), (13, "d e f g h")]
     want = {(q, i) for q, x in items for i, t in texts if x is not None and t is not None and x in t}
     got = [tuple(r) for r in containing(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(items, "query_id long, text string")).collect()]
     assert set(got) == want and len(got) == len(want)
