@@ -1,7 +1,8 @@
 """What happens to hits after retrieval: siblings, lookups, references, diversity, parents, confidence.
 
 A location is (doc, dieu, khoan, diem). A list of chunks is (query_id, id, pos, score, is_sibling) with pos from
-1; the corpus has id, doc, dieu, khoan, diem, level and content. Reads of the corpus are equi-joins on (doc, dieu).
+1; the corpus has id, doc, dieu, khoan, diem, level and content. Reads of the corpus are equi-joins on id or on (doc,
+dieu); clauses and points are compared inside an article. A corpus that is laid out by both (sources.places) isn't shuffled.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from lodestone.functions.fixed import (
     XREF_ROWS,
     java,
 )
+from lodestone.sources.places import Located, by_id, by_place
 
 
 def completes(content: Column, phrases: tuple[str, ...] = COMPLETION_PHRASES) -> Column:
@@ -43,25 +45,25 @@ def completes(content: Column, phrases: tuple[str, ...] = COMPLETION_PHRASES) ->
     return reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in phrases])
 
 
-def completion_siblings(primaries: DataFrame, corpus: DataFrame, phrases: tuple[str, ...] = COMPLETION_PHRASES) -> DataFrame:
+def completion_siblings(primaries: DataFrame, corpus: DataFrame | Located, phrases: tuple[str, ...] = COMPLETION_PHRASES) -> DataFrame:
     """(query_id, id, tier, o1, o2): the completing chunks of every article that a primary stands in. Articles
     come in the order of their first primary."""
-    here = primaries.join(corpus.select("id", "doc", "dieu"), "id").where("doc <> '' AND dieu <> 0")
+    here = primaries.join(by_id(corpus).select("id", "doc", "dieu"), "id").where("doc <> '' AND dieu <> 0")
     articles = here.groupBy("query_id", "doc", "dieu").agg(F.min("pos").alias("o1"))
-    own = corpus.where(completes(F.col("content"), phrases)).select("doc", "dieu", F.col("id"))
+    own = by_place(corpus).where(completes(F.col("content"), phrases)).select("doc", "dieu", F.col("id"))
     return articles.join(own, ["doc", "dieu"]).select("query_id", "id", F.lit(0).alias("tier"), "o1", F.col("id").alias("o2"))
 
 
-def neighbour_siblings(primaries: DataFrame, corpus: DataFrame, reach: int = NEIGHBOURS) -> DataFrame:
-    """(query_id, id, tier, o1, o2): the chunks of clauses 1 to reach away in the same article: a band join, by
-    equality of the article and of the clause that each primary looks for."""
-    here = primaries.join(corpus.select("id", "doc", "dieu", F.expr("try_cast(khoan AS int)").alias("k")), "id").where("doc <> '' AND dieu <> 0 AND k <> 0")
-    looked = here.select("query_id", "doc", "dieu", "pos", F.explode(F.array(*[F.col("k") + d for d in range(-reach, reach + 1) if d])).alias("k")).where("k <> 0")
-    own = corpus.select("doc", "dieu", F.expr("try_cast(khoan AS int)").alias("k"), F.col("id"))
-    return looked.join(own, ["doc", "dieu", "k"]).select("query_id", "id", F.lit(1).alias("tier"), F.col("pos").alias("o1"), F.col("id").alias("o2"))
+def neighbour_siblings(primaries: DataFrame, corpus: DataFrame | Located, reach: int = NEIGHBOURS) -> DataFrame:
+    """(query_id, id, tier, o1, o2): the chunks of clauses 1 to reach away in the same article."""
+    k = F.expr("try_cast(khoan AS int)")
+    here = primaries.join(by_id(corpus).select("id", "doc", "dieu", k.alias("k")), "id").where("doc <> '' AND dieu <> 0 AND k <> 0").select("query_id", "pos", "doc", "dieu", "k")
+    own = by_place(corpus).select("doc", "dieu", k.alias("__k"), "id").where("__k <> 0")
+    near = F.abs(F.col("__k") - F.col("k")).between(1, reach)
+    return here.join(own, ["doc", "dieu"]).where(near).select("query_id", "id", F.lit(1).alias("tier"), F.col("pos").alias("o1"), F.col("id").alias("o2"))
 
 
-def with_siblings(primaries: DataFrame, corpus: DataFrame, phrases: tuple[str, ...] = COMPLETION_PHRASES) -> DataFrame:
+def with_siblings(primaries: DataFrame, corpus: DataFrame | Located, phrases: tuple[str, ...] = COMPLETION_PHRASES) -> DataFrame:
     """primaries (query_id, id, pos, score), then their siblings: score 0, each once, first emission first."""
     found = completion_siblings(primaries, corpus, phrases).unionByName(neighbour_siblings(primaries, corpus))
     once = found.groupBy("query_id", "id").agg(F.min(F.struct("tier", "o1", "o2")).alias("o")).join(primaries.select("query_id", "id"), ["query_id", "id"], "left_anti")
@@ -71,11 +73,11 @@ def with_siblings(primaries: DataFrame, corpus: DataFrame, phrases: tuple[str, .
     return primaries.select("query_id", "id", "pos", "score", F.lit(False).alias("is_sibling")).unionByName(extra)
 
 
-def lookup(refs: DataFrame, corpus: DataFrame) -> DataFrame:
+def lookup(refs: DataFrame, corpus: DataFrame | Located) -> DataFrame:
     """refs (with doc, dieu, khoan, diem) joined with the chunks there: a null or empty clause or point asks for any,
     an article that is no number finds nothing."""
     r = refs.withColumn("__dieu", F.expr("try_cast(dieu AS int)")).drop("dieu")
-    c = corpus.select("id", F.col("doc").alias("__doc"), F.col("dieu").alias("__d"), F.col("khoan").alias("__k"), F.lower(F.col("diem")).alias("__p"))
+    c = by_place(corpus).select("id", F.col("doc").alias("__doc"), F.col("dieu").alias("__d"), F.col("khoan").alias("__k"), F.lower(F.col("diem")).alias("__p"))
     any_clause = F.coalesce(F.col("khoan").cast("string"), F.lit("")) == ""
     any_point = F.coalesce("diem", F.lit("")) == ""
     on = (F.col("doc") == F.col("__doc")) & (F.col("__dieu") == F.col("__d")) & (any_clause | (F.col("khoan").cast("string") == F.col("__k").cast("string"))) & (any_point | (F.lower("diem") == F.col("__p")))
@@ -98,7 +100,7 @@ def references(df: DataFrame, text: str, keys: tuple[str, ...], default_doc: str
     return df.select(*keys, F.posexplode(every).alias("ref_no", "r")).select(*keys, F.col("ref_no"), F.lit(default_doc).alias("doc"), "r.dieu", "r.khoan", "r.diem")
 
 
-def append_lookups(chunks: DataFrame, refs: DataFrame, corpus: DataFrame) -> DataFrame:
+def append_lookups(chunks: DataFrame, refs: DataFrame, corpus: DataFrame | Located) -> DataFrame:
     """chunks, then the chunks that refs (query_id, ref_no, location) point at and that aren't there yet."""
     found = lookup(refs, corpus).groupBy("query_id", "id").agg(F.min("ref_no").alias("ref_no")).join(chunks.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return _append(chunks, found, F.col("ref_no"), F.col("id"), sibling=False)
@@ -111,13 +113,13 @@ def _append(chunks: DataFrame, found: DataFrame, *order: Column, sibling: bool)
     return chunks.select("query_id", "id", "pos", "score", "is_sibling").unionByName(extra)
 
 
-def append_cross_references(chunks: DataFrame, corpus: DataFrame, default_doc: str = DEFAULT_DOC) -> DataFrame:
+def append_cross_references(chunks: DataFrame, corpus: DataFrame | Located, default_doc: str = DEFAULT_DOC) -> DataFrame:
     """References inside the first rows' texts: the first ones are followed, unless their article is there already;
     no further one is followed once enough chunks have been added."""
-    top = chunks.where(F.col("pos") <= XREF_ROWS).join(corpus.select("id", "content"), "id")
+    top = chunks.where(F.col("pos") <= XREF_ROWS).join(by_id(corpus).select("id", "content"), "id")
     text = top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), " ").alias("text"))
     refs = references(text, "text", ("query_id",), default_doc).where(F.col("ref_no") < XREF_REFS)
-    present = chunks.join(corpus.select("id", "doc", "dieu"), "id").select("query_id", "doc", "dieu").distinct()
+    present = chunks.join(by_id(corpus).select("id", "doc", "dieu"), "id").select("query_id", "doc", "dieu").distinct()
     refs = refs.join(present, ["query_id", "doc", "dieu"], "left_anti")
     found = lookup(refs, corpus).groupBy("query_id", "id").agg(F.min("ref_no").alias("ref_no")).join(chunks.select("query_id", "id"), ["query_id", "id"], "left_anti")
     # what the references before this one have added
@@ -127,10 +129,10 @@ def append_cross_references(chunks: DataFrame, corpus: DataFrame, default_doc: s
     return _append(chunks, found.join(open_refs, ["query_id", "ref_no"]), F.col("ref_no"), F.col("id"), sibling=False)
 
 
-def diversify(chunks: DataFrame, corpus: DataFrame, target: int = TOP_K, per_clause: int = PER_CLAUSE) -> DataFrame:
+def diversify(chunks: DataFrame, corpus: DataFrame | Located, target: int = TOP_K, per_clause: int = PER_CLAUSE) -> DataFrame:
     """At most per_clause primaries of a clause and target in all, then the siblings; a sibling behind the primary
     that meets the target is lost."""
-    df = chunks.join(corpus.select("id", "doc", "dieu", "khoan"), "id")
+    df = chunks.join(by_id(corpus).select("id", "doc", "dieu", "khoan"), "id")
     first = df.where("NOT is_sibling").withColumn("__c", F.row_number().over(Window.partitionBy("query_id", "doc", "dieu", "khoan").orderBy("pos"))).where(F.col("__c") <= per_clause)
     first = first.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where(F.col("__n") <= target)
     end = first.groupBy("query_id").agg(F.max(F.when(F.col("__n") == target, F.col("pos"))).alias("end"))
@@ -139,24 +141,27 @@ def diversify(chunks: DataFrame, corpus: DataFrame, target: int = TOP_K, per_cla
     return both.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("is_sibling", "pos")))
 
 
-def pull_parents(chunks: DataFrame, corpus: DataFrame, most_chars: int = PARENT_CHARS) -> DataFrame:
+def pull_parents(chunks: DataFrame, corpus: DataFrame | Located, most_chars: int = PARENT_CHARS) -> DataFrame:
     """chunks, then the short level-2 chunks of the clauses whose level-3 chunks are there, as siblings."""
-    at = chunks.join(corpus.select("id", "doc", "dieu", "khoan", "level"), "id").where("level = 3 AND doc <> '' AND dieu <> 0 AND khoan IS NOT NULL")
-    clauses = at.groupBy("query_id", "doc", "dieu", "khoan").agg(F.min("pos").alias("o1"))
-    parents = corpus.where((F.col("level") == 2) & (F.length("content") <= most_chars)).select("id", "doc", "dieu", "khoan")
-    found = clauses.join(parents, ["doc", "dieu", "khoan"]).groupBy("query_id", "id").agg(F.min("o1").alias("o1")).join(chunks.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    at = chunks.join(by_id(corpus).select("id", "doc", "dieu", "khoan", "level"), "id").where("level = 3 AND doc <> '' AND dieu <> 0 AND khoan IS NOT NULL")
+    clauses = at.groupBy("query_id", "doc", "dieu", F.col("khoan").cast("string").alias("__k")).agg(F.min("pos").alias("o1"))
+    # an article's clauses in one row, so that articles alone are joined
+    wanted = clauses.groupBy("query_id", "doc", "dieu").agg(F.map_from_entries(F.collect_list(F.struct("__k", "o1"))).alias("wanted"))
+    parents = by_place(corpus).where((F.col("level") == 2) & (F.length("content") <= most_chars)).select("id", "doc", "dieu", F.col("khoan").cast("string").alias("khoan"))
+    met = wanted.join(parents, ["doc", "dieu"]).select("query_id", "id", F.try_element_at("wanted", F.col("khoan")).alias("o1")).where("o1 IS NOT NULL")
+    found = met.groupBy("query_id", "id").agg(F.min("o1").alias("o1")).join(chunks.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return _append(chunks, found, F.col("o1"), F.col("id"), sibling=True)
 
 
-def clause_sets(chunks: DataFrame, corpus: DataFrame) -> DataFrame:
+def clause_sets(chunks: DataFrame, corpus: DataFrame | Located) -> DataFrame:
     """(query_id, clauses): the sorted distinct "ĐxKy"."""
-    df = chunks.join(corpus.select("id", "dieu", "khoan"), "id").where("dieu <> 0 AND khoan IS NOT NULL")
+    df = chunks.join(by_id(corpus).select("id", "dieu", "khoan"), "id").where("dieu <> 0 AND khoan IS NOT NULL")
     return df.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("Đ"), F.col("dieu").cast("string"), F.lit("K"), F.col("khoan").cast("string")))), ",").alias("clauses"))
 
 
-def multi_frame(chunks: DataFrame, corpus: DataFrame, intent: Column) -> DataFrame:
+def multi_frame(chunks: DataFrame, corpus: DataFrame | Located, intent: Column) -> DataFrame:
     """(query_id, multi_frame): two clauses or more among the primaries, for the intents that may have several cases."""
-    df = chunks.join(corpus.select("id", "doc", "dieu", "khoan"), "id")
+    df = chunks.join(by_id(corpus).select("id", "doc", "dieu", "khoan"), "id")
     place = F.when(~F.col("is_sibling") & (F.col("doc") != "") & (F.col("dieu") != 0) & F.col("khoan").isNotNull(), F.struct("doc", "dieu", "khoan"))
     return df.groupBy("query_id").agg(F.count_distinct(place).alias("n")).select("query_id", (intent.isin("penalty", "mixed") & (F.col("n") >= 2)).alias("multi_frame"))
 

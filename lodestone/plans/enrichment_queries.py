@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from lodestone.functions.fixed import BROAD_PHRASES, JUDGE_STOPWORDS, LEGAL_REF, MONEY, PROCEDURE_WORDS, REF_ARTICLE, REF_CLAUSE, REF_POINT, RULE_WORDS, re2
 from lodestone.operators import enrich as N
 from lodestone.plans.base import CHUNKS, CORPUS, INTENT_SQL, LAW, QUESTIONS, chunks, corpus, law_corpus, queries, query, table, values, with_intent
+from lodestone.sources.places import open_located, write_located
+from lodestone.sources.scratch import kept
 
 HERE = "prim AS (SELECT query_id, id, pos, score FROM chunks WHERE pos <= 5), here AS (SELECT p.query_id, p.pos, c.doc, c.dieu, CAST(c.khoan AS INTEGER) AS k FROM prim p JOIN corpus c ON c.id = p.id)"
 COMPLETION = "t0 AS (SELECT a.query_id, l.id, 0 AS tier, a.o1, l.id AS o2 FROM (SELECT query_id, doc, dieu, min(pos) AS o1 FROM here GROUP BY 1, 2, 3) a JOIN law l ON l.doc = a.doc AND l.dieu = a.dieu AND contains(lower(l.content), 'hình thức xử phạt bổ sung'))"
@@ -14,18 +18,29 @@ NEAR = "t1 AS (SELECT h.query_id, c.id, 1 AS tier, h.pos AS o1, c.id AS o2 FROM
 BASE = (CORPUS, LAW, CHUNKS, HERE)
 
 
+def _located(spark, d, make):
+    """The corpus that make gives, by id and by place: laid out by the first query that needs it."""
+    sources = [spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels")]
+    made = kept(spark, f"places-{make.__name__}", sources, lambda path: write_located(make(spark, d), _name(path), path, spark.sparkContext.defaultParallelism))
+    return open_located(spark, _name(made))
+
+
+def _name(path):
+    return "lodestone_" + hashlib.md5(path.encode()).hexdigest()
+
+
 def _primaries(spark, d):
     return chunks(spark, d).where("pos <= 5").select("query_id", "id", "pos", "score")
 
 
 @query("SELECT query_id, id, o1 FROM t0", *BASE, COMPLETION)
 def siblings_completion(spark, d):
-    return N.completion_siblings(_primaries(spark, d), law_corpus(spark, d)).select("query_id", "id", "o1")
+    return N.completion_siblings(_primaries(spark, d), _located(spark, d, law_corpus)).select("query_id", "id", "o1")
 
 
 @query("SELECT query_id, id, o1 FROM t1", *BASE, NEAR)
 def siblings_neighbors(spark, d):
-    return N.neighbour_siblings(_primaries(spark, d), corpus(spark, d)).select("query_id", "id", "o1")
+    return N.neighbour_siblings(_primaries(spark, d), _located(spark, d, corpus)).select("query_id", "id", "o1")
 
 
 @query(
@@ -36,7 +51,7 @@ def siblings_neighbors(spark, d):
     NEAR,
 )
 def siblings_all(spark, d):
-    return N.with_siblings(_primaries(spark, d), law_corpus(spark, d)).withColumn("pos", F.col("pos").cast("long"))
+    return N.with_siblings(_primaries(spark, d), _located(spark, d, law_corpus)).withColumn("pos", F.col("pos").cast("long"))
 
 
 LOOKUPS = "(1, 'src0', '1', NULL, NULL), (2, 'src0', '1', '2', NULL), (3, 'src1', '1', '1', 'A'), (4, 'src2', 'x', NULL, NULL), (5, 'src3', '1', '', ''), (6, 'src4', '2', '3', 'c'), (7, 'none', '1', NULL, NULL)"
@@ -44,7 +59,7 @@ LOOKUPS = "(1, 'src0', '1', NULL, NULL), (2, 'src0', '1', '2', NULL), (3, 'src1'
 
 @query(f"SELECT r.ref, c.id FROM (VALUES {LOOKUPS}) AS r(ref, doc, dieu, khoan, diem) JOIN corpus c ON c.doc = r.doc AND c.dieu = try_cast(r.dieu AS INTEGER) AND (coalesce(r.khoan, '') = '' OR r.khoan = c.khoan) AND (coalesce(r.diem, '') = '' OR lower(r.diem) = c.diem)", CORPUS)
 def location_lookup(spark, d):
-    return N.lookup(values(spark, LOOKUPS, "ref, doc, dieu, khoan, diem"), corpus(spark, d)).select("ref", "id")
+    return N.lookup(values(spark, LOOKUPS, "ref, doc, dieu, khoan, diem"), _located(spark, d, corpus)).select("ref", "id")
 
 
 TEXTS = "CASE id % 6 WHEN 0 THEN 'điểm h khoản 14 Điều 32' WHEN 1 THEN 'Điều 6 Khoản 9 Điều 7 Khoản 7' WHEN 2 THEN concat('theo Điều ', id % 9 + 1, '. Điểm đ khoản ', id % 4 + 1, ' và khoản 2 của Điều 8') WHEN 3 THEN 'khoản 1. Điều 5' WHEN 4 THEN concat('diem b khoan ', id % 5 + 1, ' dieu ', id % 3 + 1, '; điểm c khoản 1') ELSE substring(text, 1, 60) END"
@@ -75,7 +90,7 @@ ADDED = "SELECT query_id, id, pos::BIGINT AS pos, score, is_sibling FROM chunks
 @query(ADDED, CORPUS, QUESTIONS, CHUNKS, f"asking AS (SELECT query_id, {ASKING} AS t FROM queries)", refs_sql("asking", "query_id", "src3"), LOOKED.format(refs="refs"))
 def ref_pass(spark, d):
     q = queries(spark, d).withColumn("t", F.expr(ASKING))
-    return N.append_lookups(chunks(spark, d), N.references(q, "t", ("query_id",), "src3"), corpus(spark, d)).withColumn("pos", F.col("pos").cast("long"))
+    return N.append_lookups(chunks(spark, d), N.references(q, "t", ("query_id",), "src3"), _located(spark, d, corpus)).withColumn("pos", F.col("pos").cast("long"))
 
 
 XREF = """top5 AS (SELECT k.query_id, string_agg(l.content, ' ' ORDER BY k.pos) AS t FROM chunks k JOIN law l ON l.id = k.id WHERE k.pos <= 5 GROUP BY 1)"""
@@ -85,7 +100,7 @@ XCUT = """opened AS (SELECT query_id, ref_no FROM (SELECT query_id, ref_no, coal
 
 @query(ADDED + " JOIN opened USING (query_id, ref_no)", CORPUS, LAW, CHUNKS, XREF, refs_sql("top5", "query_id", "src3"), XOPEN, LOOKED.format(refs="xrefs"), XCUT)
 def xref_pass(spark, d):
-    return N.append_cross_references(chunks(spark, d), law_corpus(spark, d), "src3").withColumn("pos", F.col("pos").cast("long"))
+    return N.append_cross_references(chunks(spark, d), _located(spark, d, law_corpus), "src3").withColumn("pos", F.col("pos").cast("long"))
 
 
 #: More hits, crowded in few clauses.
@@ -108,7 +123,7 @@ def _crowd(spark, d):
     "n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM c WHERE c <= 3)",
 )
 def diversity_cap(spark, d):
-    return N.diversify(_crowd(spark, d), corpus(spark, d), target=5).select("query_id", "id", F.col("pos").cast("int").alias("pos"), "score", "is_sibling")
+    return N.diversify(_crowd(spark, d), _located(spark, d, corpus), target=5).select("query_id", "id", F.col("pos").cast("int").alias("pos"), "score", "is_sibling")
 
 
 @query(
@@ -119,19 +134,19 @@ def diversity_cap(spark, d):
     CHUNKS,
 )
 def parent_pull(spark, d):
-    return N.pull_parents(chunks(spark, d), corpus(spark, d)).withColumn("pos", F.col("pos").cast("long"))
+    return N.pull_parents(chunks(spark, d), _located(spark, d, corpus)).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"SELECT query_id, {INTENT_SQL} IN ('penalty', 'mixed') AND count(DISTINCT (doc, dieu, khoan)) FILTER (WHERE NOT is_sibling) >= 2 AS multi_frame FROM (SELECT * FROM chunks WHERE pos <= 2) JOIN corpus USING (id) GROUP BY query_id", CORPUS, CHUNKS)
 def multi_frame(spark, d):
-    got = N.multi_frame(chunks(spark, d).where("pos <= 2"), corpus(spark, d), F.lit("penalty"))
+    got = N.multi_frame(chunks(spark, d).where("pos <= 2"), _located(spark, d, corpus), F.lit("penalty"))
     asks = with_intent(queries(spark, d)).select("query_id", "intent")
     return got.join(asks, "query_id").select("query_id", (F.col("multi_frame") & F.col("intent").isin("penalty", "mixed")).alias("multi_frame"))
 
 
 @query("SELECT query_id, string_agg(c, ',' ORDER BY c) AS clauses FROM (SELECT DISTINCT query_id, 'Đ' || dieu || 'K' || khoan AS c FROM chunks JOIN corpus USING (id)) GROUP BY 1", CORPUS, CHUNKS)
 def khoan_set(spark, d):
-    return N.clause_sets(chunks(spark, d), corpus(spark, d))
+    return N.clause_sets(chunks(spark, d), _located(spark, d, corpus))
 
 
 WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: length(w) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in JUDGE_STOPWORDS) + "], w)))"

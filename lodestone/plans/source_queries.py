@@ -72,5 +72,9 @@ def points_table(spark, d):
     S.create_points(c.withColumn("level", F.col("level") + 1), name, path=path)
     S.create_points(c.where("false"), name, path=path)
     made = spark.table(name).count()
-    loaded = S.load_index(c, f"{name}_index", fresh_path(spark, "index"))
-    return spark.table(f"{name}_index").select("id", "doc", "level", F.lit(min(made, loaded)).cast("long").alias("n"))
+    index = fresh_path(spark, "index")
+    loaded = S.load_index(c, f"{name}_index", index)
+    schema = spark.table(f"{name}_index").schema
+    for table in (name, f"{name}_index"):  # files stay where they are
+        spark.sql(f"DROP TABLE {table}")
+    return spark.read.schema(schema).parquet(index).select("id", "doc", "level", F.lit(min(made, loaded)).cast("long").alias("n"))
