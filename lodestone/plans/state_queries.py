@@ -10,6 +10,7 @@ from lodestone.operators import conversation as V
 from lodestone.operators import generation as G
 from lodestone.plans.base import query, table
 from lodestone.sources import chunks as S
+from lodestone.sources import event_stream as ES
 from lodestone.sources.scratch import fresh_path, written
 from lodestone.streaming import threads as H
 
@@ -188,6 +189,22 @@ def sse_round_trip(spark, d):
     return got.groupBy("item_id").agg(F.array_join(F.transform(rows, lambda x: x["value"]), "").alias("text"), F.count(F.lit(1)).alias("n_events"))
 
 
+@query("SELECT item_id, text, ((length(text) + 7) // 8)::BIGINT AS n_events FROM benchmark")
+def event_stream_round_trip(spark, d):
+    """Token events that a stream writes as server-sent events, read as a stream, and put together again."""
+    ES.register(spark)
+    source, events, out = (fresh_path(spark, f"sse-{x}") for x in ("source", "events", "out"))
+    tokens = V.token_events(table(spark, d, "benchmark"), "item_id", "text")
+    tokens.select(F.col("item_id").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), "type", "value").write.parquet(source)
+    run = lambda stream, to, path: stream.writeStream.format(to).option("path", path).option("checkpointLocation", fresh_path(spark, "sse-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    run(spark.readStream.schema(ES.SCHEMA).parquet(source), "event_stream", events)
+    run(spark.readStream.format("event_stream").load(events), "parquet", out)
+    got = spark.read.schema(ES.SCHEMA).parquet(out).where("type = 'token'")
+    rows = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    whole = got.groupBy("key").agg(F.array_join(F.transform(rows, lambda x: x["value"]), "").alias("text"), F.count(F.lit(1)).alias("n_events"))
+    return whole.select(F.col("key").cast("long").alias("item_id"), "text", "n_events")
+
+
 CITED = "CASE turn % 3 WHEN 0 THEN concat('[{\"n\":1,\"title\":\"', role, '\"},{\"n\":2,\"title\":\"b\"}]') WHEN 1 THEN NULL ELSE '[]' END"
 
 
