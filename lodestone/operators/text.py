@@ -127,11 +127,30 @@ def merge_appended(documents: DataFrame, amendments: DataFrame) -> DataFrame:
     return concat_pages(parts.withColumnRenamed("part", "content"), ("name",), ("ord",), "content", "")
 
 
+#: Side of the grid's smallest cells; coordinates beyond REACH stand in the outermost ones.
+CELL, REACH = 64.0, float(1 << 40)
+
+
 def outside_boxes(chars: DataFrame, boxes: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """chars (page, x, y) that stand in no box (page, x0, top, x1, bottom) of their page."""
-    c, b = chars.alias("c"), boxes.alias("b")
-    inside = (F.col("c.page") == F.col("b.page")) & F.col("c.x").between(F.col("b.x0") - tolerance, F.col("b.x1") + tolerance) & F.col("c.y").between(F.col("b.top") - tolerance, F.col("b.bottom") + tolerance)
-    return c.join(b, inside, "left_anti")
+    """chars (page, x, y) that stand in no box (page, x0, top, x1, bottom) of their page. Boxes are dealt into the cells of a
+    grid as coarse as they are large, so that each is in nine of them at most; a character meets the boxes of its own cell
+    only, level by level, of which there are as many as powers of two between the smallest box and the largest. A page is
+    as many keys as it has cells."""
+    clip = lambda c: F.greatest(F.lit(-REACH), F.least(F.lit(REACH), c))
+    side = lambda level: F.lit(CELL) * F.pow(F.lit(2.0), level)
+    cell = lambda c, level: F.floor(clip(c) / side(level)).cast("long")
+    b = boxes.select("page", *[(F.col(c) + d).alias(n) for n, c, d in (("l", "x0", -tolerance), ("r", "x1", tolerance), ("u", "top", -tolerance), ("d", "bottom", tolerance))])
+    b = b.where("l IS NOT NULL AND r IS NOT NULL AND u IS NOT NULL AND d IS NOT NULL")
+    span = F.greatest(clip(F.col("r")) - clip(F.col("l")), clip(F.col("d")) - clip(F.col("u")), F.lit(CELL))
+    b = b.withColumn("level", F.ceil(F.log2(span / CELL)).cast("int"))
+    levels = sorted(r.level for r in b.select("level").distinct().collect())  # at most 36
+    tiles = b.withColumn("cx", F.explode(F.sequence(cell(F.col("l"), F.col("level")), cell(F.col("r"), F.col("level"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("u"), F.col("level")), cell(F.col("d"), F.col("level")))))
+    out = chars
+    for level in levels:
+        c, t = out.alias("c"), tiles.where(F.col("level") == level).alias("t")
+        same = (F.col("c.page") == F.col("t.page")) & (cell(F.col("c.x"), F.lit(level)) == F.col("t.cx")) & (cell(F.col("c.y"), F.lit(level)) == F.col("t.cy"))
+        out = c.join(t, same & F.col("c.x").between(F.col("t.l"), F.col("t.r")) & F.col("c.y").between(F.col("t.u"), F.col("t.d")), "left_anti")
+    return out
 
 
 def text_outside_tables(chars: DataFrame, boxes: DataFrame, tolerance: float = 2.0, keys: tuple[str, ...] = ("page",)) -> DataFrame:

@@ -197,3 +197,22 @@ def test_models_that_fail_cost_their_own_rows_only(spark):
 
     df = spark.createDataFrame([("a",), ("bad",), ("short",), ("b",), (None,)], "p string").coalesce(1)
     assert [r.x for r in df.select(ask(F.col("p"), model, 3).alias("x")).collect()] == ["A", None, "SHORT", "B", ""]
+
+
+def test_boxes_of_all_sizes_against_every_pair(spark):
+    """Tiny, huge, endless, upside-down and broken boxes; characters on borders, negative, far out, without a place; one hot page."""
+    import random
+
+    from lodestone.operators.text import outside_boxes
+
+    r = random.Random(2)
+    far = float("inf")
+    boxes = [(r.choice([1, 1, 1, 2]), x, y, x + w, y + h) for x, y, w, h in ((r.uniform(-500, 500), r.uniform(-500, 500), r.choice([0.0, 3, 62.0, 200]), r.choice([0.0, 5, 64.0, 150])) for _ in range(60))]
+    boxes += [(3, -1e300, 0.0, 1e300, 4.0), (4, 0.0, 10.0, far, 20.0), (5, 10.0, 10.0, 9.0, 30.0), (6, None, 0.0, 9.0, 9.0), (7, 0.0, 0.0, 1e6, 1e6), (None, 0.0, 0.0, 9.0, 9.0)]
+    chars = [(k, r.choice([1, 1, 2, 3, 4, 5, 6, 7, None]), r.choice([r.uniform(-600, 600), 9.5, 1e13, -2.0, 64.0, None]), r.choice([r.uniform(-600, 600), 12.0, -64.0, 22.0, 1e6 + 2])) for k in range(1500)]
+    inside = lambda p, x, y: any(p is not None and p == q and x is not None and None not in (a, b, c, d) and a - 2 <= x <= c + 2 and b - 2 <= y <= d + 2 for q, a, b, c, d in boxes)
+    got = outside_boxes(spark.createDataFrame(chars, "n long, page int, x double, y double"), spark.createDataFrame(boxes, "page int, x0 double, top double, x1 double, bottom double"))
+    assert sorted(x.n for x in got.collect()) == [n for n, p, x, y in chars if not inside(p, x, y)]
+    assert got.columns == ["n", "page", "x", "y"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
