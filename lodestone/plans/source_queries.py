@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.base import CORPUS, corpus, query, table
 from lodestone.sources import chunks as S
+from lodestone.sources.collection import Collection
 from lodestone.sources.scratch import fresh_path
 
 
@@ -78,3 +79,14 @@ def points_table(spark, d):
     for table in (name, f"{name}_index"):  # files stay where they are
         spark.sql(f"DROP TABLE {table}")
     return spark.read.schema(schema).parquet(index).select("id", "doc", "level", F.lit(min(made, loaded)).cast("long").alias("n"))
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN 'repealed' ELSE status END AS status, CASE WHEN id % 5 = 0 THEN 'changed: ' || content ELSE content END AS content FROM corpus UNION ALL SELECT id + 1000000000000, status, content FROM corpus WHERE id % 7 = 0", CORPUS)
+def collection_merge(spark, d):
+    """A collection by key, then changed and new chunks merged into the buckets that they fall in."""
+    c = corpus(spark, d).select("id", "status", "content")
+    made = Collection(spark, fresh_path(spark, "collection"))
+    made.create(c, "id", spark.sparkContext.defaultParallelism)
+    changed = c.where("id % 5 = 0").select("id", F.lit("repealed").alias("status"), F.concat(F.lit("changed: "), "content").alias("content"))
+    made.merge(changed.unionByName(c.where("id % 7 = 0").withColumn("id", F.col("id") + 1_000_000_000_000)))
+    return made.read()
