@@ -6,7 +6,8 @@ tags; the ratios are smoothed with a Gaussian over their neighbours and clustere
 their deviation). Clusters of lines over the threshold select the regions of content: the smallest element
 that holds nearly all of their text, and the smallest one of each cluster that stands apart. A region's lines
 are the text, short ones too, with the headings right above it. Lines under the threshold outside a region
-aren't, nor are runs of mere links under it in a region that no tag calls an article.
+aren't, nor are runs of mere links under it in a region that no tag calls an article. On pages without such a tag the
+lone dense lines at both ends of the block with most dense text (a notice, a copyright line) aren't content either.
 
 Tags, roles and names are features besides: a region grows to the article or main element that it stands in, and
 to that element's fellow articles; what stands in menus, headers, footers, asides, forms, adverts, notices and
@@ -36,7 +37,7 @@ BLOCKS = frozenset("address article aside blockquote body center caption dd deta
 DROPPED = frozenset("aside button datalist dialog footer form head iframe input label menu nav noscript object option script search select style svg template textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CONTAINERS = frozenset("article main section div td body".split())
+CONTAINERS = frozenset("article main section div td body html".split())
 #: Words of class and id, and roles, that mark what is not the article.
 SIDE = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 #: With one of these a name speaks of the article or of a layout: entry-header, has-sidebar.
@@ -50,6 +51,8 @@ CLOSES = {**{t: "p" for t in BLOCKS if t not in ("html", "head", "body")}, "li":
 SIGMA, THRESHOLD = 1.0, 0.5
 #: The share of the dense text that a region holds, of a line's letters that makes it a link, and the links in a row that make a menu.
 NEARLY_ALL, LINK, MENU = 0.9, 0.8, 3
+#: The share of the main block's dense text under which a lone line at its ends isn't content.
+LITTLE = 0.25
 #: Headings, without digits and signs, that open the comments where nothing else marks them.
 DISCUSSION = frozenset("comments|comment|reader comments|leave a comment|leave a reply|post a comment|discussion|responses|kommentare|kommentar schreiben|commentaires|laisser un commentaire|comentarios|deja un comentario".split("|"))
 SPACE = re.compile(r"\s+")
@@ -199,6 +202,8 @@ def extract(html: str | None) -> str:
     kept = [not side and not marked[key] for _, _, key, side, _ in p.lines]
     if not any(k and d for k, d in zip(kept, dense, strict=True)):
         dense = alone = kept
+    apart = _within(p, _apart(p, kept, alone))
+    kept = [k and not apart[line[2]] for k, line in zip(kept, p.lines, strict=True)]
     regions, named = _regions(p, kept, dense)
     inside, named = _within(p, regions), _within(p, named)
     # beside a region a line must be dense by itself: smoothing lends to neighbours
@@ -257,6 +262,32 @@ def _trusted(p: Lines, dense: list[bool]) -> set[int]:
     return {k for k, whole in p.marked.items() if not (total[k] > (NEARLY_ALL if whole else 0.5) * total[0] and named[k] == named[0])}
 
 
+def _apart(p: Lines, kept: list[bool], alone: list[bool]) -> set[int]:
+    """Where no tag says which element is the article: the elements at either end of the block with most dense text, beside
+    it or beside what it stands in, whose dense text is a lone line or none, and little against the block's. A block has
+    several dense lines, so that pages whose paragraphs have an element each have no such ends."""
+    if any(k in ("article", "main") for k in p.kind):
+        return set()
+    weight, count, first = [0] * len(p.parent), [0] * len(p.parent), [len(p.lines)] * len(p.parent)
+    for i, ((text, _, key, _, _), k, d) in enumerate(zip(p.lines, kept, alone, strict=True)):
+        first[key] = min(first[key], i)
+        if k and d:
+            weight[key] += len(text)
+            count[key] += 1
+    weight, count = _totals(p, weight), _totals(p, count)
+    children: list[list[int]] = [[] for _ in p.parent]
+    for k in range(len(p.parent) - 1, 0, -1):
+        children[p.parent[k]].append(k)
+        first[p.parent[k]] = min(first[p.parent[k]], first[k])
+    out, at = set(), 0
+    while (best := max(children[at], key=lambda k: weight[k], default=0)) and p.kind[best] in CONTAINERS and count[best] >= 2:
+        little = {k for k in children[at] if p.kind[k] not in HEADINGS and count[k] <= 1 and weight[k] < LITTLE * weight[best]}
+        rest = [first[k] for k in children[at] if k not in little and count[k]]
+        out |= {k for k in little if first[k] < min(rest) or first[k] > max(rest)}
+        at = best
+    return out
+
+
 def _regions(p: Lines, kept: list[bool], dense: list[bool]) -> tuple[set[int], set[int]]:
     """The elements that hold content; and those of them that a tag calls an article."""
     weight = [0] * len(p.parent)

@@ -152,3 +152,38 @@ def test_edges(spark):
     long = next(r for r in got if r.page_id == 3)
     assert long.text == "\n\n".join(prose(i, 40) for i in range(3000))
     assert html_extract.extract_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+SAID = "This paragraph says a good deal about the matter at hand, and it goes on for a while. " * 2
+MENU_DIV = '<div><a href="1">Home</a> <a href="2">News</a> <a href="3">Contact</a></div>'
+NOTICE = "<div>We use cookies to give you the best experience. By going on you agree to that.</div>"
+FOOTER = "<div>Copyright 2024 by the owners of this site. All rights are reserved.</div>"
+
+
+def test_unmarked_ends_are_not_content():
+    """No tag, class or name says anything: sentence-long notices, adverts and footers at the ends go, paragraphs stay."""
+    body = f"<p>{SAID}one</p><p>Short.</p><p>{SAID}two</p>"
+    want = "\n\n".join([f"{SAID}one", "Short.", f"{SAID}two"])
+    for page in (
+        f"<body>{MENU_DIV}<div>{body}</div>{FOOTER}</body>",
+        f"<html><head><title>t</title></head><body>{MENU_DIV}{NOTICE}<div>{body}</div>{FOOTER}</body></html>",
+        f"<html><body><div>{NOTICE}<div><div>{body}</div></div>{FOOTER}</div></body></html>",
+    ):
+        assert html_extract.extract(page) == want
+
+
+def test_an_element_for_each_paragraph_is_no_end():
+    """Paragraphs of all lengths in elements of their own, or in two blocks of some size, are all content."""
+    soup = "".join(f"<div>{SAID * (k % 3)}paragraph {k} ends here, after all.</div>" for k in range(6))
+    assert html_extract.extract(f"<html><body>{soup}</body></html>").count("ends here") == 6
+    two = f"<div><p>{SAID}a</p><p>{SAID}b</p><p>{SAID}c</p></div><div><p>{SAID}d</p><p>{SAID}e</p></div>"
+    got = html_extract.extract(f"<html><body>{two}{FOOTER}</body></html>")
+    assert got.count("\n\n") == 4 and "Copyright" not in got
+
+
+def test_pages_without_their_marks(sf):
+    """Elements by function turned into plain ones, without classes and ids: most pages still give just their article (41 of 50 here, 2,317 of 2,500 of the larger table)."""
+    pages = list(pd.read_parquet(f"{sf}/pages.parquet").html)
+    plain = [re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|header|footer|aside|main)\b", r"<\1div", x)) for x in pages]
+    same = sum(html_extract.extract(a) == html_extract.extract(b) for a, b in zip(pages, plain, strict=True))
+    assert same >= 0.8 * len(pages)
