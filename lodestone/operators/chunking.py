@@ -12,13 +12,25 @@ from lodestone.operators.text import refine, strip, style_penalties, token_estim
 MARK = "\ue000"
 
 
+def holding(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names, a of outer and b of inner (single columns, distinct) where a holds b. The parts of a that are as
+    long as any b are joined by equality, so that no name is held against all others; they are as many as a has letters,
+    for each length that occurs (names, not texts)."""
+    a, b = outer.toDF("a").where("a IS NOT NULL"), inner.toDF("b").where("b IS NOT NULL")
+    sizes = sorted(r.n for r in b.select(F.length("b").alias("n")).distinct().collect())
+    parts = F.transform(F.array(*[F.lit(n) for n in sizes if n]).cast("array<int>"), lambda n: F.when(F.length("a") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("a") - n + 1, F.lit(1))), lambda i: F.substring("a", i, n))).otherwise(F.array().cast("array<string>")))
+    pairs = a.select("a", F.explode(F.array_distinct(F.flatten(parts))).alias("b")).join(b, "b").select("a", "b")
+    return pairs.unionByName(a.withColumn("b", F.lit(""))) if sizes and not sizes[0] else pairs
+
+
 def resolve_metadata(files: DataFrame, rules: DataFrame) -> DataFrame:
     """files (stem); rules (key, ordinal, doc_id, title, issuer, status, effective_date, topic). The rule of that
-    name, else the first one whose name holds the stem or is held by it, else a default record. rules is a
-    small table that is compared with every stem."""
+    name, else the first one whose name holds the stem or is held by it, else a default record."""
     fields = ["doc_id", "title", "issuer", "status", "effective_date", "topic"]
-    k, s = F.lower("key"), F.lower("stem")
-    found = files.select("stem").distinct().join(rules, F.contains(s, k) | F.contains(k, s))
+    stems, keys = files.select("stem").distinct().withColumn("__s", F.lower("stem")), rules.withColumn("__k", F.lower("key"))
+    s, k = stems.select("__s").distinct(), keys.select("__k").distinct()
+    met = holding(s, k).toDF("__s", "__k").unionByName(holding(k, s).toDF("__k", "__s")).distinct()
+    found = stems.join(met, "__s").join(keys, "__k").select("stem", "key", "ordinal", *fields)
     best = found.groupBy("stem").agg(F.min_by(F.struct(*fields), F.struct(F.when(F.col("key") == F.col("stem"), 0).otherwise(1), "ordinal")).alias("m"))
     default = {"doc_id": F.col("stem"), "title": F.col("stem"), "issuer": F.lit(UNKNOWN), "status": F.lit("active"), "effective_date": F.lit(UNKNOWN), "topic": F.lit(GENERAL_TOPIC)}
     return files.join(best, "stem", "left").select(files["*"], *[F.when(F.col("m").isNotNull(), F.col(f"m.{f}")).otherwise(default[f]).alias(f) for f in fields])

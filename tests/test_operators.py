@@ -216,3 +216,25 @@ def test_boxes_of_all_sizes_against_every_pair(spark):
     assert got.columns == ["n", "page", "x", "y"]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_many_rules_without_a_nested_loop(spark):
+    """Names that hold each other either way, the empty one, other cases, ties by ordinal; thousands of rules."""
+    import random
+
+    from lodestone.operators.chunking import resolve_metadata
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abĐ_") for _ in range(r.randint(2, 9)))
+    rules = [(word().upper() if k % 5 else word(), k) for k in range(3000)]
+    stems = sorted({word() for _ in range(300)} | {"", "zzzz", rules[7][0]})
+    fields = ("doc_id", "title", "issuer", "status", "effective_date", "topic")
+    table = spark.createDataFrame([(key, n, *[f"{f}{n}" for f in fields]) for key, n in rules], "key string, ordinal int, " + ", ".join(f"{f} string" for f in fields))
+    out = resolve_metadata(spark.createDataFrame([(s,) for s in stems] + [(None,)], "stem string"), table)
+    want = {None: None}
+    for s in stems:
+        found = [(key != s, n) for key, n in rules if key.lower() in s.lower() or s.lower() in key.lower()]
+        want[s] = f"doc_id{min(found)[1]}" if found else s
+    assert {x.stem: x.doc_id for x in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
