@@ -12,7 +12,7 @@ from lodestone.functions.fixed import ANALYSIS_DEFAULTS, CITED_SOURCES, LEGAL_DO
 from lodestone.functions.models import ask
 from lodestone.functions.schemas import CITATION
 from lodestone.operators.text import strip
-from lodestone.sources.scratch import written
+from lodestone.sources.scratch import ranked, written
 
 
 def last_messages(messages: DataFrame, n: int) -> DataFrame:
@@ -139,7 +139,7 @@ def latest_state(events: DataFrame, key: str, order: tuple[str, ...], fields: tu
 def pending(state: DataFrame) -> DataFrame:
     """Threads that wait for a reviewer, newest first by rank."""
     waiting = state.where("requires_approval")
-    return waiting.withColumn("rank", F.row_number().over(Window.orderBy(F.col("created").desc(), F.col("thread"))))
+    return ranked(waiting, [F.col("created").desc(), F.col("thread")]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def resume(decisions: DataFrame, waiting: DataFrame, rejected: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.fixed import ARTICLE_LINE, CHAPTER_LINE, CHECKBOXES, CHOICE, DATE_PHRASE, FILL_IN, FINE_RANGE, FOOTER_PART, FORM_DOTS, HEADER_LINE, HEADING_LINE, MERGE_END_LETTERS, PAGE_NUMBER_LINE, REFINE_LETTERS, REVOCATION, UNIT_TOKEN, UNIT_TOKEN_DECREE, re2
 from lodestone.operators import text as T
-from lodestone.plans.base import LAW_LINES, law_lines, query, table
+from lodestone.plans.base import LAW_LINES, RAW_LINES, law_lines, query, table
 
 NOISE = f"(regexp_matches(line, {re2(HEADER_LINE)}) OR regexp_matches(line, {re2(FOOTER_PART)}) OR regexp_matches(line, {re2(PAGE_NUMBER_LINE)}))"
 HEADINGS = f"regexp_replace(regexp_replace(line, {re2(CHAPTER_LINE)}, '# \\1'), {re2(ARTICLE_LINE)}, '## \\1')"
@@ -84,10 +84,11 @@ def _array(words):
     return "cast(NULL AS array<string>)" if words is None else "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-@query("SELECT lang AS doc, source AS page, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY 1, 2")
+@query("SELECT doc_id AS doc, string_agg(line, chr(10) || chr(10) ORDER BY pos) AS content FROM raw_lines WHERE trim(line) <> '' GROUP BY 1", RAW_LINES)
 def page_concat(spark, d):
-    docs = table(spark, d, "documents")
-    return T.concat_pages(docs.selectExpr("lang AS doc", "source AS page", "doc_id", "text AS content"), ("doc", "page"), ("doc_id",), "content")
+    """The blocks of each document, blank ones left out, as one text."""
+    blocks = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "content"))
+    return T.concat_pages(blocks.where(F.trim("content") != ""), ("doc",), ("pos",), "content")
 
 
 @query(
