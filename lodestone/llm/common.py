@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.scratch import clean_up, fresh_path, map_arrow, written
+from lodestone.sources.scratch import clean_up, fresh_path, map_arrow, ranked, written
 from lodestone.sources.tables import read_table
 
-__all__ = ["WORD", "clean_up", "column", "crc32_sql", "fold", "fresh_path", "hash_sample", "held_out", "map_arrow", "plain_names", "spread", "table", "taken", "trainable", "written"]
+__all__ = ["WORD", "clean_up", "column", "crc32_sql", "fold", "fresh_path", "hash_sample", "held_out", "map_arrow", "plain_names", "ranked", "spread", "table", "taken", "trainable", "written"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

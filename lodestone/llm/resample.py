@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, crc32_sql, map_arrow, plain_names, written
+from lodestone.llm.common import column, crc32_sql, map_arrow, plain_names, ranked, written
 
 BUCKETS, LEAST_WORDS, PERCENT, SALT = 10_000, 20, 25, 7
 #: Bytes of a text that are taken apart in one go.
@@ -116,16 +116,6 @@ def weights(packed: DataFrame, gain: np.ndarray) -> DataFrame:
     return map_arrow(packed.select("ids", "rows", "ends", "buckets"), run, "doc_id long, row long, n_features long, weight long")
 
 
-def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """rows with their place in the order, from 1; the order must tell all rows apart. Nothing is ordered in one task."""
-    place = F.monotonically_increasing_id()
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = written(parts.withColumn("__part", F.shiftright(place, 33)).withColumn("__at", place.bitwiseAND((1 << 33) - 1)), "ranges")
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
-    starts = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__start"))
-    return parts.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at") + 1).drop("__part", "__at", "__start")
-
-
 def scored(documents: DataFrame, target: DataFrame, target_id: str = "item_id", row: Column | None = None) -> DataFrame:
     """doc_id, row, n_features, weight and score of every document, written."""
     packed, goal = streams(documents, row=row), streams(target, target_id)
