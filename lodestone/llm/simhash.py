@@ -7,7 +7,9 @@ index sides that hold a 0 and a 1 in the wiped bit are equality-joined and verif
 distance. A pair is emitted by the first segment that allows it, so once.
 
 Only distinct fingerprints take part, however many documents share one: copies are never paired.
-Components come from rounds of large-star and small-star contraction, cut by written tables.
+Components come from rounds of large-star and small-star contraction, cut by written tables. All joins are
+merge joins: fingerprints, links and components grow with the input, so none of them is broadcast, which
+would take each through the driver's memory, round by round.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any other; rows with
 the same id are one document each and share the link of their own fingerprint; a null doc_id gets the
@@ -100,7 +102,7 @@ def links(fps: DataFrame) -> DataFrame:
     earlier = [F.when(_by_segment(idx, list(range(len(SEGMENTS)))) > s, seg(s) > 1).otherwise(True) for s in range(len(SEGMENTS) - 1)]
     once = F.when(idx >= 64, F.col("a") < F.col("b")).otherwise(True)
     near = reduce(lambda p, q: p & q, earlier, F.bit_count(x) <= DISTANCE)
-    return left.join(right, "k").where(near & once).select("a", "b")
+    return left.join(right.hint("merge"), "k").where(near & once).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -110,9 +112,9 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(small, "edges")
         was, mark = mark, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if was == mark:
@@ -126,7 +128,7 @@ def _rooted(prints: DataFrame, rep: Column) -> DataFrame:
     """fp, rep (aggregated over the rows that have it) and root (that of its component) for every fingerprint of prints."""
     fps = written(prints.groupBy("fp").agg(rep.alias("rep")), "distinct-fingerprints")
     cc = components(links(fps.select("fp")))
-    return written(fps.join(cc, fps["fp"] == cc["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
+    return written(fps.join(cc.hint("merge"), fps["fp"] == cc["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
 def dedup_components(documents: DataFrame) -> DataFrame:
@@ -135,8 +137,8 @@ def dedup_components(documents: DataFrame) -> DataFrame:
     rooted = _rooted(docs, F.min("doc_id"))
     # written, so that the join deals out both sides for itself and may split the fingerprints of a large component
     least = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(rooted.join(least.hint("merge"), "root").select("fp", "component_id"), "components")
+    return docs.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -168,5 +170,4 @@ def keep_one(documents: DataFrame) -> DataFrame:
     own = whole.select("doc_id", F.col("__ls_fp").alias("fp"), F.xxhash64("text").alias("h"), F.col("__ls_row").alias("row"))
     rooted = _rooted(own, F.min(F.struct(F.isnull("doc_id"), "doc_id", "h", "row")))
     kept = written(rooted.groupBy("root").agg(F.min("rep").alias("s")).select(F.col("s.row").alias("__ls_kept")), "kept")
-    # a merge join at every size: which rows stay is never small for long
     return whole.join(kept.hint("merge"), F.col("__ls_row") == F.col("__ls_kept"), "left_semi").transform(named)

@@ -125,3 +125,17 @@ def test_large_groups(spark):
     want = plain_components({i: plain_fingerprint(t) for i, t in rows if i >= 1000 or i == 0})
     assert all(got[i] == c for i, c in want.items())
     assert np.unique(list(got.values())).size >= 1
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    plans, real = [], simhash.written
+
+    def spy(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, tag)
+
+    monkeypatch.setattr(simhash, "written", spy)
+    rows = spark.createDataFrame([(i, f"one two three {i % 7}") for i in range(40)], "doc_id long, text string")
+    for df in (simhash.dedup_components(rows), simhash.keep_one(rows), simhash.links(spark.range(9).selectExpr("id AS fp"))):
+        spy(df, "last")
+    assert len(plans) > 9 and not [p for p in plans if "Broadcast" in p]
