@@ -27,7 +27,7 @@ from lodestone.functions.fixed import (
     REVOCATION,
     UNIT_TOKEN,
     UNIT_TOKEN_DECREE,
-    java,
+    java, java_ascii_words,
 )
 
 #: What Python's str.strip takes off, as far as it occurs in text.
@@ -71,9 +71,11 @@ def bold_dates(line: Column) -> Column:
     return F.regexp_replace(line, java(DATE_PHRASE), "**$1**")
 
 
-def wrap_units(line: Column, law: bool = True) -> Column:
-    """Units of a law's line, or of one of a decree or circular, which have one more."""
-    return F.regexp_replace(line, java(UNIT_TOKEN if law else UNIT_TOKEN_DECREE), r"\$\$$1\$\$")
+def wrap_units(line: Column, law: bool = True, ascii_words: bool = False) -> Column:
+    """Units of a law's line, or of one of a decree or circular, which have one more. They stand between the ends of words,
+    by Unicode, or by ASCII as in RE2."""
+    token = UNIT_TOKEN if law else UNIT_TOKEN_DECREE
+    return F.regexp_replace(line, java_ascii_words(token) if ascii_words else java(token), r"\$\$$1\$\$")
 
 
 def merge_lines(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
