@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.fixed import COMPLETION_PHRASES, DEFAULT_DOC, TOP_K, TOP_K_BROAD
-from lodestone.operators import enrich, generation, retrieval
+from lodestone.operators import docblocks, enrich, generation, retrieval
 from lodestone.operators.conversation import fallback_route
-from lodestone.sources.scratch import written
+from lodestone.sources.scratch import fresh_path, written
 
 #: A list's id is its question's, times this, plus its number: every list is searched like a question of its own.
 LISTS = 1000
@@ -50,9 +50,13 @@ def search(corpus: DataFrame, vectors: DataFrame, lists: DataFrame, per_list: Da
     corpus' active rows are searched, statistics are the whole corpus's."""
     as_queries = lists.select((F.col("query_id") * LISTS + F.col("list")).alias("query_id"), "text", "embedding")
     allowed = retrieval.filtered(corpus)
-    dense = retrieval.dense_topk(vectors.join(allowed.select("id"), "id", "left_semi"), as_queries.select("query_id", "embedding"))
-    bm25 = retrieval.bm25_topk(corpus, as_queries.select("query_id", "text"), allowed=allowed)
-    fused = retrieval.rrf_hybrid(written(dense, "turn-dense"), written(bm25, "turn-bm25"), TOP_K_BROAD + 2)
+    # the vectors may be made by a model, and the search reads them more than once
+    searched = written(vectors.join(allowed.select("id"), "id", "left_semi"), "turn-vectors")
+    dense = retrieval.dense_topk(searched, as_queries.select("query_id", "embedding"))
+    index = fresh_path(corpus.sparkSession, "turn-index")
+    docblocks.write_blocks(corpus.select("id", "content"), index)
+    bm25 = docblocks.topk(docblocks.open_blocks(corpus.sparkSession, index), as_queries.select("query_id", "text"), allowed=allowed)
+    fused = retrieval.rrf_hybrid(dense, bm25, TOP_K_BROAD + 2)
     fused = fused.withColumn("q", F.floor(F.col("query_id") / LISTS)).join(per_list.select(F.col("query_id").alias("q"), "per_list"), "q").where(F.col("rank") <= F.col("per_list"))
     hits = enrich.with_siblings(fused.select("query_id", "id", F.col("rank").alias("pos"), "score"), corpus, phrases)
     return hits.select(F.floor(F.col("query_id") / LISTS).cast("long").alias("query_id"), (F.col("query_id") % LISTS).cast("int").alias("list"), "id", "pos", "score", "is_sibling")

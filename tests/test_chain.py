@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions.models import embed
+from lodestone.operators import retrieval
 from lodestone.operators.conversation import is_admin
 from lodestone.plans import chain
 
@@ -35,6 +36,23 @@ def test_turn(spark):
     assert prompts[4].route in ("clarify", "generate") and len(prompts) == 4
 
 
+def test_search_shuffles_no_postings(spark, monkeypatch):
+    """Words are scored where the documents lie; as before, only active documents are found, the lowest ids where no word fits."""
+
+    def never(*_):
+        raise AssertionError("postings meet the words of the queries in a join")
+
+    monkeypatch.setattr(retrieval, "bm25_scores", never)
+    rows = [(i, "d", 1, "1", None, 2, "t", "active" if i % 5 else "repealed", f"w{i} w{i % 3} common") for i in range(40)]
+    corpus = spark.createDataFrame(rows, "id long, doc string, dieu int, khoan string, diem string, level int, topic string, status string, content string")
+    vectors = embed(corpus.select("id", "content"), "content").select("id", "embedding")
+    lists = embed(spark.createDataFrame([(1, 0, "w7"), (1, 1, "w10 w11"), (2, 0, "nowhere")], "query_id long, list int, text string"), "text")
+    per_list = spark.createDataFrame([(1, 3), (2, 3)], "query_id long, per_list int")
+    hits = [r for r in chain.search(corpus, vectors, lists, per_list).collect() if not r.is_sibling]
+    assert {r.id for r in hits if (r.query_id, r.list) == (1, 0)} >= {7} and {r.id for r in hits if (r.query_id, r.list) == (1, 1)} >= {11}
+    assert all(r.id % 5 for r in hits) and len(hits) == 9
+
+
 def test_admin_gate(spark):
     df = spark.createDataFrame([("A@b.c",), (None,)], "e string")
     gate = lambda allowed: [r.x for r in df.select(is_admin(F.col("e"), allowed).alias("x")).collect()]
