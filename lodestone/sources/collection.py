@@ -74,9 +74,9 @@ class Collection:
 
     def read(self, number: int | None = None) -> DataFrame:
         now = self.listing(number)
-        return self._rows(now, now.places.values())
+        return self._read(now, now.places.values())
 
-    def _rows(self, now: Listing, places) -> DataFrame:
+    def _read(self, now: Listing, places) -> DataFrame:
         paths = [f"{self.path}/{p}" for p in places]
         return self.spark.read.schema(now.schema).parquet(*paths) if paths else self.spark.createDataFrame([], now.schema)
 
@@ -91,20 +91,20 @@ class Collection:
 
     def _merged(self, now: Listing, rows: DataFrame, batch: int | None) -> Listing:
         names = now.schema.names
-        # one row of each key: picked by a hash, the same on every run, on the map side already
-        whole = F.struct(*names)
-        one = rows.groupBy(F.col(now.key).alias("__key")).agg(F.max_by(whole, F.xxhash64(*names)).alias("r")).select("r.*")
-        bucket = F.pmod(F.xxhash64(now.key), F.lit(now.buckets)).cast("int")
-        folder = f"data/{uuid.uuid4().hex}"
-        fresh = f"{self.path}/{folder}-new"
-        one.withColumn("__bucket", bucket).write.partitionBy("__bucket").parquet(fresh)
-        touched = self._touched(fresh)
-        new = self.spark.read.schema(now.schema).parquet(*[f"{fresh}/__bucket={b}" for b in touched]) if touched else one
-        old = self._rows(now, [now.places[b] for b in touched if b in now.places])
-        # only buckets that are touched are read, compared and written
-        left = old.join(new.select(now.key), now.key, "left_anti").unionByName(new)
-        left.withColumn("__bucket", bucket).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        # rows of a bucket meet in one task, where new ones go before old ones and one of each key stays: picked by a hash, the
+        # same on every run. They are shuffled once and written once; only what is merged into other rows is written before,
+        # to tell which buckets it touches.
+        folder, bucket = f"data/{uuid.uuid4().hex}", F.pmod(F.xxhash64(now.key), F.lit(now.buckets)).cast("int").alias("__bucket")
+        every, fresh = rows.select(*names, bucket, F.lit(1).alias("__new")), f"{self.path}/{folder}-new"
+        if now.places:
+            every.drop("__new").write.partitionBy("__bucket").parquet(fresh)
+            touched = self._touched(fresh)
+            part = lambda places, new: self._read(now, places).select(*names, bucket, F.lit(new).alias("__new"))
+            every = part([f"{folder}-new/__bucket={b}" for b in touched], 1).unionByName(part([now.places[b] for b in touched if b in now.places], 0))
+        one = every.repartition(now.buckets, "__bucket").groupBy("__bucket", F.col(now.key).alias("__key")).agg(F.max_by(F.struct(*names), F.struct("__new", F.xxhash64(*names))).alias("r"))
+        one.select("r.*", "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
         self._fs.delete(self._hadoop.Path(fresh), True)
+        touched = self._touched(f"{self.path}/{folder}")
         return Listing(now.number + 1, now.key, now.schema, now.buckets, now.places | {b: f"{folder}/__bucket={b}" for b in touched}, now.batch if batch is None else batch)
 
     def _touched(self, folder: str) -> list[int]:

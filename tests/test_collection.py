@@ -90,3 +90,12 @@ def test_a_stream_merges_each_batch_once(spark, made, tmp_path):
         os.path.exists(f"{checkpoint}/{f}") and os.remove(f"{checkpoint}/{f}")
     made.merge_stream(spark.readStream.schema("id long, v string").parquet(source), checkpoint).awaitTermination()
     assert made.listing().number == number and made.read().count() == 103
+
+
+def test_rows_without_a_key_replace_each_other(spark, tmp_path):
+    made = Collection(spark, f"file://{tmp_path}/c")
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, v string")
+    made.create(rows((None, "a"), (1, "a"), (2, "a")), "id", 4)
+    for v in "bc":
+        made.merge(rows((None, v), (2, v)))
+    assert sorted(map(tuple, made.read().collect()), key=str) == [(1, "a"), (2, "c"), (None, "c")]
