@@ -43,7 +43,7 @@ def markdown_round_trip(spark, d):
     """Chunks as Markdown files in folders by topic, written and read back."""
     folder = fresh_path(spark, "markdown")
     c = corpus(spark, d).withColumn("chunk_id", F.concat(F.lit("c"), F.col("id").cast("string")))
-    files = S.markdown_files(c.select("chunk_id", "level", "content")).join(c.select(F.concat("chunk_id", F.lit(".md")).alias("file_name"), "topic"), "file_name")
+    files = S.markdown_files(c.select("chunk_id", "level", "topic", "content"), "topic")
     S.write_files(files.select(F.concat_ws("/", "topic", "file_name").alias("name"), "body"), folder)
     return S.read_markdown(spark, folder)
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.operators.text import safe_name
+from lodestone.sources.scratch import BATCH_BYTES, BATCH_ROWS, map_arrow
 
 #: The payload, with the defaults that stand in for what is missing.
 DEFAULTS = {"chunk_id": "", "doc_id": "", "ten_van_ban": "", "issuer": "", "document_type": "", "status": "active", "effective_date": "", "topic": "", "dieu": 0, "dieu_title": "", "khoan": None, "diem": None, "level": 1, "source_file": "", "token_estimate": 0}
 
+#: Tasks a core that files of their own are written and read in.
+FILE_TASKS = 16
+
 #: The article may be a number or a word in the file, so it's read as text and cast leniently.
 CHUNK_SCHEMA = T.StructType(
     [
@@ -61,38 +65,53 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.select(meta.alias("metadata"), "content").write.mode("overwrite").json(path)
 
 
-def markdown_files(chunks: DataFrame) -> DataFrame:
-    """(file_name, body): a chunk as Markdown behind its front matter, under a name that any store takes. Chunks
-    of one id overwrite each other: the last by content stays."""
-    keys = [k for k in DEFAULTS if k in chunks.columns]
+def markdown_files(chunks: DataFrame, *folders: str) -> DataFrame:
+    """(folders, file_name, body): a chunk as Markdown behind its front matter, under a name that any store takes, for
+    each value of the columns that name folders. Chunks of one id in a folder overwrite each other: the last by content
+    stays."""
+    keys = [k for k in DEFAULTS if k in chunks.columns and k not in folders]
     lines = F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), F.coalesce(F.to_json(F.struct(F.col(k).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(k).alias("v")))) - 6), F.lit("null"))) for k in keys])
     body = F.concat(F.lit("---\n"), lines, F.lit("\n---\n\n"), F.col("content"))
-    return chunks.select(F.concat(safe_name(F.col("chunk_id")), F.lit(".md")).alias("file_name"), body.alias("body")).groupBy("file_name").agg(F.max("body").alias("body"))
+    files = chunks.select(*folders, F.concat(safe_name(F.col("chunk_id")), F.lit(".md")).alias("file_name"), body.alias("body"))
+    dealt = files.repartition(FILE_TASKS * chunks.sparkSession.sparkContext.defaultParallelism, *folders, "file_name")  # sorted once, behind the shuffle
+    return dealt.groupBy(*folders, "file_name").agg(F.max("body").alias("body"))
 
 
 def write_files(files: DataFrame, folder: str) -> int:
     """Writes files (name, body as bytes), each under its name in a folder that all executors reach (any store that
     Arrow knows); says how many. A file appears whole or not at all, and a task that runs again writes the same."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)  # even if there are no files
 
     def run(batches):
         import posixpath
         import uuid
 
-        import pandas as pd
+        import pyarrow as pa
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
-        for b in batches:
-            for name, body in zip(b["name"], b["body"], strict=True):
-                path = posixpath.join(base, name)
-                store.create_dir(posixpath.dirname(path), recursive=True)
-                part = posixpath.join(posixpath.dirname(path), f".{uuid.uuid4().hex}")
-                with store.open_output_stream(part) as f:
-                    f.write(bytes(body))
-                store.move(part, path)
-            yield pd.DataFrame({"n": [len(b)]})
-
-    done = files.select("name", F.col("body").cast("binary").alias("body")).mapInPandas(run, "n long")
+        own = posixpath.join(base, f".{uuid.uuid4().hex}")  # tasks that write into one folder would wait for each other
+        store.create_dir(own)
+        made = set()
+        try:
+            for b in batches:
+                for name, body in zip(b["name"].to_pylist(), b["body"], strict=True):
+                    path, part = posixpath.join(base, name), posixpath.join(own, "part")
+                    parent = posixpath.dirname(path)
+                    if parent not in made:
+                        store.create_dir(parent, recursive=True)
+                        made.add(parent)
+                    with store.open_output_stream(part) as f:
+                        f.write(body.as_buffer())
+                    store.move(part, path)
+                yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+        finally:
+            store.delete_dir(own)
+
+    done = map_arrow(files.select("name", F.col("body").cast("binary").alias("body")), run, "n long")
     return done.agg(F.sum("n")).first()[0] or 0
 
 
@@ -101,13 +120,111 @@ def write_markdown(chunks: DataFrame, folder: str) -> int:
     return write_files(markdown_files(chunks).select(F.col("file_name").alias("name"), "body"), folder)
 
 
+def read_files(spark: SparkSession, path: str, suffix: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, content as bytes) of the files under a folder, at any depth, whose names end with suffix and, by keep, are
+    wanted; what starts with "_" or "." is left out. Tasks list the folder and read the files, so the driver holds no
+    names: one lists the folder itself, others what is below each of its folders, and files are dealt out by name over a
+    fixed number of tasks a core, however small they are. Where Arrow finds no such folder (a pattern, one file, a store
+    that it doesn't know) Spark's own reader serves, which lists in the driver."""
+    name = F.element_at(F.split("path", "/"), -1)
+    wanted = F.lit(True) if keep is None else keep(name)
+    found = _arrow_folder(spark, path)
+    if found is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(path)
+        return files.select("path", "content").where(wanted)
+    uri, base = found
+
+    def entries(store, folder):
+        """(path, whether it's a folder); names of a local folder are streamed."""
+        import os
+
+        from pyarrow import fs
+
+        if isinstance(store, fs.LocalFileSystem):
+            with os.scandir(folder) as found:
+                yield from ((e.path, e.is_dir()) for e in found)
+        else:
+            yield from ((i.path, i.type == fs.FileType.Directory) for i in store.get_file_info(fs.FileSelector(folder)))
+
+    def shown(path, is_folder):
+        last = path.rsplit("/", 1)[-1]
+        return not last.startswith(".") and (not last.startswith("_") or "=" in last) and (is_folder or last.endswith(suffix))
+
+    def listing(deep):
+        def run(batches):
+            import itertools
+
+            import pyarrow as pa
+            from pyarrow import fs
+
+            store, _ = fs.FileSystem.from_uri(uri)
+
+            def below(path, is_folder):
+                if not is_folder:
+                    yield path, False
+                    return
+                for found in entries(store, path):
+                    if shown(*found):
+                        yield from below(*found) if deep else (found,)
+
+            for b in batches:
+                every = itertools.chain.from_iterable(itertools.starmap(below, zip(b["path"].to_pylist(), b["is_folder"].to_pylist(), strict=True)))
+                while rows := list(itertools.islice(every, BATCH_ROWS)):
+                    paths, kinds = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(kinds, pa.bool_())], ["path", "is_folder"])
+
+        return run
+
+    def contents(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(uri)
+
+        def batch(paths, bodies):
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], ["path", "content"])
+
+        for b in batches:
+            paths, bodies, size = [], [], 0
+            for path in b["path"].to_pylist():
+                with store.open_input_stream(path) as f:
+                    body = f.read()
+                if paths and size + len(body) > BATCH_BYTES:
+                    yield batch(paths, bodies)
+                    paths, bodies, size = [], [], 0
+                paths.append(path)
+                bodies.append(body)
+                size += len(body)
+            if paths:
+                yield batch(paths, bodies)
+
+    cores, kind = spark.sparkContext.defaultParallelism, "path string, is_folder boolean"
+    root = spark.range(1, numPartitions=1).select(F.lit(base).alias("path"), F.lit(True).alias("is_folder"))
+    top = map_arrow(root, listing(deep=False), kind).repartition(cores, "path")
+    names = map_arrow(top, listing(deep=True), kind).where(wanted).select("path").repartition(FILE_TASKS * cores, "path")
+    return map_arrow(names, contents, "path string, content binary")
+
+
+def _arrow_folder(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """The folder's full URI and its path in Arrow's store of it, if Arrow can list it."""
+    from pyarrow import fs
+
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    try:
+        store, base = fs.FileSystem.from_uri(uri)
+        return (uri, base) if store.get_file_info(base).type == fs.FileType.Directory else None
+    except (ValueError, OSError, NotImplementedError):
+        return None
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(doc_type, stem, text) of Markdown files in folders by document type; names that start with "_" and blank
     files are left out."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    parts = F.split("_metadata.file_path", "/")
-    df = files.select(F.element_at(parts, -2).alias("doc_type"), F.regexp_replace(F.element_at(parts, -1), r"\.md$", "").alias("stem"), F.col("value").alias("text"))
-    return df.where(~F.startswith("stem", F.lit("_")) & (F.trim("text") != ""))
+    files = read_files(spark, path, ".md", lambda name: ~F.startswith(name, F.lit("_")))
+    parts = F.split("path", "/")
+    df = files.select(F.element_at(parts, -2).alias("doc_type"), F.regexp_replace(F.element_at(parts, -1), r"\.md$", "").alias("stem"), F.col("content").cast("string").alias("text"))
+    return df.where(F.trim("text") != "")
 
 
 def read_pdfs(spark: SparkSession, path: str, extract: Callable[[bytes], list[tuple[int, str]]], excluded: tuple[str, ...] = ()) -> DataFrame:
@@ -121,9 +238,8 @@ def read_pdfs(spark: SparkSession, path: str, extract: Callable[[bytes], list[tu
             rows = [(f, n, t) for f, c in zip(b["file"], b["content"], strict=True) for n, t in extract(c)]
             yield pd.DataFrame(rows, columns=["file", "page_no", "text"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").where(~F.col("file").isin(*excluded) if excluded else F.lit(True))
-    return files.mapInPandas(run, "file string, page_no int, text string")
+    files = read_files(spark, path, ".pdf", (lambda name: ~name.isin(*excluded)) if excluded else None)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInPandas(run, "file string, page_no int, text string")
 
 
 def read_pdf_tables(spark: SparkSession, path: str, extract: Callable[[bytes], list[tuple[int, list[list[str | None]]]]]) -> DataFrame:
@@ -137,7 +253,7 @@ def read_pdf_tables(spark: SparkSession, path: str, extract: Callable[[bytes], l
             rows = [(f"{f}#{page}#{n}", i, j, None if cell is None else str(cell)) for f, c in zip(b["file"], b["content"], strict=True) for n, (page, table) in enumerate(extract(c)) for i, line in enumerate(table) for j, cell in enumerate(line)]
             yield pd.DataFrame(rows, columns=["tbl", "row", "col", "cell"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
+    files = read_files(spark, path, ".pdf")
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInPandas(run, "tbl string, row int, col int, cell string")
 
 
