@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.operators.text import safe_name
-from lodestone.sources.scratch import BATCH_BYTES, BATCH_ROWS, map_arrow
+from lodestone.sources.scratch import BATCH_BYTES, BATCH_ROWS, map_arrow, written
 
 #: The payload, with the defaults that stand in for what is missing.
 DEFAULTS = {"chunk_id": "", "doc_id": "", "ten_van_ban": "", "issuer": "", "document_type": "", "status": "active", "effective_date": "", "topic": "", "dieu": 0, "dieu_title": "", "khoan": None, "diem": None, "level": 1, "source_file": "", "token_estimate": 0}
 
-#: Tasks a core that files of their own are written and read in.
+#: Tasks a core that files of their own are read in.
 FILE_TASKS = 16
 
 #: The article may be a number or a word in the file, so it's read as text and cast leniently.
@@ -68,13 +68,17 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 def markdown_files(chunks: DataFrame, *folders: str) -> DataFrame:
     """(folders, file_name, body): a chunk as Markdown behind its front matter, under a name that any store takes, for
     each value of the columns that name folders. Chunks of one id in a folder overwrite each other: the last by content
-    stays."""
+    stays. Names are counted first, so that only the bodies of repeated ones are shuffled, unless these are too many to
+    be broadcast; chunks are read up to three times."""
     keys = [k for k in DEFAULTS if k in chunks.columns and k not in folders]
     lines = F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), F.coalesce(F.to_json(F.struct(F.col(k).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(k).alias("v")))) - 6), F.lit("null"))) for k in keys])
     body = F.concat(F.lit("---\n"), lines, F.lit("\n---\n\n"), F.col("content"))
     files = chunks.select(*folders, F.concat(safe_name(F.col("chunk_id")), F.lit(".md")).alias("file_name"), body.alias("body"))
-    dealt = files.repartition(FILE_TASKS * chunks.sparkSession.sparkContext.defaultParallelism, *folders, "file_name")  # sorted once, behind the shuffle
-    return dealt.groupBy(*folders, "file_name").agg(F.max("body").alias("body"))
+    names = [*folders, "file_name"]
+    repeated = written(files.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(c).alias(f"__{c}") for c in names]), "repeated")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names]
+    once = files.join(repeated, same, "left_anti")
+    return once.unionByName(files.join(repeated, same, "left_semi").groupBy(*names).agg(F.max("body").alias("body")))
 
 
 def write_files(files: DataFrame, folder: str) -> int:

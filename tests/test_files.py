@@ -49,9 +49,24 @@ def test_what_is_written_is_there_and_nothing_else(spark, tmp_path):
 
 
 def test_ids_overwrite_each_other_inside_a_folder_only(spark):
-    rows = spark.createDataFrame([("c1", "en", "a"), ("c1", "en", "b"), ("c1", "de", "a")], "chunk_id string, topic string, content string")
-    got = {(r.topic, r.file_name): r.body for r in S.markdown_files(rows, "topic").collect()}
-    assert got == {("en", "c1.md"): '---\nchunk_id: "c1"\n---\n\nb', ("de", "c1.md"): '---\nchunk_id: "c1"\n---\n\na'}
+    rows = spark.createDataFrame([("c1", "en", "a"), ("c1", "en", "b"), ("c1", "de", "a"), ("c/1", None, "y"), ("c?1", None, "x")], "chunk_id string, topic string, content string")
+    for most in ("10m", "-1"):  # repeated names broadcast, or too many for that
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            got = sorted((str(r.topic), r.file_name, r.body.split("\n\n")[1]) for r in S.markdown_files(rows, "topic").collect())
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        assert got == [("None", "c_1.md", "x"), ("de", "c1.md", "a"), ("en", "c1.md", "b")]
+
+
+def test_bodies_of_names_that_come_once_are_not_shuffled(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("cast(doc_id AS string) AS chunk_id", "lang AS topic", "text AS content")
+    files = S.markdown_files(docs, "topic")
+    assert files.count() == docs.count()
+    files.collect()
+    plan = files._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Final Plan" in plan and not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
 
 
 def test_no_folder_is_an_error(spark, tmp_path):
