@@ -1,7 +1,11 @@
 """BM25 by blocks of documents against the plain operator, block by block."""
 
+import glob
 import random
 
+import pyarrow.parquet as pq
+
+from lodestone.operators import blocks
 from lodestone.operators import docblocks as D
 from lodestone.operators.retrieval import bm25_topk
 
@@ -33,3 +37,22 @@ def test_index_counts_documents_of_terms(spark, tmp_path):
     D.write_blocks(corpus.limit(0), f"{tmp_path}/none")
     none = D.open_blocks(spark, f"{tmp_path}/none")
     assert D.topk(none, spark.createDataFrame([(1, "a1")], "query_id long, text string")).count() == 0
+
+
+def test_a_task_holds_one_block(spark, tmp_path):
+    """Each block is a row group of its own, and a search neither buffers blocks beside queries nor writes or sorts them anew."""
+    corpus = spark.createDataFrame([(i, f"w{i} common") for i in range(60)], "id long, content string").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        D.write_blocks(corpus, str(tmp_path), docs=10)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{tmp_path}/doc-blocks/*.parquet")]
+    assert max(m.num_rows for m in files) > 1 and all(m.num_row_groups == m.num_rows for m in files)
+    index = D.open_blocks(spark, str(tmp_path))
+    marked = D.only(index.blocks, corpus.where("id % 2 = 0"))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan, plan
+    pairs = blocks.met(spark.range(3).toDF("block"), index.blocks)
+    assert pairs.columns == [*index.blocks.columns, "block"]  # the right side is what Spark buffers
+    assert sum(bin(x).count("1") for r in marked.collect() for x in r.stay) == 30
