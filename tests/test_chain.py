@@ -53,6 +53,18 @@ def test_search_shuffles_no_postings(spark, monkeypatch):
     assert all(r.id % 5 for r in hits) and len(hits) == 9
 
 
+def test_texts_to_embed_come_in_bounded_batches(spark):
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    try:
+        for n in names:
+            spark.conf.unset(n)
+        df = embed(spark.range(3000).selectExpr("cast(id AS string) AS text"), "text")
+        assert [int(spark.conf.get(n)) for n in names] == [1000, 8 << 20] and df.where("size(embedding) = 64").count() == 3000
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+
+
 def test_admin_gate(spark):
     df = spark.createDataFrame([("A@b.c",), (None,)], "e string")
     gate = lambda allowed: [r.x for r in df.select(is_admin(F.col("e"), allowed).alias("x")).collect()]
