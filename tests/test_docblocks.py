@@ -56,3 +56,12 @@ def test_a_task_holds_one_block(spark, tmp_path):
     pairs = blocks.met(spark.range(3).toDF("block"), index.blocks)
     assert pairs.columns == [*index.blocks.columns, "block"]  # the right side is what Spark buffers
     assert sum(bin(x).count("1") for r in marked.collect() for x in r.stay) == 30
+
+
+def test_blocks_scanned_in_parts_are_read_where_they_lie(spark, tmp_path):
+    """Only the blocks of queries are dealt out; every block meets each of them."""
+    spark.range(40).repartition(8).write.parquet(f"{tmp_path}/rows")
+    asked, rows = spark.range(3).toDF("block"), spark.read.parquet(f"{tmp_path}/rows")
+    pairs = blocks.met(asked, rows)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("RoundRobinPartitioning") == 1
+    assert pairs.count() == pairs.distinct().count() == 120
